@@ -162,7 +162,7 @@ def train_model(df: DataFrame, known: Known, total: int, dim: int = 16, rounds:
     Returns the model and the smoothed count mass of <unk>. What reaches the driver is one row a parameter.
     """
     size = known.size
-    mass = np.bincount(known.ids, known.counts + 0.5, size)
+    mass = np.bincount(known.ids, known.counts + 0.5, size).astype(np.float64)
     mass[size - 1] += max(0.0, total - float(known.counts.sum())) + 0.5
     noise = np.maximum(mass, 0.5) / np.maximum(mass, 0.5).sum()
     model = LogBilinear.start(noise, dim)
@@ -224,7 +224,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 row = np.repeat(np.arange(j - i), np.diff(rows))
                 log_c = np.where(here, np.log10(c + 0.5), 0.0)
                 out_of = ids == table.size - 1
-                add = lambda x: pa.array(np.bincount(row, x, j - i))  # noqa: B023, E731
+                add = lambda x: pa.array(np.bincount(row, x, j - i).astype(np.float64))  # noqa: B023, E731
                 rare = ~here
                 pair, n = np.unique(np.stack([row[rare].astype(np.uint64), w[rare]], 1), axis=0, return_counts=True) if rare.any() else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
                 off = np.searchsorted(pair[:, 0], np.arange(j - i + 1).astype(np.uint64))

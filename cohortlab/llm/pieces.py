@@ -186,7 +186,7 @@ def sample_segmentations(model: Pieces, words: list[list[str]], keys: np.ndarray
         u = uniform(at_row, turn, at_w - first_word[at_row], at_g - base[at_w], 2)
         worth = np.where(open_, _log_gumbel_cut(mass, u, value[at_row]), -np.inf)
         alive = np.flatnonzero(np.diff(where) > 0) if turn else rows
-        total = np.bincount(at_row, step, n_rows)
+        total = np.bincount(at_row, step, n_rows).astype(np.float64)
         n_ids = t["ids_n"][at_e]
         id_off = np.concatenate(([0], np.cumsum(n_ids)))[where]
         flat = gather(t["ids"], t["ids_at"][at_e], n_ids)
