@@ -188,3 +188,14 @@ def fit_diagnostics(members: DataFrame, cell: list[str], k: int) -> DataFrame:
     crisp = F.array_max(F.slice("u", 1, k)) >= 0.7
     main = members.groupBy("config").agg(F.avg((F.col("hard") == k + 1).cast("double")).alias("noise_share"), F.avg(crisp.cast("double")).alias("crisp"), F.avg(F.when(F.col("xie_beni") < float("inf"), F.col("xie_beni"))).alias("xie_beni"), F.avg(F.nanvl("stability", F.lit(None).cast("double"))).alias("stability"), F.max(F.col("degenerate").cast("int")).alias("any_degenerate"))
     return main.join(sizes, "config")
+
+
+def adjusted_rand_table(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: adjusted Rand index of two labellings, from their contingency counts."""
+    two = lambda n: F.col(n) * (F.col(n) - 1) / 2.0
+    counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda key, name: counts.groupBy(key).agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias(name))
+    every = counts.agg(F.sum(two("n")).alias("both"), F.sum("n").alias("n")).withColumn("total", two("n")).drop("n")
+    row = every.crossJoin(side(a, "rows")).crossJoin(side(b, "cols"))  # three rows of one
+    expected, most = F.col("rows") * F.col("cols") / F.nullif("total", F.lit(0.0)), (F.col("rows") + F.col("cols")) / 2
+    return row.select(F.when(most == expected, 1.0).otherwise((F.col("both") - expected) / F.nullif(most - expected, F.lit(0.0))).alias("ari"))
