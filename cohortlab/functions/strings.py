@@ -68,13 +68,11 @@ def set_ratio(a: str, b: str) -> float:
     return max(out, ratio(both, join(only_x)), ratio(both, join(only_y))) if both else out
 
 
-@F.pandas_udf("double")
 def _sort(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else sort_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
 def _set(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -82,9 +80,9 @@ def _set(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Similarity of the words in sorted order, 0 to 100."""
-    return _sort(a, b)
+    return F.pandas_udf(_sort, "double")(a, b)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Similarity that ignores repeated and one-sided words, 0 to 100."""
-    return _set(a, b)
+    return F.pandas_udf(_set, "double")(a, b)

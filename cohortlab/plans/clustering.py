@@ -14,6 +14,7 @@ from ..functions.vectors import first_max
 from ..operators import align as A
 from ..operators import distance as D
 from ..operators import fcm
+from ..sources.io import staged
 from .base import SCALED, TYPES, K, Registry, cells, r, rounded, with_base
 
 registry = Registry()
@@ -67,11 +68,11 @@ def _near(spark: Spark, sf: str) -> DataFrame:
 
 def _memberships(spark: Spark, sf: str) -> DataFrame:
     """(nation, season, i, q1.., delta, u array, hard)."""
-    near = _near(spark, sf)
+    near = staged(_near(spark, sf), "near")
     wide = near.groupBy(*CELL, "i").agg(*[F.max(F.when(F.col("c") == k, F.col("q"))).alias(f"q{k}") for k in range(1, K + 1)])
     noise = near.groupBy(*CELL).agg(fcm.noise_distance(RHO, F.col("q")).alias("delta"))
     u = fcm.memberships([F.col(f"q{k}") for k in range(1, K + 1)], F.col("delta"), M)
-    return wide.join(noise, CELL).withColumn("u", F.array(*u)).withColumn("hard", first_max(F.col("u")))
+    return staged(wide.join(noise, CELL).withColumn("u", F.array(*u)).withColumn("hard", first_max(F.col("u"))), "memberships")
 
 
 def _u(k: int):  # noqa: ANN202
@@ -129,10 +130,10 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return _memberships(spark, sf).select(*CELL, "i", *[rounded(_u(k), 5).alias(f"u{k}") for k in range(1, K + 2)])
 
 
-@add("cl9_seeding_mass", with_base(PAIRS, CONST, NEAR) + f"SELECT nation, season, i, {r('q / SUM(q) OVER (PARTITION BY nation, season)')} AS p FROM near WHERE c = 1")
+@add("cl9_seeding_mass", with_base(PAIRS, CONST, NEAR) + f"SELECT nation, season, i, {r('q / NULLIF(SUM(q) OVER (PARTITION BY nation, season), 0)')} AS p FROM near WHERE c = 1")
 def _(spark: Spark, sf: str) -> DataFrame:
     first = _near(spark, sf).where("c = 1")
-    return first.select(*CELL, "i", rounded(F.col("q") / F.sum("q").over(Window.partitionBy(*CELL))).alias("p"))
+    return first.select(*CELL, "i", rounded(F.col("q") / F.nullif(F.sum("q").over(Window.partitionBy(*CELL)), F.lit(0.0))).alias("p"))
 
 
 @add("cl10_noise_distance", with_base(PAIRS, CONST, NEAR, U) + f"SELECT nation, season, {r('MAX(delta)')} AS dave, {r('SUM(' + ' + '.join(f'{_UM(k)} * q{k}' for k in range(1, K + 1)) + f') * {RHO} / (COUNT(*) * {K})')} AS paper FROM u GROUP BY nation, season")
@@ -278,7 +279,7 @@ ALL = (PAIRS, CONST, NEAR, U, ZED, PROF, COST, ASSIGN)
 def _profiles(spark: Spark, sf: str) -> DataFrame:
     z = A.z_scores(cells(spark, sf).select(*CELL, "uid", *FEATURES), FEATURES)
     u = _memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), "u")
-    return A.profiles(z.join(u, [*CELL, "uid"]), CELL, "u", K, Z)
+    return staged(A.profiles(z.join(u, [*CELL, "uid"]), CELL, "u", K, Z), "profiles")
 
 
 def _costs(spark: Spark, sf: str) -> DataFrame:
@@ -286,15 +287,15 @@ def _costs(spark: Spark, sf: str) -> DataFrame:
 
 
 def _chosen(spark: Spark, sf: str) -> DataFrame:
-    return A.optimal_assignment(_costs(spark, sf), CELL, K)
+    return staged(A.optimal_assignment(_costs(spark, sf), CELL, K), "assignment")
 
 
 def _labels(spark: Spark, sf: str) -> DataFrame:
-    return A.propagate_labels(_chosen(spark, sf), ["nation"], "season", 1995, 2001, K)
+    return staged(A.propagate_labels(_chosen(spark, sf), ["nation"], "season", 1995, 2001, K), "labels")
 
 
 def _aligned(spark: Spark, sf: str) -> DataFrame:
-    return A.relabel(_memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), "u"), _labels(spark, sf), CELL, "u", K)
+    return staged(A.relabel(_memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), "u"), _labels(spark, sf), CELL, "u", K), "aligned")
 
 
 ALIGNED = f"""aligned AS (SELECT nation, season, i AS uid, {', '.join(f'MAX(CASE WHEN label = {k} THEN [u1, u2, u3][cluster] END) AS v{k}' for k in range(1, K + 1))}, MAX(u{K + 1}) AS v{K + 1} FROM u JOIN labels USING (nation, season) GROUP BY nation, season, i),

@@ -13,6 +13,7 @@ from ..operators import fcm
 from ..operators import panel as P
 from ..operators import resample as R
 from ..operators.distance import scaling_constants
+from ..sources.io import staged
 from .base import TYPES, K, Registry, panel, r, rounded, scaled_sample, with_base
 from .clustering import MAIN, RHO, T_ALL, W, _pairs, _transitions, cells, fits
 
@@ -48,7 +49,7 @@ def with_changes(spark: Spark, sf: str, transitions: DataFrame | None = None) ->
     """The design with membership changes du_1.. (cluster 1 left out as the reference) and du_noise."""
     t = _transitions(spark, sf) if transitions is None else transitions
     du = t.select("uid", "season", *[F.element_at("delta", k).alias(f"du_{k}") for k in range(2, K + 1)], F.element_at("delta", K + 1).alias("du_noise"), "transition_norm", "delta_entropy")
-    return design(spark, sf).join(du, ["uid", "season"])
+    return staged(design(spark, sf).join(du, ["uid", "season"]), "design")
 
 
 DU = [f"du_{k}" for k in range(2, K + 1)] + ["du_noise"]
@@ -91,7 +92,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("ec7_nested_models")
 def _(spark: Spark, sf: str) -> DataFrame:
-    data = with_changes(spark, sf).persist()
+    data = with_changes(spark, sf)
     added = {"du": DU, "norm": ["transition_norm"], "dH": ["delta_entropy"]}
     out = [{"base": b, "added": a, **E.compare(data, "y", BLOCKS[b], cols, "uid")} for b in ("core", "full") for a, cols in added.items()]
     return spark.createDataFrame([tuple(x.values()) for x in out], "base string, added string, n long, k_added long, adjR2_base double, adjR2_ext double, d_adjR2 double, wald_p double")
@@ -129,7 +130,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("ec13_hausman")
 def _(spark: Spark, sf: str) -> DataFrame:
-    data = with_changes(spark, sf).persist()
+    data = with_changes(spark, sf)
     names, fe = E.fixed_effects(data, "y", [*CORE, *DU], "uid")
     re, _ = E.random_effects(data, "y", names, "uid")
     return spark.createDataFrame([(*E.hausman(fe, re), "unadjusted covariances")], "stat double, df long, p double, warning string")
@@ -137,7 +138,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("ec14_panel_block_tests")
 def _(spark: Spark, sf: str) -> DataFrame:
-    data = with_changes(spark, sf).persist()
+    data = with_changes(spark, sf)
     names, fe = E.fixed_effects(data, "y", [*CORE, *DU], "uid", clustered=True)
     re, _ = E.random_effects(data, "y", names, "uid")
     block = [c for c in DU if c in names]
@@ -160,7 +161,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
     scores = z.select("uid", "season", *[sum([F.lit(float(v)) * F.col(f"z_{c}") for v, c in zip(vectors[:, j], cols)], F.lit(0.0)).alias(f"pc{j}") for j in range(len(cols))])
     names = [f"pc{j}" for j in range(len(cols))]
     d = P.consecutive_pairs(scores, "uid", "season", names).select("uid", "season", *[(F.col(f"{n}_t1") - F.col(f"{n}_t")).alias(f"d{n}") for n in names])
-    data = with_changes(spark, sf).join(d, ["uid", "season"]).persist()
+    data = staged(with_changes(spark, sf).join(d, ["uid", "season"]), "design")
     out = [(label, E.compare(data, "y", BLOCKS["minimal"], block, "uid")) for label, block in (("memberships", DU), ("first components", [f"dpc{j}" for j in range(min(3, len(cols)))]), ("components for 70%", [f"dpc{j}" for j in range(need)]))]
     return spark.createDataFrame([(label, x["n"], x["wald_p"], x["d_adjR2"]) for label, x in out], "summary string, n long, wald_p double, d_adjR2 double")
 
@@ -176,7 +177,7 @@ def bootstrap_draws(spark: Spark, sf: str, replicates: int = 3) -> DataFrame:
 
     The cell of a fit is (replicate, nation, season), so replicates run side by side.
     """
-    base = cells(spark, sf).persist()
+    base = staged(cells(spark, sf), "cells")
     row = scaling_constants(_pairs(spark, sf)).first()
     features = [*TYPES.columns]
     original = fits(spark, sf, {"main": MAIN})
@@ -188,7 +189,7 @@ def bootstrap_draws(spark: Spark, sf: str, replicates: int = 3) -> DataFrame:
     cell = ["replicate", "nation", "season"]
     fitted = fcm.fit_cells(drawn, cell, "draw_id", TYPES, {"main": MAIN}, (row["c1"], row["c2"], row["c3"]))
     uid = F.substring_index("draw_id", "#", 1).cast("long")
-    fitted = fitted.withColumn("uid", uid).persist()
+    fitted = staged(fitted.withColumn("uid", uid), "fits")
     prof = A.profiles(fitted.join(zed, ["nation", "season", "uid"]), cell, "u", K, names)
     labels = A.anchor(prof, fixed, cell, names, K).select(*cell, F.col("a").alias("cluster"), F.col("b").alias("label"))
     member = A.relabel(fitted.select(*cell, "uid", "draw_id", "u"), labels, cell, "u", K).withColumn("key", F.concat_ws("/", "replicate", "draw_id"))
@@ -222,17 +223,17 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 def evaluate(spark: Spark, sf: str, configs: dict[str, fcm.FitConfig]) -> DataFrame:
     """(config, noise_share, crisp, persistence, pairs, core_p, core_dR2) of each clustering, aligned over periods and put to the regression."""
-    found = fits(spark, sf, configs).persist()
-    zed = A.z_scores(cells(spark, sf), TYPES.columns).select("nation", "season", "uid", *[f"z_{c}" for c in TYPES.columns])
+    found = staged(fits(spark, sf, configs), "fits")
+    zed = staged(A.z_scores(cells(spark, sf), TYPES.columns).select("nation", "season", "uid", *[f"z_{c}" for c in TYPES.columns]), "z-scores")
     names, out = [f"z_{c}" for c in TYPES.columns], []
     for name, config in configs.items():
         own = found.where(F.col("config") == name)
         k = config.k
         prof = A.profiles(zed.join(own.select("nation", "season", "uid", "u"), ["nation", "season", "uid"]), ["nation", "season"], "u", k, names)
         steps = A.optimal_assignment(A.profile_costs(prof, ["nation"], "season", names), ["nation", "season"], k)
-        labels = A.propagate_labels(steps, ["nation"], "season", 1995, 2001, k)
-        aligned = A.relabel(own.select("nation", "season", "uid", "u"), labels, ["nation", "season"], "u", k).persist()
-        t = A.transitions(aligned, "uid", "season", "u", k).persist()
+        labels = staged(A.propagate_labels(staged(steps, "assignment"), ["nation"], "season", 1995, 2001, k), "labels")
+        aligned = staged(A.relabel(own.select("nation", "season", "uid", "u"), labels, ["nation", "season"], "u", k), "aligned")
+        t = A.transitions(aligned, "uid", "season", "u", k)
         du = [f"du_{j}" for j in range(2, k + 1)] + ["du_noise"]
         data = design(spark, sf).join(t.select("uid", "season", *[F.element_at("delta", j + 1).alias(c) for j, c in zip(range(1, k + 1), du)]), ["uid", "season"])
         facts = aligned.agg(F.avg((F.col("hard") == k + 1).cast("double")).alias("noise"), F.avg((F.array_max(F.slice("u", 1, k)) >= 0.7).cast("double")).alias("crisp")).first()
@@ -259,7 +260,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("ec21_variations")
 def _(spark: Spark, sf: str) -> DataFrame:
-    data = with_changes(spark, sf).persist()
+    data = with_changes(spark, sf)
     limits = data.agg(F.percentile("y", 0.01).alias("a"), F.percentile("y", 0.99).alias("b")).first()
     samples = {"all": data, "winsorised": data.withColumn("y", F.least(F.greatest("y", F.lit(limits["a"])), F.lit(limits["b"]))), "exposed": data.where("log_minutes >= 4.5"), "without_last": data.where("season < 2000"), "one_source": data.where("n_clubs <= 1")}
     out = []

@@ -221,7 +221,9 @@ def _pairs(spark: Spark, sf: str) -> DataFrame:
 @add("flt6_variations", with_base(PAIRS) + " UNION ALL ".join(f"SELECT '{n}' AS variation, COUNT(*) AS n, COUNT(DISTINCT uid) AS entities FROM pairs WHERE {p}" for n, p in P.VARIATIONS.items()))
 def _(spark: Spark, sf: str) -> DataFrame:
     marked = _pairs(spark, sf).select("uid", F.explode(F.array(*[F.when(F.expr(p), F.lit(n)) for n, p in P.VARIATIONS.items()])).alias("variation")).where("variation is not null")
-    return marked.groupBy("variation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("entities"))
+    counted = marked.groupBy("variation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("entities"))
+    every = spark.createDataFrame([(n,) for n in P.VARIATIONS], "variation string")
+    return F.broadcast(every).join(counted, "variation", "left").na.fill(0, ["n", "entities"])
 
 
 @add("flt6_winsorise", with_base() + f"SELECT uid, season, {r('least(greatest(value, lo), hi)', 4)} AS x FROM panel, (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM panel)")
