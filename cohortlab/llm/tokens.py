@@ -1,7 +1,8 @@
 """Token ids of whole texts, by encoding each distinct chunk once, and their Parquet files with ordered, selective reads.
 
 A chunk ends where the pre-tokeniser always splits, so the ids of a text are those of its chunks, one after the other: for the word
-tokenizer at any white space, which it drops; for the byte-level one before a single white-space character between two others.
+tokenizer at any white space, which it drops; for the byte-level one before a single white-space character between two others; and for
+both between an ASCII letter and a punctuation mark.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path
-from .textvec import NOT_SPACE, SPACE, column, gather, lists, parts, span_hashes, spans
+from .textvec import SPACE, column, gather, lists, parts, span_hashes
 
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~")] = True  # not ', which contractions hold, nor |, which stands in the names of special tokens
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -31,13 +36,15 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts by the tokenizers library; the chunks seen are kept, up to `most` of them."""
 
-    def __init__(self, path: str, words: bool, most: int = 600_000):
+    def __init__(self, path: str, words: bool, most: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.most = Tokenizer.from_file(path), words, most
+        special = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        self.between_id, self.between = (special[-1][0], special[-1][1].content) if special and special[-1][1].content.startswith("<|") else (-1, "")
         self._clear()
 
     @classmethod
@@ -48,23 +55,60 @@ class Encoder:
         return _encoders[path, words]
 
     def _clear(self) -> None:
-        self.keys, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.keys, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.int32)
+        self.used = 0
+
+    def _append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + len(ids), np.int32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.words:
-            return spans(data, offsets, NOT_SPACE)
         space = SPACE[data]
-        cut = np.zeros(len(data), bool)
-        cut[1:-1] = space[1:-1] & ~space[:-2] & ~space[2:]
         full = offsets[1:] > offsets[:-1]
-        cut[offsets[1:][full] - 1] = False  # the last character of a row has no neighbour there
-        if _ODD_SPACE.search(data.tobytes()):  # such rows stay whole
+        cut = np.zeros(len(data), bool)
+        if self.words:
+            cut[1:] = ~space[1:] & space[:-1]
+        else:
+            cut[1:-1] = space[1:-1] & ~space[:-2] & ~space[2:]
+            cut[offsets[1:][full] - 1] = False  # the last character of a row has no neighbour there
+        cut[1:] |= MARK[data[1:]] & LETTER[data[:-1]]
+        if not self.words and _ODD_SPACE.search(data.tobytes()):  # such rows stay whole
             for i in range(len(offsets) - 1):
                 if _ODD_SPACE.search(data[offsets[i] : offsets[i + 1]].tobytes()):
                     cut[offsets[i] : offsets[i + 1]] = False
         cut[offsets[:-1][full]] = True
         starts = np.flatnonzero(cut)
-        return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
+        ends = np.append(starts[1:], len(data))
+        if self.words:  # without the white space at a chunk's end, which gives no id
+            last = np.where(space, 0, np.arange(1, len(data) + 1))
+            ends = np.maximum(starts, np.maximum.accumulate(last)[ends - 1]) if len(starts) else ends
+        return starts, ends, np.searchsorted(starts, offsets)
+
+    def _encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has.
+
+        Many short texts are encoded as one, with a special token between them, at which the library always splits; those that could hold a special token are encoded by themselves.
+        """
+        own = [i for i, x in enumerate(texts) if "<|" in x] if self.between else range(len(texts))
+        alone = {i: e.ids for i, e in zip(own, self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False))}
+        rest = [x for i, x in enumerate(texts) if i not in alone] if alone else texts
+        groups = [self.between.join([*rest[a : a + 256], ""]) for a in range(0, len(rest), 256)] if self.between else []
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)), np.int32) if groups else np.empty(0, np.int32)
+        cut = np.flatnonzero(flat == self.between_id)
+        n = np.diff(cut, prepend=-1) - 1
+        flat = np.delete(flat, cut)
+        if alone:
+            every = np.zeros(len(texts), np.int64)
+            every[[i for i in range(len(texts)) if i not in alone]] = n
+            ids = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+            it = iter(ids)
+            flat = np.concatenate([np.array(alone[i], np.int32) if i in alone else next(it) for i in range(len(texts))])
+            for i, x in alone.items():
+                every[i] = len(x)
+            n = every
+        return flat, n
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and their n + 1 places."""
@@ -72,7 +116,7 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
         keys, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most or len(self.flat) > 8 * self.most:
+        if len(self.keys) > self.most or self.used > 8 * self.most:
             self._clear()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -82,13 +126,11 @@ class Encoder:
             new = np.flatnonzero(~known)
             raw = data.tobytes()
             texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist())]
-            got = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum()))
-            at = len(self.flat) + np.cumsum(n) - n
-            order = np.argsort(all_keys := np.concatenate((self.keys, keys[new])), kind="stable")
-            self.keys, self.at, self.n = all_keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
-            self.flat = np.concatenate((self.flat, flat))
+            flat, n = self._encode_texts(texts)
+            at = self.used + np.cumsum(n) - n
+            self._append(flat)
+            into, new_keys = place[new], keys[new]  # both in ascending order
+            self.keys, self.at, self.n = np.insert(self.keys, into, new_keys), np.insert(self.at, into, at), np.insert(self.n, into, n)
             place = np.searchsorted(self.keys, keys)
         which = place[back]
         lengths = self.n[which]
