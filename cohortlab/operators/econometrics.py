@@ -107,7 +107,7 @@ def ols_clustered(df: DataFrame, y: str, x: list[str], cluster: str, constant: b
         cov = turn @ cov @ turn.T
     sse = yy - xy @ solve(xx, xy)
     r2 = 1 - sse / yy if yy else float("nan")
-    return Regression(names, beta, cov, int(n), groups, r2, 1 - (1 - r2) * (n - constant) / max(1.0, n - k))
+    return Regression(names, beta, cov, int(n), groups, float(r2), float(1 - (1 - r2) * (n - constant) / max(1.0, n - k)))
 
 
 def compare(df: DataFrame, y: str, base: list[str], added: list[str], cluster: str) -> dict[str, float]:
@@ -149,7 +149,7 @@ def grouped_cv(df: DataFrame, y: str, models: dict[str, list[str]], entity: str,
                 b = solve(train[np.ix_(at, at)], train[at, last])
                 sse[m] += test[last, last] - 2 * b @ test[at, last] + b @ test[np.ix_(at, at)] @ b
         for m in models:
-            out[m].append(1 - sse[m] / sst if sst else float("nan"))
+            out[m].append(float(1 - sse[m] / sst) if sst else float("nan"))
     return out
 
 
