@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,22 @@ WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system
+    _libc = None
+
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live long, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -37,7 +50,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `limit` bytes each, or of one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -46,11 +59,14 @@ def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def parts(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for each slice of a column."""
     data, offsets = buffers(col)
-    for i, j in slices(offsets, limit):
+    for k, (i, j) in enumerate(slices(offsets, limit)):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if k % 8 == 7:
+            release()
+    release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
