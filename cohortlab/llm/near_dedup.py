@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import build_bloom, materialize, probe_bloom, sized_join
-from .textvec import WORD, column, lists, mix, parts, span_hashes, spans, window_hashes
+from .textvec import WORD, column, gather, lists, mix, parts, release, span_hashes, spans, window_hashes
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 OUTPUT = ["class_id", "class_size", "kept"]
@@ -97,7 +97,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in parts(_lower(column(batch, "text"))):
+            for i, j, data, offsets in parts(_lower(column(batch, "text")), 512 << 10):
                 h, w, off = weighted_shingles(data, offsets)
                 keys = band_keys(dart_signatures(h, w, off, BANDS * ROWS)).view(np.int64)
                 full = np.diff(off) > 0
@@ -116,7 +116,7 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, texts: DataFrame) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in parts(_lower(column(batch, "text"))):
+            for i, j, data, offsets in parts(_lower(column(batch, "text")), 512 << 10):
                 e, _, row = cells(*weighted_shingles(data, offsets))
                 order = np.lexsort((e, row))
                 yield pa.RecordBatch.from_arrays([column(batch, "uid").slice(i, j - i), lists(e[order].view(np.int64), np.searchsorted(row, np.arange(j - i + 1)))], ["uid", "cells"])
@@ -149,65 +149,113 @@ def _verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFr
                 z.sort()
                 same = int((z[1:] == z[:-1]).sum())
                 near[i] = same >= threshold * (len(z) - same)
+            release()
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in (column(batch, "src"), column(batch, "dst"))], ["src", "dst"])
 
     return both.mapInArrow(run, "src long, dst long")
 
 
-def _next_pivots(large: DataFrame, last: int, count: int) -> DataFrame:
-    """(band, key, src, c1, n): about `count` members of each bucket, those numbered from `last` on.
+def links_between_classes(size: np.ndarray, flat: np.ndarray, label: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different classes, by an exact prefix filter: enough of them to join every two classes that any link joins.
 
-    A member's number is its hash modulo the size of its bucket, about one member a number, so no bucket is sorted in one task.
+    size, flat: cells of each text; label: its class; side: texts of one side are not compared with each other, unless all are on side -1. With the cells of a text ordered from the
+    rarest to the most frequent, two texts of a similarity of at least t share one of the first |x| - ceil(t |x|) + 1 cells of both. Pairs within a class, given or found, are passed over.
     """
-    place = F.pmod(F.xxhash64("uid"), F.col("n"))  # about one member a place
-    return large.where((place >= last) & (place < last + count)).select("band", "key", F.col("uid").alias("src"), F.col("class").alias("c1"), "n")
-
-
-def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, small: int = 24, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+    n, first = len(size), np.concatenate(([0], np.cumsum(size)))
+    _, cell, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    cell, row = rank[cell], np.repeat(np.arange(n), size)
+    order = np.lexsort((cell, row))
+    cell = cell[order]
+    need = np.ceil(size * threshold - 1e-9).astype(np.int64)
+    inside = np.arange(len(cell)) - first[row] < (size - need + 1)[row]
+    by = np.argsort(cell[inside], kind="stable")
+    posting, at = row[inside][by], np.searchsorted(cell[inside][by], np.arange(len(often) + 1))
+    root = {c: c for c in set(label.tolist())}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    current, mark, out = label.copy(), np.zeros(len(often), bool), []
+    for x in range(n):
+        own = cell[first[x] : first[x + 1]]
+        head = own[: size[x] - need[x] + 1]
+        near = np.flatnonzero(np.bincount(gather(posting, at[head], at[head + 1] - at[head]), minlength=n)[:x])
+        near = near[(current[near] != current[x]) & ((side[near] != side[x]) | (side[x] < 0)) & (np.minimum(size[near], size[x]) >= threshold * np.maximum(size[near], size[x]))]
+        if not len(near):
+            continue
+        mark[own] = True
+        hits = mark[gather(cell, first[near], size[near])]
+        mark[own] = False
+        both = np.add.reduceat(hits, np.cumsum(size[near]) - size[near], dtype=np.int64)
+        for y in near[both >= threshold * (size[near] + size[x] - both) - 1e-9].tolist():
+            a, b = find(int(current[x])), find(int(current[y]))
+            if a != b:
+                out.append((x, y))
+                root[max(a, b)] = min(a, b)
+                current[(current == a) | (current == b)] = min(a, b)
+    return out
+
+
+def _links_in_families(members: DataFrame, pairs: DataFrame, classes: DataFrame, shingled: DataFrame, threshold: float, block: int = 1500) -> DataFrame:
+    """(src, dst): links that join classes, among the texts of buckets that still hold several classes.
+
+    Texts that a chain of shared buckets connects are a family. Small families are dealt by hash, several to a task; a larger one is cut into blocks, and each pair of its
+    blocks is a task, so no task holds more than about 2 * block texts and no pair of texts is ever a row.
+    """
+    held = members.join(classes, members["uid"] == classes["node"], "left").select("band", "key", "uid", F.coalesce("component", "uid").alias("class"))
+    mixed = held.groupBy("band", "key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    open_ = sized_join(held, mixed, ["band", "key"], "n", held.count()).select("uid", "class").distinct()
+    family = connected_components(pairs.select("src", "dst"))
+    placed = materialize(open_.join(family, open_["uid"] == family["node"]).select("uid", "class", F.col("component").alias("family")), "open")
+    total = placed.count()
+    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("family", "n")
+    groups = max(1, total // block)
+    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
+    dealt = sized_join(placed, sizes, ["family"], "n", max(total, 1)).withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(-1 - F.col("family"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("uid", "class", "group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+    rows = dealt.join(shingled, "uid")
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("uid")
+        cells_ = table.column("cells").combine_chunks()
+        uid, part = table.column("uid").to_numpy(), table.column("part").to_numpy()
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        found = links_between_classes(np.diff(cells_.offsets.to_numpy()).astype(np.int64), cells_.flatten().to_numpy(), table.column("class").to_numpy(), part if across else np.full(len(uid), -1), threshold)
+        return pa.table({"src": uid[[x for x, _ in found]].astype(np.int64), "dst": uid[[y for _, y in found]].astype(np.int64)})
+
+    return rows.groupBy("group", "i", "j").applyInArrow(link, "src long, dst long")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): rows (row, id, k1, k2) of df, and one row for each distinct text with its class.
 
-    Every text of a bucket is compared with the bucket's least text. Buckets that still hold texts of several classes are then worked off:
-    small ones pair by pair, larger ones by further pivots, until each pair of different classes in a bucket was compared or came to lie in one class.
+    Every text of a bucket is compared with the bucket's least text, which joins most near-duplicates at a cost in proportion to the rows. Texts of buckets that
+    still hold several classes are then compared exactly within their families, so every link between two texts that share a bucket is found or lies within a class.
     """
     rows = materialize(_signed(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signed")
     texts = rows.groupBy("k1", "k2").agg(F.min("row").alias("uid"), F.min(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     texts = materialize(texts.select("uid", "k1", "k2", F.col("top.id").alias("id"), F.col("top.row").alias("top_row"), "copies", "bands"), "texts")
+    total = texts.count()
     banded = texts.select("uid", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(sized_join(banded, buckets, ["band", "key"], "n", texts.count()), "buckets")
+    buckets = materialize(banded.groupBy("band", "key").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = materialize(sized_join(banded, buckets, ["band", "key"], "n", total), "members")
     pairs = materialize(members.where("uid <> least").groupBy(F.col("least").alias("src"), F.col("uid").alias("dst")).agg(F.max("n").alias("n")), "pairs")
     ids = members.select("uid").distinct().join(texts.select("uid", "id", "k1", "k2"), "uid")
     shingled = materialize(_shingled(df, id_col, text_col, materialize(ids, "candidates")), "shingles")
     links = materialize(_verified(pairs, shingled, threshold), "verified")
     classes = connected_components(links)
-    last = -1  # pivots of large buckets up to this place have been compared
-    while True:
-        held = members.join(classes, members["uid"] == classes["node"], "left").select("band", "key", "uid", "least", "n", F.coalesce("component", "uid").alias("class"))
-        mixed = held.groupBy("band", "key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("band", "key")
-        open_ = materialize(held.join(mixed, ["band", "key"]), "open")
-        left = open_.select("band", "key", F.col("uid").alias("src"), F.col("class").alias("c1"), "n", "least")
-        right = open_.select("band", "key", F.col("uid").alias("dst"), F.col("class").alias("c2"))
-        if last < 0:  # all pairs of small buckets: at most `small` partners a text
-            more = left.where(F.col("n") <= small).where("src <> least").join(right, ["band", "key"]).where("src < dst and c1 <> c2")
-            more = more.select("src", "dst", F.lit(1).cast("long").alias("n")).distinct()
-            last = 0
-        else:
-            large = open_.where(F.col("n") > small)
-            ranked = materialize(_next_pivots(large, last, pivots), "pivots")
-            if large.where(F.col("n") > last).isEmpty():  # every member has been a pivot
-                break
-            more = ranked.join(right, ["band", "key"]).where("src <> dst and c1 <> c2").groupBy("src", "dst").agg(F.max("n").alias("n"))
-            last, pivots = last + pivots, 2 * pivots
-        more = materialize(more, "pairs")
-        if not more.isEmpty():
-            found = materialize(_verified(more, shingled, threshold), "verified")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                classes = connected_components(links)
+    more = materialize(_links_in_families(members, pairs, classes, shingled, threshold), "links")
+    if not more.isEmpty():
+        classes = connected_components(links.unionByName(more))
     joined = texts.drop("bands").join(classes, texts["uid"] == classes["node"], "left").select("uid", "k1", "k2", "id", "top_row", "copies", F.coalesce("component", "uid").alias("class"))
     joined = materialize(joined, "classed")
     top = joined.groupBy("class").agg(F.min(F.struct("id", "top_row")).alias("top"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("__texts"))
-    return rows, sized_join(joined, materialize(top, "tops"), ["class"], "__texts", texts.count())
+    return rows, sized_join(joined, materialize(top, "tops"), ["class"], "__texts", total)
 
 
 def mark_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

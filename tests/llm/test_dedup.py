@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -125,12 +126,33 @@ def test_near_mixed_bucket(spark, monkeypatch):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 1000, 40)) for _ in range(18)]
     texts += [t + " end" for t in texts]
+    whole = near_dedup._links_in_families
     monkeypatch.setattr(near_dedup, "band_keys", lambda sig: np.zeros((len(sig), 1), np.uint64))
     monkeypatch.setattr(near_dedup, "BANDS", 1)
     monkeypatch.setattr(near_dedup, "ROWS", 125)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    rows, classes = near_dedup._classes(df, "doc_id", "text", 0.8)
-    assert sorted(r["class_size"] for r in classes.collect()) == [2] * 36
+    for block in (1500, 7):  # a family in one task, and cut into pairs of blocks
+        monkeypatch.setattr(near_dedup, "_links_in_families", partial(whole, block=block))
+        rows, classes = near_dedup._classes(df, "doc_id", "text", 0.8)
+        assert sorted(r["class_size"] for r in classes.collect()) == [2] * 36
+
+
+def test_links_between_classes_against_brute_force():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 40))) for _ in range(60)]
+    for k in range(60):  # near copies, copies of copies, and subsets
+        s = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.concatenate((s[rng.random(len(s)) > 0.08], rng.integers(0, 400, rng.integers(0, 3))))) if k % 3 else s.copy())
+    sets = [s for s in sets if len(s)]
+    size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+    near = lambda x, y: len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))
+    label = np.arange(len(sets))
+    label[::7] = label[0]
+    given = [(0, i) for i in range(0, len(sets), 7)]
+    for side in (np.full(len(sets), -1), np.arange(len(sets)) % 2):
+        links = [(x, y) for x in range(len(sets)) for y in range(x) if near(x, y) and (side[x] < 0 or side[x] != side[y])]
+        found = near_dedup.links_between_classes(size, flat, label, side, 0.8)
+        assert set(found) <= set(links) and components(range(len(sets)), found + given) == components(range(len(sets)), links + given)
 
 
 def test_dart_signature_estimates_weighted_jaccard():
