@@ -12,7 +12,7 @@ from ..sources.io import exists, scratch_path
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, keys, n, total) of tumbling windows; rows later than the watermark are dropped, so the state stays bounded."""
-    spans = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys)
+    spans = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys)
     return spans.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 

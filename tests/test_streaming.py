@@ -9,7 +9,7 @@ def test_windowed_counts_match_batch(spark, sf, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/events")
     query = incremental.windowed_counts(stream, "ts", ["event_type"], "value").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/a").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    batch = events.groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    batch = events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     got = spark.table("windows").select("start", "event_type", "n")
     assert got.count() == batch.count() and got.exceptAll(batch).isEmpty()
 
