@@ -24,7 +24,7 @@ class FitConfig:
     rho: float = 1.0
     starts: int = 10
     seed: int = 0
-    noise_rule: str = "dave"
+    noise_rule: str = "mean"
     weights: tuple[float, ...] | None = None
     weight_floor: float = 0.0
     most_rounds: int = 200
@@ -111,7 +111,7 @@ def fit_once(squares: list[np.ndarray], config: FitConfig, seed: int) -> Fit:
             weights = config.weight_floor + (1 - types * config.weight_floor) * inverse / inverse.sum()
             whole = combine()
         near = whole[:, medoids]
-        noise = config.rho * ((um * near).sum() / (n * k) if config.noise_rule == "paper" else near.mean())
+        noise = config.rho * ((um * near).sum() / (n * k) if config.noise_rule == "weighted" else near.mean())
         cost, new = whole @ um, []
         for c in range(k):  # one after the other, since a medoid serves one cluster only
             cost[new, c] = np.inf

@@ -136,10 +136,10 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return first.select(*CELL, "i", rounded(F.col("q") / F.nullif(F.sum("q").over(Window.partitionBy(*CELL)), F.lit(0.0))).alias("p"))
 
 
-@add("cl10_noise_distance", with_base(PAIRS, CONST, NEAR, U) + f"SELECT nation, season, {r('MAX(delta)')} AS dave, {r('SUM(' + ' + '.join(f'{_UM(k)} * q{k}' for k in range(1, K + 1)) + f') * {RHO} / (COUNT(*) * {K})')} AS paper FROM u GROUP BY nation, season")
+@add("cl10_noise_distance", with_base(PAIRS, CONST, NEAR, U) + f"SELECT nation, season, {r('MAX(delta)')} AS plain, {r('SUM(' + ' + '.join(f'{_UM(k)} * q{k}' for k in range(1, K + 1)) + f') * {RHO} / (COUNT(*) * {K})')} AS weighted FROM u GROUP BY nation, season")
 def _(spark: Spark, sf: str) -> DataFrame:
     weighted = sum([F.pow(_u(k), M) * F.col(f"q{k}") for k in range(2, K + 1)], F.pow(_u(1), M) * F.col("q1"))
-    return _memberships(spark, sf).groupBy(*CELL).agg(rounded(F.max("delta")).alias("dave"), rounded(fcm.noise_distance(RHO, weighted, F.lit(1.0), F.count(F.lit(1)) * K)).alias("paper"))
+    return _memberships(spark, sf).groupBy(*CELL).agg(rounded(F.max("delta")).alias("plain"), rounded(fcm.noise_distance(RHO, weighted, F.lit(1.0), F.count(F.lit(1)) * K)).alias("weighted"))
 
 
 _LONG_U = f"long_u AS (SELECT nation, season, i, unnest([{', '.join(str(k) for k in range(1, K + 1))}]) AS c, unnest([{', '.join(_UM(k) for k in range(1, K + 1))}]) AS um FROM u)"

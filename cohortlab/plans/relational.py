@@ -339,8 +339,8 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("jn10_identities")
 def _(spark: Spark, sf: str) -> DataFrame:
-    rows = io.table(spark, sf, "part").select(F.col("p_brand").alias("tm"), F.col("p_name").alias("key"), F.col("p_type").alias("period"), F.col("p_name").alias("name"), F.col("p_size").alias("year"), F.col("p_retailprice").alias("score"), F.lit(1.0).alias("w"))
-    return L.resolve_identities(rows, "tm", "key", "period", "name", "year", "score", "w")
+    rows = io.table(spark, sf, "part").select(F.col("p_brand").alias("ident"), F.col("p_name").alias("key"), F.col("p_type").alias("period"), F.col("p_name").alias("name"), F.col("p_size").alias("year"), F.col("p_retailprice").alias("score"), F.lit(1.0).alias("w"))
+    return L.resolve_identities(rows, "ident", "key", "period", "name", "year", "score", "w")
 
 
 @add("jn11_fill_zero", "SELECT c_custkey, COALESCE(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")

@@ -36,7 +36,6 @@ def test_tails():
     assert math.isclose(special.f_tail(4.964602743730711, 1, 10), 0.05, rel_tol=1e-9) and math.isclose(special.f_tail(2.71, 5, 20), 0.0500, rel_tol=2e-3)
     assert special.chi2_tail(0, 3) == 1 and special.f_tail(0, 2, 3) == 1
     assert special.holm([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.06, 0.06])
-    # a stored estimate of the reference study: coefficient over standard error gives its p-value
     assert special.holm([0.0116] + [0.5] * 9)[0] == pytest.approx(0.116)
 
 
