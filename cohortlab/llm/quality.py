@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import buffers, column
+from .textvec import buffers, column, release
 
 DIM = 1 << 17  # 2**16 for exact byte pairs, 2**16 for hashed runs of four bytes
 
@@ -52,7 +52,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     sign = np.where(y > 0, 1.0, -1.0)
     upper = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y <= 0).sum())))
     w, bias, alpha, rng = np.zeros(DIM), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
-    values = [scale[x] / np.sqrt(max(1, len(x))) for x in rows]
+    values = [(scale[x] / np.sqrt(max(1, len(x)))).astype(np.float32) for x in rows]
     square = np.array([v @ v + 1.0 for v in values])
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -108,12 +108,14 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", m
         for batch in batches:
             data, off = buffers(column(batch, "text"))
             found = [indicators(data[a:b]) for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([column(batch, "__id"), column(batch, "__y"), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], ["__id", "__y", "x"])
+            yield pa.RecordBatch.from_arrays([column(batch, "__id"), column(batch, "__y"), pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())], ["__id", "__y", "x"])
 
     chosen = documents.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "__id")  # at most most_rows labels
     got = sorted((i, y, bytes(x)) for i, y, x in chosen.mapInArrow(features, "__id long, __y int, x binary").collect())
-    rows = [np.frombuffer(x, "<u4").astype(np.int64) for _, _, x in got]
-    return fit_rows(rows, np.array([int(y > 0) for _, y, _ in got], dtype=np.int64))
+    model = fit_rows([np.frombuffer(x, "<i4") for _, _, x in got], np.array([int(y > 0) for _, y, _ in got], dtype=np.int64))
+    del got
+    release()
+    return model
 
 
 def score(df: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

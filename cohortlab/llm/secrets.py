@@ -53,41 +53,68 @@ def _tail(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(1.5976 * z + 0.070565992 * z * z * z))
 
 
-def _battery(token: Column) -> Column:
-    """Fisher-combined p-value of the three tests for a uniform random string over the token's inferred alphabet."""
-    alphabet = reduce(lambda rest, x: F.when(token.rlike(x[0]), F.lit(x[1])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][1]))
-    a, n = F.length(alphabet).cast("double"), F.length(token).cast("double")
-    # chi-squared: with c(k) the count of symbol k, X2 = A / n * sum c(k)^2 - n
-    squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.pow(n - F.length(F.replace(token, c, F.lit(""))), 2.0)))
-    chi = ((a / n * squares - n) - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    # runs about the middle: the token as a string of 0 (lower half of the alphabet) and 1
-    half = (a / 2).cast("int")
-    sides = F.call_function("translate", token, alphabet, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), F.length(alphabet) - half)))
-    low = F.length(F.replace(sides, F.lit("1"), F.lit(""))).cast("double")
-    high = n - low
-    turns = lambda x: (n - F.length(F.replace(sides, F.lit(x), F.lit("")))) / 2
-    runs, mean = 1 + turns("01") + turns("10"), 1 + 2 * low * high / n
-    spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-    runs_p = F.when((low == 0) | (high == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * _tail(F.abs((runs - mean) / spread)))
-    # serial correlation of neighbouring symbol values, whose mean and variance are known
-    mid, var = (a - 1) / 2, (a * a - 1) / 12
+def _symbols(t: Column) -> Column:
+    return F.filter(F.split(t, ""), lambda c: c != "")
+
+
+def _squares(t: Column) -> Column:
+    """Sum over the symbols of a token of the square of their counts."""
+    count = lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    return F.aggregate(F.array_distinct(_symbols(t)), F.lit(0.0), lambda acc, c: acc + F.pow(count(c), F.lit(2.0)))
+
+
+def _cross(t: Column, alphabet: Column, mid: Column) -> Column:
+    """Sum of the products of neighbouring symbol values about the middle of the alphabet."""
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("last"))
 
-    def step(acc: Column, c: Column) -> Column:
-        x = F.call_function("locate", c, alphabet).cast("double") - 1 - mid
-        return F.struct((acc["sum"] + F.coalesce(acc["last"] * x, F.lit(0.0))).alias("sum"), x.alias("last"))
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct((acc["sum"] + F.coalesce(acc["last"] * v, F.lit(0.0))).alias("sum"), v.alias("last"))
 
-    cross = F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), start, step, lambda acc: acc["sum"])
-    serial_p = 2 * _tail(F.abs(cross / (var * F.sqrt(n - 1))))
-    half_x = -sum(F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in (_tail(chi), runs_p, serial_p))
-    return F.exp(-half_x) * (1 + half_x + half_x * half_x / 2)
+    value = F.transform(_symbols(t), lambda c: F.call_function("locate", c, alphabet).cast("double") - 1 - mid)
+    return F.aggregate(value, start, step, lambda acc: acc["sum"])
 
 
 def _candidates(text: Column) -> Column:
-    """(s, e, band, bin) of each token of 20 or more characters that holds a digit and a letter."""
+    """(s, e, band, bin) of each token of 20 or more characters that holds a digit and a letter: its place, the logarithm of its length, and the bin of
+    Fisher's p-value of the three tests for a uniform random string over its inferred alphabet.
+
+    The steps follow each other as transforms of one array, so each quantity is computed once.
+    """
     tokens = F.filter(_found(text, CANDIDATE), lambda x: x["t"].rlike("[0-9]") & x["t"].rlike("[A-Za-z]"))
-    bin_ = lambda t: F.least(F.lit(LAST_BIN), F.floor(-F.log10(F.greatest(_battery(t), F.lit(1e-30))) * BINS_A_DECADE)).cast("int")
-    return F.transform(tokens, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.floor(F.log2(F.length(x["t"]))).cast("int").alias("band"), F.greatest(bin_(x["t"]), F.lit(0)).alias("bin")))
+    alphabet = lambda t: reduce(lambda rest, x: F.when(t.rlike(x[0]), F.lit(x[1])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][1]))
+    keep = lambda x, *names: [x[n].alias(n) for n in names]
+    named = F.transform(tokens, lambda x: F.struct(*keep(x, "s", "e", "t"), alphabet(x["t"]).alias("al")))
+
+    def measure(x: Column) -> Column:
+        size = F.length(x["al"])
+        half = (size / 2).cast("int")
+        # the token as a string of 0 (a symbol of the lower half of the alphabet) and 1
+        sides = F.call_function("translate", x["t"], x["al"], F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), size - half)))
+        return F.struct(*keep(x, "s", "e"), size.cast("double").alias("a"), F.length(x["t"]).cast("double").alias("n"), sides.alias("sides"), _squares(x["t"]).alias("squares"), _cross(x["t"], x["al"], (size - 1) / 2).alias("cross"))
+
+    def count(x: Column) -> Column:
+        low = F.length(F.replace(x["sides"], F.lit("1"), F.lit(""))).cast("double")
+        turns = lambda y: (x["n"] - F.length(F.replace(x["sides"], F.lit(y), F.lit("")))) / 2
+        return F.struct(*keep(x, "s", "e", "a", "n", "squares", "cross"), low.alias("low"), (1 + turns("01") + turns("10")).alias("runs"))
+
+    def standardize(x: Column) -> Column:
+        a, n, low = x["a"], x["n"], x["low"]
+        chi = ((a / n * x["squares"] - n) - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)  # exact mean and variance
+        less = 2 * low * (n - low) / n  # the mean number of runs, less one
+        runs = (x["runs"] - 1 - less) / F.sqrt(F.greatest(less * (less - 1) / (n - 1), F.lit(1e-9)))
+        serial = x["cross"] / ((a * a - 1) / 12 * F.sqrt(n - 1))
+        return F.struct(*keep(x, "s", "e", "n"), ((low == 0) | (low == n)).alias("flat"), chi.alias("chi"), F.abs(runs).alias("runs"), F.abs(serial).alias("serial"))
+
+    def combine(x: Column) -> Column:
+        ps = (_tail(x["chi"]), F.when(x["flat"], F.pow(F.lit(2.0), 1 - x["n"])).otherwise(2 * _tail(x["runs"])), 2 * _tail(x["serial"]))
+        return F.struct(*keep(x, "s", "e", "n"), (-sum(F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in ps)).alias("h"))
+
+    def grade(x: Column) -> Column:
+        p = F.exp(-x["h"]) * (1 + x["h"] + x["h"] * x["h"] / 2)  # upper tail of chi-squared with 6 degrees, at 2 h
+        b = F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_A_DECADE).cast("int")
+        return F.struct(*keep(x, "s", "e"), F.floor(F.log2(x["n"])).cast("int").alias("band"), F.greatest(F.least(b, F.lit(LAST_BIN)), F.lit(0)).alias("bin"))
+
+    return reduce(F.transform, (measure, count, standardize, combine, grade), named)
 
 
 def _cleared_from(df: DataFrame, text: Column, fdr: float) -> dict[int, int]:
