@@ -37,3 +37,12 @@ def test_registered():
     names = entry.queries()
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} and set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert set(entry.oracle_sql()) <= set(names) and zlib.crc32(b"1") >= 0
+
+
+def test_queries_against_sql(spark):
+    from tests.oracle import connect, difference
+
+    sf = "/root/testdata/sf0.01"
+    con = connect(sf)
+    for name, sql in queries.ORACLE_SQL.items():
+        assert difference(spark, con, queries.QUERIES[name], sql, sf) == ""
