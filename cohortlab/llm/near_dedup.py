@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import build_bloom, materialize, probe_bloom, sized_join
+from .shared import build_bloom, materialize, probe_bloom, remove, sized_join
 from .textvec import WORD, column, gather, lists, mix, parts, release, span_hashes, spans, window_hashes
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
@@ -243,10 +243,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tup
     total = texts.count()
     banded = texts.select("uid", F.posexplode("bands").alias("band", "key"))
     buckets = materialize(banded.groupBy("band", "key").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = materialize(sized_join(banded, buckets, ["band", "key"], "n", total), "members")
+    shared = probe_bloom(banded, "key", build_bloom(buckets.select("key"), "key"), "__maybe").where("__maybe").drop("__maybe")  # most bands have a bucket of their own
+    members = materialize(sized_join(shared, buckets, ["band", "key"], "n", total), "members")
     pairs = materialize(members.where("uid <> least").groupBy(F.col("least").alias("src"), F.col("uid").alias("dst")).agg(F.max("n").alias("n")), "pairs")
     ids = members.select("uid").distinct().join(texts.select("uid", "id", "k1", "k2"), "uid")
-    shingled = materialize(_shingled(df, id_col, text_col, materialize(ids, "candidates")), "shingles")
+    candidates = materialize(ids, "candidates")
+    shingled = materialize(_shingled(df, id_col, text_col, candidates), "shingles")
     links = materialize(_verified(pairs, shingled, threshold), "verified")
     classes = connected_components(links)
     more = materialize(_links_in_families(members, pairs, classes, shingled, threshold), "links")
@@ -254,6 +256,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tup
         classes = connected_components(links.unionByName(more))
     joined = texts.drop("bands").join(classes, texts["uid"] == classes["node"], "left").select("uid", "k1", "k2", "id", "top_row", "copies", F.coalesce("component", "uid").alias("class"))
     joined = materialize(joined, "classed")
+    for table in (texts, buckets, members, pairs, candidates, shingled):  # all that follows reads other tables
+        remove(table)
     top = joined.groupBy("class").agg(F.min(F.struct("id", "top_row")).alias("top"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("__texts"))
     return rows, sized_join(joined, materialize(top, "tops"), ["class"], "__texts", total)
 

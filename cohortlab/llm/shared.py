@@ -32,17 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and no lost executor takes rows with it."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete a materialized table that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark._jvm
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/cohortlab-" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
