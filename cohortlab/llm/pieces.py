@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import column, gather, lists, mix
+from .textvec import column, gather, lists, mix, release
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -32,7 +33,7 @@ def _log_gumbel_cut(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.nd
 class Pieces:
     """Vocabulary with log-probabilities. Merge-rank scores of BPE models give a rank law: log p falls with log(rank + 10)."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 150_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -41,7 +42,7 @@ class Pieces:
         weight = 1.0 / (np.arange(len(order)) + 10.0)
         log_p = np.log(weight / weight.sum() * 0.999)
         self.vocabulary = {sp.id_to_piece(i): (i, float(p)) for i, p in zip(order, log_p)}
-        self.longest = max(map(len, self.vocabulary))
+        self.prefixes = {x[:k] for x in self.vocabulary for k in range(1, len(x))}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_log = float(np.log(0.001 / 256))
         self.most_words = most_words
@@ -54,10 +55,10 @@ class Pieces:
         return _models[path]
 
     def clear(self) -> None:
-        # nodes of all words seen: where their edges begin; edges: cumulative probability plus the node's number, place after, log p, ids
+        # nodes of all words seen: where their edges begin; edges: cumulative probability plus the node's number, place after, ids
         self.words: dict[str, tuple[int, int]] = {}
         self.first_edge, self.to, self.ids, self.ids_n = array("q", [0]), array("q"), array("i"), array("q")
-        self.cum, self.log_p, self.prob = array("d"), array("d"), array("d")
+        self.cum, self.prob = array("d"), array("d")
 
     def add(self, word: str) -> tuple[int, int]:
         """First node and length of a word; node base + p stands before its p-th character."""
@@ -66,33 +67,40 @@ class Pieces:
         n, base = len(word), len(self.first_edge) - 1
         edges: list[list[tuple[int, float, tuple[int, ...]]]] = []
         for p in range(n):
-            own = [(q, x[1], (x[0],)) for q in range(p + 1, min(n, p + self.longest) + 1) if (x := self.vocabulary.get(word[p:q]))]
+            own = []
+            for q in range(p + 1, n + 1):
+                part = word[p:q]
+                if x := self.vocabulary.get(part):
+                    own.append((q, x[1], (x[0],)))
+                elif part not in self.prefixes:
+                    break
             if not own or own[0][0] != p + 1:  # no piece for the character: its bytes
                 raw = word[p].encode("utf-8", "surrogatepass")
                 own.insert(0, (p + 1, self.byte_log * len(raw), tuple(self.byte_ids[b] for b in raw)))
             edges.append(own)
-        back = np.zeros(n + 1)
+        back = [0.0] * (n + 1)  # log-mass of all ways from a place to the end
         for p in range(n - 1, -1, -1):
-            back[p] = np.logaddexp.reduce([x[1] + back[x[0]] for x in edges[p]])
+            terms = [x[1] + back[x[0]] for x in edges[p]]
+            top = max(terms)
+            back[p] = top + log(sum([exp(v - top) for v in terms])) if len(terms) > 1 else top
         for p, own in enumerate(edges):
-            total = 0.0
+            total, node, here = 0.0, base + p, back[p]
             for q, lp, ids in own:
-                pr = float(np.exp(lp + back[q] - back[p]))
+                pr = exp(lp + back[q] - here)
                 total += pr
                 self.prob.append(pr)
-                self.cum.append(base + p + min(total, 1.0))
+                self.cum.append(node + min(total, 1.0))
                 self.to.append(q)
-                self.log_p.append(lp)
                 self.ids.extend(ids)
                 self.ids_n.append(len(ids))
-            self.cum[-1] = base + p + 1.0
+            self.cum[-1] = node + 1.0
             self.first_edge.append(len(self.cum))
         self.words[word] = (base, n)
         return base, n
 
     def arrays(self) -> dict[str, np.ndarray]:
         n = np.array(self.ids_n)
-        own = {name: np.array(getattr(self, name)) for name in ("cum", "to", "log_p", "prob", "ids")}
+        own = {name: np.array(getattr(self, name)) for name in ("cum", "to", "prob", "ids")}
         return own | {"first": np.array(self.first_edge), "ids_n": n, "ids_at": np.cumsum(n) - n}
 
     def split(self, text: str) -> list[str]:
@@ -250,7 +258,7 @@ def sample_segmentations(model: Pieces, words: list[list[str]], keys: np.ndarray
     return out
 
 
-def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col: str = "text", k: int = 4, seed: int = 0, rows_a_batch: int = 2048) -> DataFrame:
+def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col: str = "text", k: int = 4, seed: int = 0, rows_a_batch: int = 1024) -> DataFrame:
     """(key_cols, sample, n_pieces, ids, log_prob, inclusion, decoded): up to k distinct segmentations of each text, likeliest draws first.
 
     inclusion is the chance that a draw above the (k+1)-th perturbed value takes in this segmentation (1 if there are no more than k). The seed is
@@ -267,6 +275,7 @@ def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col:
                 normal = ["".join(x).replace(MARK, " ") for x in words]
                 normal = [x[1:] if x.startswith(" ") else x for x in normal]
                 keys = column(batch, "__key").to_numpy().view(np.uint64)
+                release()
                 *rounds, (_, _, _, bound, _) = sample_segmentations(model, words, keys, k)
                 for s, (rows, ids, off, log_p, _) in enumerate(rounds):
                     rows = rows[[bool(words[r]) or s == 0 for r in rows.tolist()]]
