@@ -120,7 +120,7 @@ def _centroids(vectors: DataFrame, n: int, shard_rows: int, most_sample: int, mo
     return c
 
 
-def mark_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, overlap: int = 2, shard_rows: int = 1500, most_sample: int = 20_000, most_shards: int = 4096, block_rows: int = 3000) -> DataFrame:
+def mark_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, overlap: int = 3, shard_rows: int = 1500, most_sample: int = 20_000, most_shards: int = 4096, block_rows: int = 3000) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of df.
 
     Equal vectors are handled once, and count as often as they occur. Null or zero vectors, and those that hold null or non-finite components or have
