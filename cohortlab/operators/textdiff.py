@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import staged
+
 #: Environments kept word for word, and patterns of protected items (fixed values).
 ENVIRONMENTS = ["table*", "table", "figure*", "figure", "equation*", "equation", "align*", "align", "quote"]
 PATTERNS = {
@@ -74,6 +79,57 @@ def verdicts(changes: DataFrame, documents: DataFrame, ident: str) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("removed") + F.col("added") == 0, "OK").otherwise("CHECK"))
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """Counts of characters, by code modulo 128, of each text."""
+    out = np.zeros((len(texts), 128), np.int32)
+    for i, x in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 127, minlength=128)
+    return out
+
+
+def _bounds(text: str, letters: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the ratio of a text to others: characters in common, whatever their order, against all."""
+    out = np.empty(len(others))
+    for i in range(0, len(others), 1 << 14):
+        out[i : i + (1 << 14)] = np.minimum(others[i : i + (1 << 14)], letters).sum(1)
+    return 2.0 * out / (sizes + len(text))
+
+
+def match_sentences(old: list[str], new: list[str], least: float = 0.45) -> list[tuple[str | None, str | None, str]]:
+    """(before, after, kind) of the sentences of one document, the old ones in order, each with its closest free new one (the last in order on ties).
+
+    The pairs are those of `difflib.get_close_matches` over all free sentences. Candidates come by falling upper bound of their ratio, and the search
+    ends where no later one can win, so that few ratios are computed even of thousands of sentences.
+    """
+    old, new = sorted(old), sorted(new)
+    a, b = _letters(old), _letters(new)
+    a_size, b_size = (np.array([len(x) for x in side], np.int64) for side in (old, new))
+    free, out = np.ones(len(new), bool), []
+    matcher = difflib.SequenceMatcher()
+    for i, s in enumerate(old):
+        matcher.set_seq2(s)
+        bound = np.where(free, _bounds(s, a[i], b, b_size), -1.0)
+        best, at = least, -1
+        for j in np.argsort(-bound, kind="stable").tolist():
+            if bound[j] < best:
+                break
+            matcher.set_seq1(new[j])
+            if matcher.quick_ratio() < best:
+                continue
+            ratio = matcher.ratio()
+            if ratio > best or (ratio == best and j > at):
+                best, at = ratio, j
+        if at >= 0:
+            free[at] = False
+        out.append((s, new[at] if at >= 0 else None, "changed" if at >= 0 else "deleted"))
+    for j in np.flatnonzero(free).tolist():
+        bound = _bounds(new[j], b[j], a, a_size)
+        near = (difflib.SequenceMatcher(None, new[j], old[i]).ratio() > least for i in np.argsort(-bound, kind="stable").tolist() if bound[i] > least)
+        if not any(near):
+            out.append((None, new[j], "added"))
+    return out
+
+
 def changed_sentences(before: DataFrame, after: DataFrame, ident: str, sentence: str, least: float = 0.45) -> DataFrame:
     """(ident, before, after, kind) of sentences that only one version has: `changed` pairs, matched one to one and closest first in order, `deleted`, `added`.
 
@@ -84,17 +140,30 @@ def changed_sentences(before: DataFrame, after: DataFrame, ident: str, sentence:
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf[ident].iloc[0]
-        old, new = (sorted(pdf.loc[pdf["side"] == s, sentence]) for s in (0, 1))
-        free, out = list(new), []
-        for s in old:
-            near = difflib.get_close_matches(s, free, n=1, cutoff=least)
-            if near:
-                free.remove(near[0])
-            out.append((key, s, near[0] if near else None, "changed" if near else "deleted"))
-        for s in free:
-            if not any(difflib.SequenceMatcher(None, s, a).ratio() > least for a in old):
-                out.append((key, None, s, "added"))
+        out = [(key, *x) for x in match_sentences(*(pdf.loc[pdf["side"] == s, sentence].tolist() for s in (0, 1)), least)]
         return pd.DataFrame(out, columns=[ident, "before", "after", "kind"])
 
     kind = dict(before.dtypes)[ident]
     return left.unionByName(right).groupBy(ident).applyInPandas(match, f"`{ident}` {kind}, before string, after string, kind string")
+
+
+def changed_within(docs: DataFrame, ident: str, before: str, after: str, least: float = 0.45) -> DataFrame:
+    """`changed_sentences` of two versions that stand in one row, as arrays of sentences. Only rows whose ident is null or repeated are shuffled."""
+    docs = docs.select(ident, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in (before, after)])
+    repeated = staged(docs.groupBy(ident).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ident), "repeated idents")
+    single = docs.where(F.col(ident).isNotNull()).join(repeated, ident, "left_anti")
+    several = docs.where(F.col(ident).isNull()).unionByName(docs.join(repeated, ident, "left_semi"))
+    side = lambda c: several.select(ident, F.explode(c).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                keys, old, new = (whole.column(i).slice(a, 256) for i in range(3))
+                found = [match_sentences(x or [], y or [], least) for x, y in zip(old.to_pylist(), new.to_pylist())]
+                which = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in found]))
+                flat = [x for own in found for x in own]
+                yield pa.RecordBatch.from_arrays([keys.take(which), *(pa.array([x[i] for x in flat], pa.string()) for i in range(3))], [ident, "before", "after", "kind"])
+
+    kind = dict(docs.dtypes)[ident]
+    only = single.select(ident, F.array_except(before, after).alias("a"), F.array_except(after, before).alias("b")).where("size(a) > 0 or size(b) > 0")
+    return only.mapInArrow(run, f"`{ident}` {kind}, before string, after string, kind string").unionByName(changed_sentences(side(before), side(after), ident, "s", least))

@@ -52,10 +52,10 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("tx5_changed_sentences")
 def _(spark: Spark, sf: str) -> DataFrame:
-    """Texts of at most a few hundred sentences a document; one document is one task."""
-    split = lambda df: df.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
-    short = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
-    return T.changed_sentences(split(short), split(edited(short)), "doc_id", "s")
+    """Whole texts of all documents; one document is matched in one task."""
+    before = docs(spark, sf)
+    both = edited(before.withColumn("a", T.sentences(F.col("text")))).select("doc_id", "a", T.sentences(F.col("text")).alias("b"))
+    return T.changed_within(both, "doc_id", "a", "b")
 
 
 _CLEAN = r"regexp_replace(text, '(^|[^\\])%[^\n]*', '\1', 'g')"

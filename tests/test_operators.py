@@ -233,6 +233,46 @@ def test_text_audit(spark):
     assert "changed" in kinds and len(kinds) >= 2
 
 
+def brute_matches(old, new, least=0.45):
+    free, out = sorted(new), []
+    for s in sorted(old):
+        near = difflib.get_close_matches(s, free, n=1, cutoff=least)
+        if near:
+            free.remove(near[0])
+        out.append((s, near[0] if near else None, "changed" if near else "deleted"))
+    return out + [(None, s, "added") for s in free if not any(difflib.SequenceMatcher(None, s, a).ratio() > least for a in old)]
+
+
+def test_matches_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    words = ["the", "a", "river", "Müller", "漢字", "17", "stone", "walks", "z" * 40]
+    text = lambda n: " ".join(rng.choice(words, n))
+    for longest in (4, 12, 60):  # short ones tie, long ones have characters that difflib takes as too common
+        old = {text(rng.integers(1, longest)) for _ in range(40)}
+        new = {s.replace("the", "a") for s in list(old)[:25]} - old | {text(rng.integers(1, longest)) for _ in range(10)} | {"qqqqqqqqqqqqqqqqqqqqqqqq"}
+        assert textdiff.match_sentences(list(old), list(new)) == brute_matches(old, new)
+    assert textdiff.match_sentences([], []) == []
+
+
+def test_versions_in_one_row(spark):
+    one, two, three, four = (f"This is sentence number {x} of the test." for x in ("one", "two", "three", "4"))
+    rows = [(1, [one, two], [two, three]), (2, [one], [two]), (2, [two], [one, four]), (None, [one], [one]), (3, [one], [one]), (4, None, [one]), (5, [], []), (6, [one], None)]
+    df = spark.createDataFrame(rows, "id int, a array<string>, b array<string>")
+    side = lambda c: df.select("id", F.explode(c).alias("s"))
+    plain = lambda d: sorted(map(repr, d.collect()))
+    got = plain(textdiff.changed_within(df, "id", "a", "b"))
+    assert got == plain(textdiff.changed_sentences(side("a"), side("b"), "id", "s")) and len(got) >= 5
+
+
+def test_changed_sentences_read_every_document(spark, sf):
+    from cohortlab.plans import catalog
+
+    got = catalog.QUERIES["tx5_changed_sentences"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", textdiff.sentences(F.col("text")).alias("a"), textdiff.sentences(F.replace(F.replace("text", F.lit("1"), F.lit("7")), F.lit(" the "), F.lit(" a "))).alias("b")).where("text is not null").collect()
+    lost = {(r["doc_id"], s) for r in docs for s in set(r["a"]) - set(r["b"])}
+    assert lost and {(r["doc_id"], r["before"]) for r in got if r["before"] is not None} == lost
+
+
 def test_files(spark, sf):
     assert io.optional_table(spark, f"{sf}/absent.parquet", "a int").count() == 0
     with pytest.raises(FileNotFoundError):
