@@ -182,10 +182,11 @@ def fit_cells(df: DataFrame, cell: list[str], ident: str, types: Types, configs:
     return df.select(*cell, ident, *types.columns).groupBy(*cell).applyInPandas(run, schema)
 
 
-def fit_diagnostics(members: DataFrame, cell: list[str], k: int) -> DataFrame:
-    """Per config: share of noise, share with a membership of 0.7 or more, least cluster size, mean Xie-Beni index and stability."""
+def fit_diagnostics(members: DataFrame, cell: list[str]) -> DataFrame:
+    """Per config: share of noise, share with a membership of 0.7 or more, least cluster size, mean Xie-Beni index and stability. K of a config is the number of memberships less that of noise."""
+    k = F.size("u") - 1
     sizes = members.where(F.col("hard") <= k).groupBy("config", *cell, "hard").agg(F.count(F.lit(1)).alias("n")).groupBy("config").agg(F.min("n").alias("min_size"))
-    crisp = F.array_max(F.slice("u", 1, k)) >= 0.7
+    crisp = F.array_max(F.slice("u", F.lit(1), k)) >= 0.7
     main = members.groupBy("config").agg(F.avg((F.col("hard") == k + 1).cast("double")).alias("noise_share"), F.avg(crisp.cast("double")).alias("crisp"), F.avg(F.when(F.col("xie_beni") < float("inf"), F.col("xie_beni"))).alias("xie_beni"), F.avg(F.nanvl("stability", F.lit(None).cast("double"))).alias("stability"), F.max(F.col("degenerate").cast("int")).alias("any_degenerate"))
     return main.join(sizes, "config")
 

@@ -239,7 +239,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
 @add("cl19_parameter_grid")
 def _(spark: Spark, sf: str) -> DataFrame:
     configs = {f"k{k}_m{m}": fcm.FitConfig(k=k, m=m, rho=RHO, starts=2, weights=tuple(W)) for k in (2, 3) for m in (1.2, 1.3)}
-    return fcm.fit_diagnostics(fits(spark, sf, configs), CELL, 2)
+    return fcm.fit_diagnostics(fits(spark, sf, configs), CELL)
 
 
 @add("cl21_single_period")

@@ -233,6 +233,22 @@ def test_text_audit(spark):
     assert "changed" in kinds and len(kinds) >= 2
 
 
+def test_diagnostics_of_configs_of_several_k(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for config, k in (("two", 2), ("three", 3)):
+        for i in range(60):
+            u = rng.dirichlet([0.3] * (k + 1)).tolist()
+            rows.append((config, i % 3, u, int(np.argmax(u)) + 1, 0.5 + i % 3, float("nan"), False))
+    df = spark.createDataFrame(rows, "config string, cell int, u array<double>, hard int, xie_beni double, stability double, degenerate boolean")
+    for r in fcm.fit_diagnostics(df, ["cell"]).collect():
+        own, k = [x for x in rows if x[0] == r["config"]], {"two": 2, "three": 3}[r["config"]]
+        assert math.isclose(r["noise_share"], sum(x[3] == k + 1 for x in own) / 60)
+        assert math.isclose(r["crisp"], sum(max(x[2][:k]) >= 0.7 for x in own) / 60)
+        sizes = [sum(x[1] == c and x[3] == h for x in own) for c in range(3) for h in range(1, k + 1)]
+        assert r["min_size"] == min(n for n in sizes if n)
+
+
 def brute_matches(old, new, least=0.45):
     free, out = sorted(new), []
     for s in sorted(old):
