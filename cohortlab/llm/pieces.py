@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import column, gather, lists, mix, release
+from .textvec import buffers, column, gather, lists, mix, release, slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -44,6 +44,9 @@ class Pieces:
         self.vocabulary = {sp.id_to_piece(i): (i, float(p)) for i, p in zip(order, log_p)}
         self.prefixes = {x[:k] for x in self.vocabulary for k in range(1, len(x))}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.raw = [b""] * sp.get_piece_size()
+        for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size()))):
+            self.raw[i] = bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode("utf-8", "surrogatepass")
         self.byte_log = float(np.log(0.001 / 256))
         self.most_words = most_words
         self.clear()
@@ -106,6 +109,12 @@ class Pieces:
     def split(self, text: str) -> list[str]:
         return _WORD.findall(self.sp.normalize(text)) if text else []
 
+    def decodes_to(self, ids: list[int], text: str) -> bool:
+        """Is decode(ids) this text? Mostly known from the joined bytes."""
+        raw = b"".join([self.raw[i] for i in ids])
+        own = text.encode("utf-8", "surrogatepass")
+        return (raw[1:] if raw[:1] == b" " else raw) == own or self.decode(ids) == text
+
     def decode(self, ids: list[int]) -> str:
         """The normalised text, with spaces, less the one put before it."""
         out, raw = [], bytearray()
@@ -258,7 +267,7 @@ def sample_segmentations(model: Pieces, words: list[list[str]], keys: np.ndarray
     return out
 
 
-def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col: str = "text", k: int = 4, seed: int = 0, rows_a_batch: int = 1024) -> DataFrame:
+def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col: str = "text", k: int = 4, seed: int = 0, rows_a_batch: int = 1024, bytes_a_batch: int = 1 << 19) -> DataFrame:
     """(key_cols, sample, n_pieces, ids, log_prob, inclusion, decoded): up to k distinct segmentations of each text, likeliest draws first.
 
     inclusion is the chance that a draw above the (k+1)-th perturbed value takes in this segmentation (1 if there are no more than k). The seed is
@@ -269,8 +278,9 @@ def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(model_path)
         for whole in batches:
-            for a in range(0, len(whole), rows_a_batch):
-                batch = whole.slice(a, rows_a_batch)
+            sized = (r for r in slices(buffers(column(whole, "__text"))[1], bytes_a_batch))
+            for a, b in ((i, min(i + rows_a_batch, end)) for start, end in sized for i in range(start, end, rows_a_batch)):
+                batch = whole.slice(a, b - a)
                 words = [model.split(x) for x in column(batch, "__text").to_pylist()]
                 normal = ["".join(x).replace(MARK, " ") for x in words]
                 normal = [x[1:] if x.startswith(" ") else x for x in normal]
@@ -280,7 +290,7 @@ def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col:
                 for s, (rows, ids, off, log_p, _) in enumerate(rounds):
                     rows = rows[[bool(words[r]) or s == 0 for r in rows.tolist()]]
                     inclusion = -np.expm1(-np.exp(np.minimum(log_p[rows] - bound[rows], 50.0)))
-                    fine = [model.decode(ids[off[r] : off[r + 1]].tolist()) == normal[r] for r in rows.tolist()]
+                    fine = [model.decodes_to(ids[off[r] : off[r + 1]].tolist(), normal[r]) for r in rows.tolist()]
                     own = lists(gather(ids, off[rows], off[rows + 1] - off[rows]), np.concatenate(([0], np.cumsum(off[rows + 1] - off[rows]))))
                     which = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([*(column(batch, c).take(which) for c in key_cols), pa.array(np.full(len(rows), s, np.int32)), pa.array(off[rows + 1] - off[rows]), own, pa.array(log_p[rows]), pa.array(inclusion), pa.array(fine, pa.bool_())], [*key_cols, "sample", "n_pieces", "ids", "log_prob", "inclusion", "decoded"])

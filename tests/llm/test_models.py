@@ -175,6 +175,13 @@ def test_piece_table(spark):
     assert pieces.sample_pieces(df.limit(0), tokens.tokenizer_path("piece_bpe_32k.model"), ["conv_id"]).count() == 0
 
 
+def test_pieces_read_every_document(spark, sf):
+    got = queries.op6_sampled_pieces(spark, sf).where("sample = 0").select("doc_id", "conv_id", "turn", "decoded").collect()
+    docs, turns = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ["doc_id"]), ("conversations", ["conv_id", "turn"])))
+    assert sorted((r["doc_id"],) for r in got if r["doc_id"] is not None) == sorted(docs)
+    assert sorted((r["conv_id"], r["turn"]) for r in got if r["doc_id"] is None) == sorted(turns) and all(r["decoded"] for r in got)
+
+
 # -- urls -------------------------------------------------------------------------------------------------------------------------
 
 
