@@ -7,20 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .textvec import column, parts
 from .tokens import Encoder, with_end
 
 
 class BestFit:
-    """Open bins by remaining capacity. `tree` holds, for each node over the capacities, whether an open bin lies below it."""
+    """Open bins by remaining capacity, in runs (first bin, bins, tokens used) of bins that hold as much.
+
+    `tree` holds, for each node over the capacities, whether an open bin lies below it.
+    """
 
     def __init__(self, capacity: int):
         self.capacity, self.size = capacity, 1 << capacity.bit_length()
         self.tree = bytearray(2 * self.size)
-        self.open: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.open: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
         self.bins = 0
 
     def _set(self, room: int, on: int) -> None:
@@ -46,29 +50,50 @@ class BestFit:
             k >>= 1
         return -1
 
-    def put(self, length: int) -> tuple[int, int]:
-        """Bin and offset of an item."""
-        room = self._tightest(length)
-        if room < 0:
-            which, used = self.bins, 0
-            self.bins += 1
-        else:
-            which, used = self.open[room].pop()
+    def _push(self, room: int, first: int, bins: int, used: int) -> None:
+        if room and bins:
             if not self.open[room]:
-                self._set(room, 0)
-        if left := self.capacity - used - length:
-            if not self.open[left]:
-                self._set(left, 1)
-            self.open[left].append((which, used + length))
-        return which, used
-
-
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item; items of 1 to `capacity`."""
-    fit, which, where = BestFit(capacity), np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        which[i], where[i] = fit.put(int(lengths[i]))
-    return which, where
+                self._set(room, 1)
+            self.open[room].append((first, bins, used))
+
+    def put(self, length: int, count: int) -> list[tuple[int, int, int, int]]:
+        """Places of `count` items of one length, as best fit gives them one by one: (items, first bin, items a bin, offset in the first) of each run.
+
+        The tightest bin stays the tightest while another item fits, so it takes all it can, and then the other bins of its run do.
+        """
+        out = []
+        while count:
+            room = self._tightest(length)
+            if room < 0:
+                room, new = self.capacity, -(-count // (self.capacity // length))
+                first, bins, used = self.bins, new, 0
+                self.bins += new
+            else:
+                first, bins, used = self.open[room].pop()
+                if not self.open[room]:
+                    self._set(room, 0)
+            each = room // length
+            full = min(bins, count // each)
+            out.append((full * each, first, each, used))
+            self._push(room - each * length, first, full, used + each * length)
+            first, bins, count = first + full, bins - full, count - full * each
+            if bins and count:  # the last items, in one more bin
+                out.append((count, first, each, used))
+                self._push(room - count * length, first, 1, used + count * length)
+                first, bins, count = first + 1, bins - 1, 0
+            self._push(room, first, bins, used)
+        return [x for x in out if x[0]]
+
+
+def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, items, first bin, items a bin, offset) of best-fit-decreasing packing, from the number of items of each length."""
+    fit, out = BestFit(capacity), []
+    for length in sorted(counts, reverse=True):
+        rank = 0
+        for items, first, each, offset in fit.put(length, counts[length]):
+            out.append((length, rank, items, first, each, offset))
+            rank += items
+    return out
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,24 +121,40 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(cut, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, rows: int | None = None, key: list[str] | None = None) -> DataFrame:
-    """pieces with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """pieces with sequence_id and offset, packed by best-fit decreasing over all of them.
 
-    Rows (numbers only, no ids) are dealt by hash into groups of about group_rows, and each group is packed by itself, so a group costs at most
-    about one sequence that isn't full. rows: the number of pieces, or about as many, if known.
+    Best fit needs only the number of pieces of each length, at most `capacity` numbers, which reach the driver. Its runs of places, a few for each length, are
+    broadcast, and a piece takes the place of its rank among those of its length: its rank within its task, plus the pieces of that length in the tasks before.
     """
-    groups = max(1, -(-(pieces.count() if rows is None else rows) // group_rows))
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__group")]
-
-    def fit(table: pa.Table) -> pa.Table:
-        which, where = best_fit_decreasing(table.column("length").to_numpy(), capacity)
-        group = table.column("__group").to_numpy()
-        return table.drop_columns(["__group"]).append_column("sequence_id", pa.array(group.astype(np.int64) << 32 | which)).append_column("offset", pa.array(where))
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__shard", "__rank")]
+    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*kept).dtypes) + ", __shard int, __rank long"
 
-    dealt = pieces.select(*kept, F.pmod(F.xxhash64(*(key or kept)), F.lit(groups)).cast("int").alias("__group"))
-    return dealt.groupBy("__group").applyInArrow(fit, ", ".join(f"`{c}` {t}" for c, t in pieces.select(*kept).dtypes) + ", sequence_id long, offset long")
-
-
-def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 20_000) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most `capacity` tokens. An empty df gives none."""
-    return pack(token_pieces(df, tokenizer, capacity, end_id, id_col, text_col), capacity, group_rows, rows=df.count())
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            length = column(batch, "length").to_numpy()
+            order = np.argsort(length, kind="stable")
+            count = np.bincount(length, minlength=capacity + 1)
+            place = np.empty(len(length), np.int64)
+            place[order] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), column(batch, "__shard"), pa.array(place + seen[length])], [*kept, "__shard", "__rank"])
+            seen += count
+
+    ranked = materialize(pieces.select(*kept).withColumn("__shard", F.spark_partition_id()).mapInArrow(rank, schema), "pieces")
+    counts = ranked.groupBy("length", "__shard").agg(F.count(F.lit(1)).alias("__n"))
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `capacity` rows
+    before = Window.partitionBy("length").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    base = counts.select("length", "__shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    runs = pieces.sparkSession.createDataFrame(best_fit_runs(total, capacity), "length long, __first long, __items long, __bin long, __each long, __offset long")
+    at = F.col("__rank") + F.col("__base") - F.col("__first")
+    placed = ranked.join(base, ["length", "__shard"]).join(F.broadcast(runs), "length").where((at >= 0) & (at < F.col("__items")))
+    return placed.select(*kept, (F.col("__bin") + F.floor(at / F.col("__each"))).alias("sequence_id"), (F.col("__offset") + at % F.col("__each") * F.col("length")).alias("offset"))
+
+
+def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most `capacity` tokens.
+
+    Rows of equal or null ids are packed each by itself; a null or empty text is one piece of the end id alone. An empty df gives none. Columns other than the id and the text are not read.
+    """
+    return pack(token_pieces(df, tokenizer, capacity, end_id, id_col, text_col), capacity)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ try:
 except OSError:  # another system
     _libc = None
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans up to so many bytes are hashed and compared word by word over all spans at once, longer ones one at a time.
+SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def release() -> None:
@@ -90,22 +92,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n + 1, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros stand behind the last byte."""
+    held = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), np.uint64, held, 0, (1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, by differences of one running polynomial sum."""
-    power, inverse = _upto(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each span of bytes. Each word of 8 bytes is multiplied and the state rotated, so no algebra over the bytes' places makes spans collide."""
+    n = ends - starts
+    words = _words(data)
+    h = (n.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(0, SHORT, 8):
+        at = np.flatnonzero((n > k) & (n <= SHORT))
+        if not len(at):
+            break
+        x = h[at] ^ ((words[starts[at] + k] & _MASKS[np.minimum(n[at] - k, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+        x = ((x << np.uint64(29)) | (x >> np.uint64(35))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h[at] = x ^ (x >> np.uint64(32))
+    for i in np.flatnonzero(n > SHORT).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Are the n bytes of a from a_at on those of b from b_at on? For each of the spans."""
+    x, y, same = _words(a), _words(b), np.ones(len(n), bool)
+    for k in range(0, SHORT, 8):
+        at = np.flatnonzero(n > k)
+        if not len(at):
+            break
+        same[at] &= (x[a_at[at] + k] ^ y[b_at[at] + k]) & _MASKS[np.minimum(n[at] - k, 8)] == 0
+    for i in np.flatnonzero(same & (n > SHORT)).tolist():
+        same[i] = np.array_equal(a[a_at[i] : a_at[i] + n[i]], b[b_at[i] : b_at[i] + n[i]])
+    return same
 
 
 def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +142,8 @@ def window_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     padded = np.concatenate((h, np.zeros(width, np.uint64)))
     factor = np.uint64(0xA0761D6478BD642F)
     for k in range(width):
-        total = total * factor + np.where(at + k < end, padded[at + k], np.uint64(k + 1))
+        total = (total ^ np.where(at + k < end, padded[at + k], np.uint64(k + 1))) * factor
+        total ^= total >> np.uint64(29)
     return mix(total), off
 
 

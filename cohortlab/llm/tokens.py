@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path
-from .textvec import SPACE, column, gather, lists, parts, span_hashes
+from .textvec import SPACE, column, gather, lists, parts, same_bytes, span_hashes
 
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -34,7 +34,10 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; the chunks seen are kept, up to `most` of them."""
+    """Ids of texts by the tokenizers library; the chunks seen are kept, up to `most` of them.
+
+    Chunks are found by a 64-bit hash, and their bytes are compared at every hit: a chunk whose hash another one holds is encoded by itself.
+    """
 
     def __init__(self, path: str, words: bool, most: int = 700_000):
         import os
@@ -56,13 +59,15 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.int32)
-        self.used = 0
+        self.text, self.text_at, self.text_n = np.empty(1 << 16, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.used = self.text_used = 0
 
-    def _append(self, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + len(ids), np.int32)))
+    def _append(self, ids: np.ndarray, text: np.ndarray) -> None:
+        grown = lambda held, used, new: held if used + len(new) <= len(held) else np.concatenate((held[:used], np.empty(used + len(new), held.dtype)))
+        self.flat, self.text = grown(self.flat, self.used, ids), grown(self.text, self.text_used, text)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.used, self.text_used = self.used + len(ids), self.text_used + len(text)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         space = SPACE[data]
@@ -116,25 +121,35 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
         keys, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most or self.used > 8 * self.most:
+        if len(self.keys) > self.most or self.used > 8 * self.most or self.text_used > 16 * self.most:
             self._clear()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+        raw = b"" if known.all() else data.tobytes()
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist())]
-            flat, n = self._encode_texts(texts)
-            at = self.used + np.cumsum(n) - n
-            self._append(flat)
-            into, new_keys = place[new], keys[new]  # both in ascending order
-            self.keys, self.at, self.n = np.insert(self.keys, into, new_keys), np.insert(self.at, into, at), np.insert(self.n, into, n)
+            begin, size = starts[one[new]], ends[one[new]] - starts[one[new]]
+            flat, n = self._encode_texts([raw[s : s + k].decode("utf-8", "replace") for s, k in zip(begin.tolist(), size.tolist())])
+            at, text_at = self.used + np.cumsum(n) - n, self.text_used + np.cumsum(size) - size
+            self._append(flat, gather(data, begin, size))
+            into = place[new]  # in ascending order, as the new keys
+            for name, x in (("keys", keys[new]), ("at", at), ("n", n), ("text_at", text_at), ("text_n", size)):
+                setattr(self, name, np.insert(getattr(self, name), into, x))
             place = np.searchsorted(self.keys, keys)
         which = place[back]
-        lengths = self.n[which]
-        return gather(self.flat, self.at[which], lengths), np.concatenate(([0], np.cumsum(lengths)))[first]
+        at, lengths, size = self.at[which], self.n[which], ends - starts
+        same = size == self.text_n[which]
+        same[same] = same_bytes(data, starts[same], self.text[: self.text_used], self.text_at[which[same]], size[same])
+        held = self.flat
+        if not same.all():
+            other = np.flatnonzero(~same)
+            raw = raw or data.tobytes()
+            flat, n = self._encode_texts([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[other].tolist(), ends[other].tolist())])
+            at[other], lengths[other] = self.used + np.cumsum(n) - n, n
+            held = np.concatenate((self.flat[: self.used], flat))
+        return gather(held, at, lengths), np.concatenate(([0], np.cumsum(lengths)))[first]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
