@@ -3,54 +3,96 @@
 The lattice of a text has an edge for every vocabulary piece that matches at a place. Perturbing the log-probability of each whole segmentation
 by a Gumbel variable and taking the k largest draws k of them without replacement. The search is best-first with an exact bound: the largest perturbed value
 below a node is itself a Gumbel variable of the node's total mass, so a node keeps its value along its best child, and its other children together get a value
-truncated below it. The next sample starts at the open node with the largest value. Pieces don't cross words, so the lattices of distinct words are built once.
+truncated below it. The next sample starts at the open node with the largest value.
+
+A text falls into units at every place that no piece of the vocabulary crosses, so its lattice is the chain of its units' lattices. Those are built once for each distinct
+unit, for all new units of a batch together, and all rows of a batch are searched together.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
+import zlib
 from collections.abc import Iterator
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import buffers, column, gather, lists, mix, release, slices
+from .textvec import buffers, column, gather, lists, mix, release, same_bytes, slices, span_hashes
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _models: dict[str, Pieces] = {}
 
 
-def _log_gumbel_cut(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Gumbel variables of log-mass `mass`, below `bound`."""
-    return mass - np.logaddexp(mass - bound, np.log(-np.log(u)))
+class _Growing:
+    """An array that is only appended to."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.empty(1 << 12, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.empty(self.n // 2 + len(x), self.held.dtype)))
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Pieces:
-    """Vocabulary with log-probabilities. Merge-rank scores of BPE models give a rank law: log p falls with log(rank + 10)."""
+    """Vocabulary with log-probabilities, and the lattices of the units seen. Merge-rank scores of BPE models give a rank law: log p falls with log(rank + 10).
+
+    A lattice has a node before each byte of its unit and one at its end; edges leave the nodes before characters, ordered by falling share. A character without a piece of its own
+    has an edge that stands for its bytes (number `size` + bytes).
+    """
 
-    def __init__(self, path: str, most_words: int = 150_000):
+    def __init__(self, path: str, most_units: int = 200_000, most_edges: int = 4_000_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        self.size = sp.get_piece_size()
+        ordinary = [i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         order = sorted(ordinary, key=lambda i: (-sp.get_score(i), i))
         weight = 1.0 / (np.arange(len(order)) + 10.0)
         log_p = np.log(weight / weight.sum() * 0.999)
         self.vocabulary = {sp.id_to_piece(i): (i, float(p)) for i, p in zip(order, log_p)}
-        self.prefixes = {x[:k] for x in self.vocabulary for k in range(1, len(x))}
-        self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.raw = [b""] * sp.get_piece_size()
-        for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size()))):
-            self.raw[i] = bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode("utf-8", "surrogatepass")
         self.byte_log = float(np.log(0.001 / 256))
-        self.most_words = most_words
+        self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        said = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode("utf-8", "surrogatepass") for i in range(self.size)]
+        self.piece_n = np.array([len(x) for x in said], np.int64)
+        self.piece_at, self.piece_flat = np.cumsum(self.piece_n) - self.piece_n, np.frombuffer(b"".join(said), np.uint8)
+        self.log_p = np.full(self.size, -np.inf)
+        self.log_p[order] = log_p
+        self._index(order, said)
+        self.most_units, self.most_edges = most_units, most_edges
         self.clear()
 
+    def _index(self, order: list[int], said: list[bytes]) -> None:
+        """A trie over the bytes of the pieces, and the pairs of bytes around the places between characters that pieces cross."""
+        children: list[dict[int, int]] = [{}]
+        end: list[int] = [-1]
+        self.crossed = np.zeros((256, 256), bool)
+        for i in order:
+            node, last = 0, -1
+            for b in said[i]:
+                if last >= 0 and b & 0xC0 != 0x80:
+                    self.crossed[last, b] = True
+                last = b
+                if b not in children[node]:
+                    children[node][b] = len(children)
+                    children.append({})
+                    end.append(-1)
+                node = children[node][b]
+            end[node] = i
+        self.trie = np.zeros((len(children), 256), np.uint16 if len(children) < 1 << 16 else np.int32)
+        for node, own in enumerate(children):
+            for b, child in own.items():
+                self.trie[node, b] = child
+        self.ends = np.array(end, np.int32)
+
     @classmethod
     def of(cls, path: str) -> Pieces:
         if path not in _models:
@@ -58,222 +100,325 @@ class Pieces:
         return _models[path]
 
     def clear(self) -> None:
-        # nodes of all words seen: where their edges begin; edges: cumulative probability plus the node's number, place after, ids
-        self.words: dict[str, tuple[int, int]] = {}
-        self.first_edge, self.to, self.ids, self.ids_n = array("q", [0]), array("q"), array("i"), array("q")
-        self.cum, self.prob = array("d"), array("d")
-
-    def add(self, word: str) -> tuple[int, int]:
-        """First node and length of a word; node base + p stands before its p-th character."""
-        if word in self.words:
-            return self.words[word]
-        n, base = len(word), len(self.first_edge) - 1
-        edges: list[list[tuple[int, float, tuple[int, ...]]]] = []
-        for p in range(n):
-            own = []
-            for q in range(p + 1, n + 1):
-                part = word[p:q]
-                if x := self.vocabulary.get(part):
-                    own.append((q, x[1], (x[0],)))
-                elif part not in self.prefixes:
-                    break
-            if not own or own[0][0] != p + 1:  # no piece for the character: its bytes
-                raw = word[p].encode("utf-8", "surrogatepass")
-                own.insert(0, (p + 1, self.byte_log * len(raw), tuple(self.byte_ids[b] for b in raw)))
-            edges.append(own)
-        back = [0.0] * (n + 1)  # log-mass of all ways from a place to the end
-        for p in range(n - 1, -1, -1):
-            terms = [x[1] + back[x[0]] for x in edges[p]]
-            top = max(terms)
-            back[p] = top + log(sum([exp(v - top) for v in terms])) if len(terms) > 1 else top
-        for p, own in enumerate(edges):
-            total, node, here = 0.0, base + p, back[p]
-            for q, lp, ids in own:
-                pr = exp(lp + back[q] - here)
-                total += pr
-                self.prob.append(pr)
-                self.cum.append(node + min(total, 1.0))
-                self.to.append(q)
-                self.ids.extend(ids)
-                self.ids_n.append(len(ids))
-            self.cum[-1] = node + 1.0
-            self.first_edge.append(len(self.cum))
-        self.words[word] = (base, n)
-        return base, n
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        n = np.array(self.ids_n)
-        own = {name: np.array(getattr(self, name)) for name in ("cum", "to", "prob", "ids")}
-        return own | {"first": np.array(self.first_edge), "ids_n": n, "ids_at": np.cumsum(n) - n}
-
-    def split(self, text: str) -> list[str]:
-        return _WORD.findall(self.sp.normalize(text)) if text else []
-
-    def decodes_to(self, ids: list[int], text: str) -> bool:
-        """Is decode(ids) this text? Mostly known from the joined bytes."""
-        raw = b"".join([self.raw[i] for i in ids])
-        own = text.encode("utf-8", "surrogatepass")
-        return (raw[1:] if raw[:1] == b" " else raw) == own or self.decode(ids) == text
+        self.keys, self.base, self.text_at, self.text_n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.text = _Growing(np.uint8)
+        self.first, self.degree = _Growing(np.int32), _Growing(np.uint8)  # by node: its first edge and how many there are
+        self.to, self.piece = _Growing(np.int32), _Growing(np.int32)  # by edge: the byte of the unit it leads to, its piece
+        self.share, self.upto, self.rest = (_Growing(np.float64) for _ in range(3))  # logarithm of its share, sum of the shares up to it, logarithm of the others' sum
+
+    def normalize(self, texts: list[str]) -> pa.Array:
+        return pa.array([self.sp.normalize(x) if x else "" for x in texts], pa.large_string())
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the units of all rows, and the first unit of each row (n + 1)."""
+        cut = np.zeros(len(data), bool)
+        cut[1:] = ~self.crossed[data[:-1], data[1:]] & (data[1:] & 0xC0 != 0x80)
+        cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        starts = np.flatnonzero(cut)
+        return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
+
+    def _edges(self, u: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece, log-probability) of all edges of the units u[off[i] : off[i + 1]], by walking the trie from all characters at once."""
+        stop = np.repeat(off[1:], np.diff(off))
+        begin = np.flatnonzero(u & 0xC0 != 0x80)
+        wide = np.zeros(len(u), np.int64)
+        wide[begin] = np.minimum(np.append(begin[1:], len(u)), stop[begin]) - begin
+        at, node, depth, found = begin, np.zeros(len(begin), np.int64), 0, []
+        while len(at):
+            node = self.trie[node, u[at + depth]].astype(np.int64)
+            depth += 1
+            on = node > 0
+            at, node = at[on], node[on]
+            piece = self.ends[node]
+            hit = piece >= 0
+            found.append((at[hit], at[hit] + depth, piece[hit]))
+            on = at + depth < stop[at]
+            at, node = at[on], node[on]
+        start, to, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        own = np.zeros(len(u), bool)
+        own[start[to - start == wide[start]]] = True
+        bare = begin[~own[begin]]  # no piece for the character: its bytes
+        lp = np.concatenate((self.log_p[piece.astype(np.int64)], self.byte_log * wide[bare]))
+        return np.concatenate((start, bare)), np.concatenate((to, bare + wide[bare])), np.concatenate((piece, self.size + wide[bare])), lp
+
+    def _add(self, u: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Build the lattices of units; the first node of each."""
+        m = len(off) - 1
+        unit = np.repeat(np.arange(m), np.diff(off))
+        start, to, piece, lp = self._edges(u, off)
+        own = unit[start]
+        a, b, nodes = start + own, to + own, len(u) + m
+        far = off[1:][own] - start  # bytes to the unit's end
+        order = np.lexsort((a, far))
+        a, b, to, piece, lp, own, far = (x[order] for x in (a, b, to, piece, lp, own, far))
+        back = np.zeros(nodes)  # log-mass of all ways from a node to the end, the nodes nearest to it first
+        bounds = np.append(np.flatnonzero(np.diff(far, prepend=-1)), len(far))
+        heads = np.flatnonzero(np.diff(a, prepend=-1))
+        for i, j, x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), *(np.searchsorted(heads, z).tolist() for z in (bounds[:-1], bounds[1:]))):
+            value, head = lp[i:j] + back[b[i:j]], heads[x:y] - i
+            if y - x == j - i:
+                back[a[i:j]] = value
+                continue
+            top = np.maximum.reduceat(value, head)
+            back[a[heads[x:y]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(head, j - i)))), head))
+        share = lp + back[b] - back[a]
+        order = np.lexsort((-share, a))
+        a, to, piece, share, own = a[order], to[order], piece[order], share[order], own[order]
+        degree = np.bincount(a, minlength=nodes)
+        first = np.cumsum(degree) - degree
+        p, upto, rest = np.exp(share), np.zeros(len(a)), np.zeros(len(a))
+        before, after = np.zeros(nodes), np.zeros(nodes)
+        for d in range(int(degree.max(initial=0))):
+            at = np.flatnonzero(degree > d)
+            e = first[at] + d
+            rest[e] += before[at]
+            before[at] += p[e]
+            upto[e] = before[at]
+            e = first[at] + degree[at] - 1 - d
+            rest[e] += after[at]
+            after[at] += p[e]
+        held = np.flatnonzero(degree)
+        upto[first[held] + degree[held] - 1] = 1.0
+        node, edge = self.first.n, self.to.n
+        self.first.add(first + edge), self.degree.add(degree)
+        self.to.add(to - off[:-1][own]), self.piece.add(piece), self.share.add(share), self.upto.add(upto)
+        with np.errstate(divide="ignore"):
+            self.rest.add(np.log(rest))
+        return node + off[:-1] + np.arange(m)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """First node of the lattice of each unit. Bytes are compared at every hit; units whose hash another one holds get lattices of their own."""
+        if len(self.keys) > self.most_units or self.to.n > self.most_edges:
+            self.clear()
+        size = ends - starts
+        keys, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+        if not known.all():
+            new = np.flatnonzero(~known)
+            begin, n = starts[one[new]], size[one[new]]
+            u = gather(data, begin, n)
+            text_at = self.text.n + np.cumsum(n) - n
+            self.text.add(u)
+            into, base = place[new], self._add(u, np.concatenate(([0], np.cumsum(n))))
+            for name, x in (("keys", keys[new]), ("base", base), ("text_at", text_at), ("text_n", n)):
+                setattr(self, name, np.insert(getattr(self, name), into, x))
+            place = np.searchsorted(self.keys, keys)
+        which = place[back]
+        out, same = self.base[which], size == self.text_n[which]
+        same[same] = same_bytes(data, starts[same], self.text.all, self.text_at[which[same]], size[same])
+        if not same.all():
+            other = np.flatnonzero(~same)
+            out[other] = self._add(gather(data, starts[other], size[other]), np.concatenate(([0], np.cumsum(size[other]))))
+        return out
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, one after the other, with the mark for spaces, and how many each has."""
+        n = self.piece_n[ids]
+        return gather(self.piece_flat, self.piece_at[ids], n), n
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text, with spaces, less the one put before it."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.sp.is_byte(i):
-                raw.append(int(self.sp.id_to_piece(i)[3:5], 16))
-                continue
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-            out.append(self.sp.id_to_piece(i))
-        text = ("".join(out) + raw.decode("utf-8", "replace")).replace(MARK, " ")
+        text = self.bytes_of(np.array(ids, np.int64))[0].tobytes().decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-def sample_segmentations(model: Pieces, words: list[list[str]], keys: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """k rounds of (rows, ids, id offsets, log-probability, perturbed value), and last the rows' next value in place of the fourth.
+def _below(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Gumbel variables of log-mass `mass`, below `bound`."""
+    return mass - np.logaddexp(mass - bound, np.log(-np.log(u)))
 
-    words: of each row; keys: a 64-bit seed for each row. Rows with fewer than k segmentations drop out of later rounds.
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, .. (n[i] numbers) of all i, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Path:
+    """One sample of some rows: the steps (unit, place in it, edge) of all of them, row after row, and the values of the nodes left open beside them."""
+
+    def __init__(self, rows: np.ndarray, n: np.ndarray, unit: np.ndarray, place: np.ndarray, edge: np.ndarray):
+        self.rows, self.start = rows, np.concatenate(([0], np.cumsum(n)))
+        self.unit, self.place, self.edge = unit, place, edge
+        self.split, self.mask = np.full(len(rows), -1), np.zeros(len(rows), np.int64)  # the step that left another path, and the edges taken there
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each row its largest open value, and the step it stands at."""
+        top = np.maximum.reduceat(self.worth, self.start[:-1])
+        at = np.flatnonzero(self.worth == np.repeat(top, np.diff(self.start)))
+        return top, at[np.searchsorted(at, self.start[:-1])]
+
+
+def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """k rounds of (rows, ids, offsets of the ids, log-probabilities, perturbed values), and last (all rows, -, -, -, their next values).
+
+    data, offsets: the bytes of normalised texts; keys: a 64-bit seed for each row. Rows with fewer than k segmentations drop out of later rounds; a row without bytes has one.
     """
-    if len(model.words) > model.most_words:
-        model.clear()
-    n_rows = len(words)
-    count = np.fromiter(map(len, words), np.int64, n_rows)
-    known = [model.add(w) for own in words for w in own]
-    base, length = (np.array([x[i] for x in known], np.int64) for i in (0, 1))
-    t = model.arrays()
-    first_word = np.concatenate(([0], np.cumsum(count)))
-
-    def uniform(row: np.ndarray, turn: int, *at: np.ndarray | int) -> np.ndarray:
-        h = keys[row] ^ np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        for x in at:
-            h = mix(h + np.asarray(x).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    n_rows = len(offsets) - 1
+    starts, ends, first_unit = model.units(data, offsets)
+    base, size = model.find(data, starts, ends), ends - starts
+    row_of = np.repeat(np.arange(n_rows), np.diff(first_unit))
+    in_row = starts - offsets[row_of]
+    first, degree, to, piece, share, upto, rest = (x.all for x in (model.first, model.degree, model.to, model.piece, model.share, model.upto, model.rest))
+
+    def seeds(turn: int) -> np.ndarray:
+        return mix(keys ^ np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    def uniform(seed: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
+        h = mix(seed + (place.astype(np.uint64) * np.uint64(4) + np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F))
         return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
-    def walk(row: np.ndarray, word: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
-        """Sample edges to the end of each word from `place` on: (word occurrence, edge, node), in order."""
-        all_w, all_e, all_g, all_p = [], [], [], []
-        live = place < length[word]
-        row, word, place = row[live], word[live], place[live]
-        while len(word):
-            node = base[word] + place
-            u = uniform(row, turn, word - first_word[row], place, 1)
-            edge = np.minimum(np.searchsorted(t["cum"], node + u, "left"), t["first"][node + 1] - 1)
-            edge = np.maximum(edge, t["first"][node])
-            all_w.append(word), all_e.append(edge), all_g.append(node), all_p.append(place)
-            place = t["to"][edge]
-            live = place < length[word]
-            row, word, place = row[live], word[live], place[live]
-        if not all_w:
-            z = np.empty(0, np.int64)
-            return z, z, z
-        w, e, g, p = map(np.concatenate, (all_w, all_e, all_g, all_p))
-        order = np.lexsort((p, w))
-        return w[order], e[order], g[order]
-
-    rows = np.arange(n_rows)
-    value = -np.log(-np.log(uniform(rows, 0, 0, 0, 7)))  # of the whole lattice, whose log-mass is 0
-    # open nodes, by sample: row, path place, value, log-mass, excluded edges
-    paths: list[dict] = []
+    def walk(unit: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Draw edges from each place to the end of its unit: (steps of each, unit, place, edge), in order."""
+        count, drawn = np.zeros(len(unit), np.int64), []
+        which = np.flatnonzero(place < size[unit])
+        w, p = unit[which], place[which]
+        while len(w):
+            edge = first[base[w] + p].astype(np.int64)
+            u = uniform(seed[row_of[w]], in_row[w] + p, 1)
+            later = np.flatnonzero(upto[edge] < u)
+            while len(later):
+                edge[later] += 1
+                later = later[upto[edge[later]] < u[later]]
+            drawn.append((which, p, edge))
+            count[which] += 1
+            p = to[edge].astype(np.int64)
+            on = p < size[w]
+            which, w, p = which[on], w[on], p[on]
+        off = np.cumsum(count) - count
+        total = int(count.sum())
+        out_w, out_p, out_e = (np.empty(total, np.int64) for _ in range(3))
+        for j, (which, p, edge) in enumerate(drawn):
+            at = off[which] + j
+            out_w[at], out_p[at], out_e[at] = unit[which], p, edge
+        return count, out_w, out_p, out_e
+
+    def open_values(path: _Path, fresh: np.ndarray | slice, seed: np.ndarray, value: np.ndarray) -> None:
+        """Values of the nodes beside the fresh steps."""
+        path.lp = share[path.edge]
+        run = np.concatenate(([0.0], np.cumsum(path.lp)))
+        path.before = run[:-1] - np.repeat(run[path.start[:-1]], np.diff(path.start))
+        path.worth = np.full(len(path.edge), -np.inf)
+        at = np.flatnonzero(fresh)
+        at = at[degree[base[path.unit[at]] + path.place[at]] > 1]
+        w = path.unit[at]
+        u = uniform(seed[row_of[w]], in_row[w] + path.place[at], 2)
+        path.worth[at] = _below(path.before[at] + rest[path.edge[at]], u, value[row_of[w]])
+
+    def result(path: _Path, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, n = piece[path.edge].astype(np.int64), np.diff(path.start)
+        off = path.start
+        if (many := ids >= model.size).any():  # bytes in place of a piece
+            each = np.where(many, ids - model.size, 1)
+            raw = gather(data, (starts[path.unit] + path.place)[many], each[many])
+            wide, off = np.repeat(many, each), np.concatenate(([0], np.cumsum(each)))[path.start]
+            ids = np.repeat(ids, each)
+            ids[wide] = model.byte_ids[raw]
+        total = np.add.reduceat(path.lp, path.start[:-1]) if len(n) else np.empty(0)
+        rows, out_off, out_p = path.rows, off, total
+        if len(paths) == 1 and (bare := np.flatnonzero(np.diff(first_unit) == 0)).size:  # texts without bytes
+            rows = np.arange(n_rows)
+            length, lp = np.zeros(n_rows, np.int64), np.zeros(n_rows)
+            length[path.rows], lp[path.rows] = np.diff(off), total
+            out_off, out_p = np.concatenate(([0], np.cumsum(length))), lp
+        return rows, ids.astype(np.int32), out_off, out_p, value[rows]
+
+    value = -np.log(-np.log(uniform(seeds(0), np.zeros(n_rows, np.int64), 3)))  # of the whole lattice, whose log-mass is 0
+    paths: list[_Path] = []
+    count, w, p, e = walk(np.arange(len(base)), np.zeros(len(base), np.int64), seeds(0))
+    steps = np.bincount(row_of, count, n_rows).astype(np.int64)
+    full = np.flatnonzero(steps)
+    path = _Path(full, steps[full], w, p, e)
+    open_values(path, np.ones(len(e), bool), seeds(0), value)
     out = []
-    w, e, g = walk(np.repeat(rows, count), np.arange(len(base)), np.zeros(len(base), np.int64), 0)
-    row = np.repeat(rows, count)[w] if len(w) else w
-    prefix = [row[:0], w[:0], e[:0], g[:0]]
     for turn in range(k):
-        # a path for each live row: kept prefix (without open nodes), then new steps
-        at_row, at_w, at_e, at_g = (np.concatenate((a, b)) for a, b in zip(prefix, (row, w, e, g)))
-        fresh = np.concatenate((np.zeros(len(prefix[0]), bool), np.ones(len(row), bool)))
-        order = np.argsort(at_row, kind="stable")
-        at_row, at_w, at_e, at_g, fresh = at_row[order], at_w[order], at_e[order], at_g[order], fresh[order]
-        where = np.searchsorted(at_row, np.arange(n_rows + 1))
-        step = np.log(np.maximum(t["prob"][at_e], 1e-300))
-        run = np.concatenate(([0.0], np.cumsum(step)))
-        before = run[:-1] - run[where[at_row]]
-        rest = 1.0 - t["prob"][at_e]
-        single = t["first"][at_g + 1] - t["first"][at_g] == 1
-        excluded = np.left_shift(np.int64(1), (at_e - t["first"][at_g]).astype(np.int64))
-        split_place = paths[-1]["next_split"] if paths else None
-        if split_place is not None:  # the node this path left another path at: its earlier exclusions hold
-            at = where[split_place["row"]] + split_place["place"]
-            excluded[at] |= split_place["excluded"]
-            fresh[at] = True
-            rest[at] = split_place["left"]
-            single[at] = split_place["left"] <= 0
-        open_ = fresh & ~single & (rest > 1e-12)
-        mass = before + np.log(np.maximum(rest, 1e-300))
-        u = uniform(at_row, turn, at_w - first_word[at_row], at_g - base[at_w], 2)
-        worth = np.where(open_, _log_gumbel_cut(mass, u, value[at_row]), -np.inf)
-        alive = np.flatnonzero(np.diff(where) > 0) if turn else rows
-        total = np.bincount(at_row, step, n_rows).astype(np.float64)
-        n_ids = t["ids_n"][at_e]
-        id_off = np.concatenate(([0], np.cumsum(n_ids)))[where]
-        flat = gather(t["ids"], t["ids_at"][at_e], n_ids)
-        out.append((alive, flat, id_off, total, value.copy()))
-        paths.append({"row": at_row, "w": at_w, "e": at_e, "g": at_g, "where": where, "worth": worth, "excluded": excluded, "rest": rest, "next_split": None})
+        paths.append(path)
+        out.append(result(path, value))
         # the open node of the largest value, over all paths of a row
         best, best_path, best_at = np.full(n_rows, -np.inf), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
-        for s, path in enumerate(paths):
-            if not len(path["worth"]):
-                continue
-            o = np.lexsort((-path["worth"], path["row"]))
-            r, first = np.unique(path["row"][o], return_index=True)
-            top = o[first]
-            better = path["worth"][top] > best[r]
-            best[r[better]], best_path[r[better]], best_at[r[better]] = path["worth"][top][better], s, top[better]
-        value = best
-        if turn == k - 1:
+        for s, own in enumerate(paths):
+            if len(own.rows):
+                top, at = own.best()
+                better = top > best[own.rows]
+                r = own.rows[better]
+                best[r], best_path[r], best_at[r] = top[better], s, at[better]
+        value, go = best, np.flatnonzero(np.isfinite(best))
+        if turn == k - 1 or not len(go):
             break
-        go = np.flatnonzero(np.isfinite(best))
-        pre, new_row, new_w, new_e, new_g, splits = [[], [], [], []], [], [], [], [], {"row": [], "place": [], "excluded": [], "left": []}
-        for s, path in enumerate(paths):
-            r = go[best_path[go] == s]
-            if not len(r):
+        # the step each row leaves its path at, what was taken there, and how far the path is kept
+        at_w, at_p, taken, mass, kept = (np.zeros(len(go), t) for t in (np.int64, np.int64, np.int64, float, np.int64))
+        for s, own in enumerate(paths):
+            mine = best_path[go] == s
+            if not mine.any():
                 continue
-            at = best_at[r]
-            path["worth"][at] = -np.inf
-            n = at - path["where"][r]
-            ends = np.cumsum(n)
-            idx = np.repeat(path["where"][r] - (ends - n), n) + np.arange(ends[-1])
-            for dest, name in zip(pre, ("row", "w", "e", "g")):
-                dest.append(path[name][idx])
-            # a child of the node other than those excluded, by its share
-            node, ex = path["g"][at], path["excluded"][at]
-            u = uniform(r, turn, path["w"][at] - first_word[r], node - base[path["w"][at]], 3) * path["rest"][at]
-            edge, done = np.full(len(r), -1), np.zeros(len(r))
-            for d in range(int((t["first"][node + 1] - t["first"][node]).max())):
-                this = t["first"][node] + d
-                ok = (this < t["first"][node + 1]) & (np.right_shift(ex, d) & 1 == 0)
-                this = np.minimum(this, len(t["prob"]) - 1)
-                take = ok & ((edge < 0) | (done < u))
-                edge = np.where(take, this, edge)
-                done = np.where(ok, done + t["prob"][this], done)
-            new_row.append(r), new_w.append(path["w"][at]), new_e.append(edge), new_g.append(node)
-            left = path["rest"][at] - t["prob"][edge]
-            for name, x in (("row", r), ("place", n), ("excluded", ex), ("left", np.where(left > 1e-12, left, 0.0))):
-                splits[name].append(x)
-        if not new_row:
-            value = np.full(n_rows, -np.inf)
-            break
-        prefix = [np.concatenate(x) for x in pre]
-        r1, w1, e1, g1 = map(np.concatenate, (new_row, new_w, new_e, new_g))
-        paths[-1]["next_split"] = {k_: np.concatenate(x) for k_, x in splits.items()}
-        # from there: the rest of the word, and the words after it
-        later = first_word[r1 + 1] - w1 - 1
-        ends = np.cumsum(later)
-        later_w = np.repeat(w1 + 1 - (ends - later), later) + np.arange(ends[-1])
-        w, e, g = walk(np.concatenate((r1, np.repeat(r1, later))), np.concatenate((w1, later_w)), np.concatenate((t["to"][e1], np.zeros(len(later_w), np.int64))), turn + 1)
-        of_word = np.searchsorted(first_word, w, "right") - 1
-        row, w, e, g = np.concatenate((r1, of_word)), np.concatenate((w1, w)), np.concatenate((e1, e)), np.concatenate((g1, g))
-    out.append((np.flatnonzero(np.isfinite(value)), np.empty(0, np.int32), np.zeros(n_rows + 1, np.int64), value, value))
+            at, where = best_at[go[mine]], np.searchsorted(own.rows, go[mine])
+            own.worth[at] = -np.inf
+            at_w[mine], at_p[mine], mass[mine], kept[mine] = own.unit[at], own.place[at], own.before[at], at - own.start[where]
+            taken[mine] = np.where(own.split[where] == at, own.mask[where], np.left_shift(np.int64(1), own.edge[at] - first[base[own.unit[at]] + own.place[at]]))
+        node, seed = base[at_w] + at_p, seeds(turn + 1)
+        deg, begin = degree[node].astype(np.int64), first[node].astype(np.int64)
+        free, edge = np.zeros(len(go)), np.full(len(go), -1)
+        for d in range(int(deg.max())):
+            ok = (d < deg) & (taken >> d & 1 == 0)
+            free[ok] += np.exp(share[begin[ok] + d])
+        u, done = uniform(seed[go], in_row[at_w] + at_p, 0) * free, np.zeros(len(go))
+        for d in range(int(deg.max())):  # an edge other than those taken, by its share
+            ok = (d < deg) & (taken >> d & 1 == 0)
+            take = ok & ((edge < 0) | (done < u))
+            edge[take] = begin[take] + d
+            done[ok] += np.exp(share[begin[ok] + d])
+        taken = taken | np.left_shift(np.int64(1), edge - begin)
+        left = np.zeros(len(go))
+        for d in range(int(deg.max())):
+            ok = (d < deg) & (taken >> d & 1 == 0)
+            left[ok] += np.exp(share[begin[ok] + d])
+        # from there: the rest of the unit, and the units after it
+        after = first_unit[go + 1] - at_w  # the unit itself and the later ones
+        entry = np.cumsum(after) - after
+        units = _ranges(at_w, after)
+        places = np.zeros(len(units), np.int64)
+        places[entry] = to[edge]
+        count, w, p, e = walk(units, places, seed)
+        fresh_n = np.add.reduceat(count, entry)
+        n = kept + 1 + fresh_n
+        begin_at = np.cumsum(n) - n
+        all_w, all_p, all_e = (np.empty(int(n.sum()), np.int64) for _ in range(3))
+        for s, own in enumerate(paths):
+            mine = best_path[go] == s
+            if mine.any():
+                source = _ranges(own.start[np.searchsorted(own.rows, go[mine])], kept[mine])
+                dest = _ranges(begin_at[mine], kept[mine])
+                all_w[dest], all_p[dest], all_e[dest] = own.unit[source], own.place[source], own.edge[source]
+        here = begin_at + kept
+        all_w[here], all_p[here], all_e[here] = at_w, at_p, edge
+        dest = _ranges(here + 1, fresh_n)
+        all_w[dest], all_p[dest], all_e[dest] = w, p, e
+        path = _Path(go, n, all_w, all_p, all_e)
+        path.split, path.mask = here, taken
+        fresh = np.zeros(len(all_e), bool)
+        fresh[dest] = True
+        open_values(path, fresh, seed, value)
+        more = left > 0
+        path.worth[here[more]] = _below(mass[more] + np.log(left[more]), uniform(seed[go[more]], (in_row[at_w] + at_p)[more], 2), value[go[more]])
+    none = np.empty(0, np.int64)
+    out.append((np.arange(n_rows), none, none, none, value))
     return out
 
 
-def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col: str = "text", k: int = 4, seed: int = 0, rows_a_batch: int = 1024, bytes_a_batch: int = 1 << 19) -> DataFrame:
-    """(key_cols, sample, n_pieces, ids, log_prob, inclusion, decoded): up to k distinct segmentations of each text, likeliest draws first.
+def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col: str = "text", k: int = 4, seed: int = 0, with_ids: bool = True, rows_a_batch: int = 4096, bytes_a_batch: int = 1 << 20) -> DataFrame:
+    """(key_cols, sample, n_pieces, ids, ids_crc32, log_prob, inclusion, log_inclusion, decoded): up to k distinct segmentations of each text, in the order they are drawn.
 
-    inclusion is the chance that a draw above the (k+1)-th perturbed value takes in this segmentation (1 if there are no more than k). The seed is
-    a hash of the row's key columns; equal keys draw alike. Null and empty texts have one segmentation without pieces. decoded: do the ids decode to the normalised text?
+    inclusion is the chance that a draw above the (k+1)-th perturbed value takes in this segmentation (1 if there are no more than k);
+    that of one segmentation of a long text can be below the least double, its logarithm is not. The seed is a hash of the row's key columns; equal keys draw alike. Null and empty texts have one segmentation without pieces; an empty df has none. decoded: do the ids decode to the normalised
+    text? Without with_ids the column of ids stays in the workers; its CRC-32 (of little-endian unsigned 32-bit integers) is given in either case. Key columns must not bear the names of outputs;
+    no other column is read.
     """
-    kept = df.select(*key_cols, F.xxhash64(*key_cols, F.lit(seed)).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    if clash := {"sample", "n_pieces", "ids", "ids_crc32", "log_prob", "inclusion", "log_inclusion", "decoded"} & set(key_cols):
+        raise ValueError(f"key columns with the names of outputs: {sorted(clash)}")
+    kept = df.select(*key_cols, F.xxhash64(*key_cols, F.lit(seed)).alias("__key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    names = [*key_cols, "sample", "n_pieces", *(["ids"] if with_ids else []), "ids_crc32", "log_prob", "inclusion", "log_inclusion", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(model_path)
@@ -281,18 +426,22 @@ def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col:
             sized = (r for r in slices(buffers(column(whole, "__text"))[1], bytes_a_batch))
             for a, b in ((i, min(i + rows_a_batch, end)) for start, end in sized for i in range(start, end, rows_a_batch)):
                 batch = whole.slice(a, b - a)
-                words = [model.split(x) for x in column(batch, "__text").to_pylist()]
-                normal = ["".join(x).replace(MARK, " ") for x in words]
-                normal = [x[1:] if x.startswith(" ") else x for x in normal]
+                data, offsets = buffers(model.normalize(column(batch, "__text").to_pylist()))
                 keys = column(batch, "__key").to_numpy().view(np.uint64)
-                release()
-                *rounds, (_, _, _, bound, _) = sample_segmentations(model, words, keys, k)
+                *rounds, (_, _, _, _, bound) = sample_segmentations(model, data, offsets, keys, k)
                 for s, (rows, ids, off, log_p, _) in enumerate(rounds):
-                    rows = rows[[bool(words[r]) or s == 0 for r in rows.tolist()]]
-                    inclusion = -np.expm1(-np.exp(np.minimum(log_p[rows] - bound[rows], 50.0)))
-                    fine = [model.decodes_to(ids[off[r] : off[r + 1]].tolist(), normal[r]) for r in rows.tolist()]
-                    own = lists(gather(ids, off[rows], off[rows + 1] - off[rows]), np.concatenate(([0], np.cumsum(off[rows + 1] - off[rows]))))
-                    which = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([*(column(batch, c).take(which) for c in key_cols), pa.array(np.full(len(rows), s, np.int32)), pa.array(off[rows + 1] - off[rows]), own, pa.array(log_p[rows]), pa.array(inclusion), pa.array(fine, pa.bool_())], [*key_cols, "sample", "n_pieces", "ids", "log_prob", "inclusion", "decoded"])
-
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.select(*key_cols).dtypes) + ", sample int, n_pieces long, ids array<int>, log_prob double, inclusion double, decoded boolean")
+                    said, n = model.bytes_of(ids)
+                    length = np.concatenate(([0], np.cumsum(n)))[off]
+                    fine = np.diff(length) == np.diff(offsets)[rows]
+                    for r in np.flatnonzero(fine).tolist():
+                        fine[r] = np.array_equal(said[length[r] : length[r + 1]], data[offsets[rows[r]] : offsets[rows[r] + 1]])
+                    ahead = np.minimum(log_p - bound[rows], 50.0)
+                    inclusion = -np.expm1(-np.exp(ahead))
+                    log_inclusion = np.where(ahead < -30, ahead, np.log(np.maximum(inclusion, 1e-300)))
+                    raw = ids.astype("<u4")
+                    crc = pa.array([zlib.crc32(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist())], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(column(batch, c).take(pa.array(rows)) for c in key_cols), pa.array(np.full(len(rows), s, np.int32)), pa.array(np.diff(off)), *([lists(ids, off)] if with_ids else []), crc, pa.array(log_p), pa.array(inclusion), pa.array(log_inclusion), pa.array(fine, pa.bool_())], names)
+                release()
+
+    kinds = dict(df.select(*key_cols).dtypes) | {"sample": "int", "n_pieces": "long", "ids": "array<int>", "ids_crc32": "long", "log_prob": "double", "inclusion": "double", "log_inclusion": "double", "decoded": "boolean"}
+    return kept.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))

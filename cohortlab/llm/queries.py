@@ -41,8 +41,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over whole texts of `documents` (key doc_id) and of `conversations` (key conv_id, turn); the other table's keys are null."""
     both = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), allowMissingColumns=True)
-    drawn = pieces.sample_pieces(both, tokens.tokenizer_path("piece_bpe_32k.model"), ["doc_id", "conv_id", "turn"])
-    return tokens.add_crc(drawn, "ids")
+    return pieces.sample_pieces(both, tokens.tokenizer_path("piece_bpe_32k.model"), ["doc_id", "conv_id", "turn"], with_ids=False)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from cohortlab.llm import language_model, pieces, quality, queries, tokens, url_filter
+from cohortlab.llm.textvec import buffers
 
 # -- quality ----------------------------------------------------------------------------------------------------------------------
 
@@ -155,45 +156,99 @@ def every_segmentation(model, word):
     return dict(zip(ids, p / p.sum()))
 
 
+def draw(model, texts, keys, k):
+    """For each text its (ids, log-probability, value) in the order drawn, and the next value."""
+    data, offsets = buffers(pa.array(texts, pa.large_string()))
+    *rounds, (_, _, _, _, bound) = pieces.sample_segmentations(model, data, offsets, keys, k)
+    out = [[] for _ in texts]
+    for rows, ids, off, log_p, value in rounds:
+        for i, r in enumerate(rows.tolist()):
+            out[r].append((tuple(ids[off[i] : off[i + 1]].tolist()), log_p[i], value[i]))
+    return out, bound
+
+
 def test_samples_follow_the_lattice(model):
     law = every_segmentation(model, "▁thering")
     n = 6000
-    rounds = pieces.sample_segmentations(model, [["▁thering"]] * n, pieces.mix(np.arange(n, dtype=np.uint64)), 3)
-    first, second = Counter(), Counter()
-    drawn = [[] for _ in range(n)]
-    for s, (rows, ids, off, log_p, value) in enumerate(rounds[:-1]):
-        for r in rows.tolist():
-            seg = tuple(ids[off[r] : off[r + 1]].tolist())
-            assert abs(np.log(law[seg]) - log_p[r]) < 1e-6
-            drawn[r].append((seg, value[r]))
-            (first if s == 0 else second)[seg] += s < 2
-    assert all(len({s for s, _ in d}) == len(d) and [v for _, v in d] == sorted((v for _, v in d), reverse=True) for d in drawn)
+    drawn, bound = draw(model, ["▁thering"] * n, pieces.mix(np.arange(n, dtype=np.uint64)), 3)
+    first, second = Counter(d[0][0] for d in drawn), Counter(d[1][0] for d in drawn)
+    for d, b in zip(drawn, bound):
+        values = [v for *_, v in d]
+        assert len({s for s, *_ in d}) == len(d) == 3 and values == sorted(values, reverse=True) and b < values[-1]
+        assert all(abs(np.log(law[s]) - lp) < 1e-9 for s, lp, _ in d)
     for seg, p in law.items():
         assert abs(first[seg] / n - p) < 4 * np.sqrt(p * (1 - p) / n) + 2e-3
         later = sum(q * p / (1 - q) for other, q in law.items() if other != seg)
         assert abs(second[seg] / n - later) < 4 * np.sqrt(later * (1 - later) / n) + 3e-3
 
 
+def test_inclusion_weights_estimate_sums(model):
+    """Weighting each drawn segmentation by probability over inclusion estimates sums over all segmentations without bias."""
+    law = every_segmentation(model, "▁thering")
+    n, k = 4000, 3
+    drawn, bound = draw(model, ["▁thering"] * n, pieces.mix(np.arange(7, n + 7, dtype=np.uint64)), k)
+    weight = lambda lp, b: np.exp(lp) / -np.expm1(-np.exp(lp - b))
+    for f in (lambda s: 1.0, len, lambda s: float(s[0] % 7)):
+        true = sum(p * f(s) for s, p in law.items())
+        found = np.array([sum(weight(lp, b) * f(s) for s, lp, _ in d) for d, b in zip(drawn, bound)])
+        assert abs(found.mean() - true) < 5 * found.std() / np.sqrt(n) + 1e-9
+
+
+def test_units_multiply(model):
+    """The law of a text is the product of those of its units, and units are cut only where no piece crosses."""
+    text = "▁ab▁the12.▁e"
+    data, offsets = buffers(pa.array([text], pa.large_string()))
+    starts, ends, first = model.units(data, offsets)
+    said = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert "".join(said) == text and len(said) > 3 and first.tolist() == [0, len(said)]
+    law = every_segmentation(model, text)
+    drawn, _ = draw(model, [text], np.array([5], np.uint64), 2000)
+    assert len(drawn[0]) == len(law) and {s for s, *_ in drawn[0]} == set(law)
+    assert all(math.isclose(math.exp(lp), law[s], rel_tol=1e-9) for s, lp, _ in drawn[0])
+
+
 def test_few_segmentations_run_out(model):
     total = len(every_segmentation(model, "▁ab"))
-    rounds = pieces.sample_segmentations(model, [["▁ab"], ["▁ab", "▁ab"], []], np.array([1, 2, 3], np.uint64), 40)
-    seen = [[] for _ in range(3)]
-    for rows, ids, off, *_ in rounds[:-1]:
-        for r in rows.tolist():
-            seen[r].append(tuple(ids[off[r] : off[r + 1]].tolist()))
-    assert len(set(seen[0])) == len(seen[0]) == total and len(set(seen[1])) == len(seen[1]) == min(40, total**2)
+    drawn, bound = draw(model, ["▁ab", "▁ab▁ab", "", "▁漢😀"], np.array([1, 2, 3, 4], np.uint64), 60)
+    assert [len(d) for d in drawn] == [len({s for s, *_ in d}) for d in drawn] == [total, total**2, 1, 1]
+    assert np.isneginf(bound).all()
+
+
+def test_units_of_one_hash(model, monkeypatch):
+    want, _ = draw(model, ["▁the▁cat▁sat", "▁on▁the▁mat"], np.array([8, 9], np.uint64), 3)
+    monkeypatch.setattr(pieces, "span_hashes", lambda data, starts, ends: ((ends - starts) % 2).astype(np.uint64))
+    other = pieces.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
+    assert draw(other, ["▁the▁cat▁sat", "▁on▁the▁mat"], np.array([8, 9], np.uint64), 3)[0] == want
+
+
+def test_batches_do_not_matter(model):
+    texts = ["▁some▁words", "", "▁漢字▁x", "▁" + "ab" * 400, "▁some▁words"]
+    keys = np.array([3, 1, 4, 1, 5], np.uint64)
+    whole, _ = draw(model, texts, keys, 4)
+    model.clear()
+    for i in (4, 3, 2, 1, 0):
+        for (s, lp, v), (s1, lp1, v1) in zip(whole[i], draw(model, [texts[i]], keys[i : i + 1], 4)[0][0], strict=True):
+            assert s == s1 and math.isclose(lp, lp1, abs_tol=1e-9) and math.isclose(v, v1, abs_tol=1e-9)
 
 
 def test_piece_table(spark):
-    texts = ["Hello world", "", None, "  two  spaces ", "漢字 😀 ünï\n\ttab", "x" * 3000, "a", "Hello world"]
-    df = spark.createDataFrame([(i % 7, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
-    got = pieces.sample_pieces(df, tokens.tokenizer_path("piece_bpe_32k.model"), ["conv_id", "turn"]).collect()
-    assert all(r["decoded"] and 0 < r["inclusion"] <= 1 for r in got)
+    texts = ["Hello world", "", None, "  two  spaces ", "漢字 😀 ünï\n\ttab", "x" * 30_000, "a", "Hello world", "ﬁ ½ 𝒜 \x00 e\u0301", "▁ marks ▁▁"]
+    df = spark.createDataFrame([(i % 7, i, t, "clash") for i, t in enumerate(texts)], "conv_id long, turn long, text string, sample string")
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    got = pieces.sample_pieces(df, path, ["conv_id", "turn"]).collect()
+    assert all(r["decoded"] and 0 <= r["inclusion"] <= 1 and -1e6 < r["log_inclusion"] <= 0 and math.isclose(math.exp(r["log_inclusion"]), r["inclusion"], abs_tol=1e-12) and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
     by = Counter(r["turn"] for r in got)
     assert by[0] == 4 and by[1] == by[2] == 1 and by[5] == 4
-    again = pieces.sample_pieces(df.repartition(3), tokens.tokenizer_path("piece_bpe_32k.model"), ["conv_id", "turn"]).collect()
-    assert {(r["turn"], r["sample"]): r["ids"] for r in got} == {(r["turn"], r["sample"]): r["ids"] for r in again}
-    assert pieces.sample_pieces(df.limit(0), tokens.tokenizer_path("piece_bpe_32k.model"), ["conv_id"]).count() == 0
+    model = pieces.Pieces(path)
+    for r in got:  # the library's decoder gives back the normalised text
+        normal = model.sp.normalize(texts[r["turn"]] or "").replace("▁", " ")
+        assert model.sp.decode(r["ids"]) == model.decode(r["ids"]) == (normal[1:] if normal.startswith(" ") else normal)
+    again = pieces.sample_pieces(df.repartition(3), path, ["conv_id", "turn"], with_ids=False)
+    assert "ids" not in again.columns
+    assert {(r["turn"], r["sample"]): r["ids_crc32"] for r in got} == {(r["turn"], r["sample"]): r["ids_crc32"] for r in again.collect()}
+    assert pieces.sample_pieces(df.limit(0), path, ["conv_id"]).count() == 0
+    with pytest.raises(ValueError, match="sample"):
+        pieces.sample_pieces(df, path, ["sample"])
 
 
 def test_pieces_read_every_document(spark, sf):
