@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -62,12 +63,64 @@ def test_battery_tells_random_from_made(spark):
     assert sum(got[i] for i in range(150)) >= 140 and sum(got[i] for i in range(150, 300)) <= 5
 
 
+def tail_oracle(t):
+    """The battery of one token, with plain Python numbers: minus the decimal logarithm of Fisher's p-value."""
+    alphabet = next(a for p, a in secrets.ENCODINGS if re.search(p, t))
+    a, n = len(alphabet), len(t)
+    x = sum(t.count(c) ** 2 for c in set(t)) * a / n - n
+    df = (a - 1) * n / (n - 1)
+    chi = ((max(x, 0) / (a - 1)) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))
+    at = [alphabet.index(c) for c in t]
+    low = sum(i < a // 2 for i in at)
+    runs = 1 + sum((i < a // 2) != (j < a // 2) for i, j in zip(at, at[1:]))
+    less = 2 * low * (n - low) / n
+    z_runs = abs(runs - 1 - less) / math.sqrt(max(less * (less - 1) / (n - 1), 1e-9))
+    mid = (a - 1) / 2
+    serial = abs(sum((i - mid) * (j - mid) for i, j in zip(at, at[1:]))) / ((a * a - 1) / 12 * math.sqrt(n - 1))
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    logs = [math.log(tail(chi)), (1 - n) * math.log(2) if low in (0, n) else min(0.0, math.log(2 * tail(z_runs))), min(0.0, math.log(2 * tail(serial)))]
+    h = -sum(logs)
+    return (h - math.log(1 + h + h * h / 2)) / math.log(10)
+
+
+def test_battery_against_plain_numbers(spark):
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list(a), n)) + "a1" for _, a in secrets.ENCODINGS for n in (14, 18, 30, 60)] + ["a1" * 20, "a" * 20 + "1" * 20, "9f" * 9, "A1b2C3d4E5f6G7h8"]
+    df = spark.createDataFrame([(i, f"= {t} .") for i, t in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: r["c"] for r in df.select("doc_id", secrets._candidates(F.col("text")).alias("c")).collect()}
+    for i, t in enumerate(made):
+        (c,) = got[i]
+        exact = tail_oracle(t) * secrets.BINS_A_DECADE
+        assert (c["s"], c["e"]) == (2, 2 + len(t)) and abs(c["bin"] + 0.5 - min(max(exact, 0), secrets.LAST_BIN)) <= 0.51 + 1e-3, t
+        assert c["band"] == (3 if len(t) < 20 else int(math.log2(len(t))))
+
+
+def test_discovery_control(spark):
+    """Of tokens that are random, at most about a share fdr of those cleared is cleared; each band has its own limit."""
+    rng = np.random.default_rng(6)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    random = ["".join(rng.choice(alphabet, n)) for n in (17, 24, 40) for _ in range(400)]
+    random = [t for t in random if re.search("[0-9]", t)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(random)], "doc_id long, text string")
+    kept = secrets.find_secrets(df).where(F.exists("secret_spans", lambda x: x["k"] == 3)).count()
+    assert kept >= 0.95 * len(random)
+
+
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "é token = abcdef0123456789abcdef end", 7), (2, "clean", 5), (3, None, 0), (4, "", 0)], "doc_id long, text string, secret_spans int")
-    plain = df.withColumnRenamed("secret_spans", "n_chars")
-    out = {r["doc_id"]: r for r in secrets.redact_secrets(plain, length_col="n_chars").collect()}
+    df = spark.createDataFrame([(1, "é token = abcdef0123456789abcdef end", 7, 9), (2, "clean", 5, 9), (3, None, 0, 9), (4, "", 0, 9), (4, "", 0, 9)], "doc_id long, text string, n_chars int, secret_spans int")
+    out = {r["doc_id"]: r for r in secrets.redact_secrets(df, length_col="n_chars").collect()}
     assert out[1]["text"] == "é [SECRET] end" and out[1]["n_chars"] == 14 and out[2]["text"] == "clean" and out[2]["n_chars"] == 5 and out[3]["text"] is None and out[4]["text"] == ""
-    assert secrets.redact_secrets(plain.limit(0)).count() == 0
+    assert all(r["secret_spans"] == 9 for r in out.values()) and secrets.redact_secrets(df).columns == df.columns and secrets.redact_secrets(df).count() == 5
+    assert secrets.redact_secrets(df.limit(0)).count() == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"é{i} {i:016x}" for i in range(3000)) + " secret: " + "f" * 40
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.find_secrets(df).first()["secret_spans"]
+    assert [(s, k, e) for s, k, e in got if k < 3] == brute_spans(text)
+    masked = secrets.redact_secrets(df).first()["text"]
+    assert masked == " ".join(f"é{i} [SECRET]" for i in range(3000)) + " [SECRET]"
 
 
 # -- tokens -----------------------------------------------------------------------------------------------------------------------
