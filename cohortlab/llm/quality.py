@@ -99,7 +99,8 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", m
     """Fit on the labelled documents whose crc32(id) mod 5 is not 0.
 
     most_rows: if there are more of them, those with the smallest hashes of the id are used (a bounded sample; about 6 KB each
-    at the driver). Null labels and ids are left out; of several labels for an id the largest counts.
+    at the driver). Null labels and ids are left out; of several labels for an id the largest counts, of several documents of an id one. Whole texts are read, however long;
+    null and empty ones have no n-gram. Without labelled documents, or with one label only, the model scores all texts alike.
     """
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null").where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
     own = own.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
@@ -111,7 +112,8 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", m
             yield pa.RecordBatch.from_arrays([column(batch, "__id"), column(batch, "__y"), pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())], ["__id", "__y", "x"])
 
     chosen = documents.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "__id")  # at most most_rows labels
-    got = sorted((i, y, bytes(x)) for i, y, x in chosen.mapInArrow(features, "__id long, __y int, x binary").collect())
+    rows = chosen.mapInArrow(features, "__id long, __y int, x binary").groupBy("__id", "__y").agg(F.min("x").alias("x"))  # one a label
+    got = sorted((i, y, bytes(x)) for i, y, x in rows.collect())
     model = fit_rows([np.frombuffer(x, "<i4") for _, _, x in got], np.array([int(y > 0) for _, y, _ in got], dtype=np.int64))
     del got
     release()
@@ -119,7 +121,10 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", m
 
 
 def score(df: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """df with score and predicted (1 if score >= threshold). Null and empty texts have no n-gram and get the model's prior score."""
+    """df with score and predicted (1 if score >= threshold); columns of df with these names are replaced.
+
+    Whole texts are read, however long; null and empty texts have no n-gram and get the model's score of none. Repeated rows are scored each by itself; an empty df stays empty.
+    """
     rest = [c for c in df.columns if c not in ("score", "predicted")]
     sent = df.sparkSession.sparkContext.broadcast(model)  # DIM floats and three more
 

@@ -75,9 +75,10 @@ WITH raw AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, in
   parsed AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
   outcome AS (SELECT doc_id, MAX(CASE WHEN quality = 0 OR toxic > 0 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
   counted AS (SELECT host, COUNT(o.bad) AS n, COALESCE(SUM(o.bad), 0) AS bad FROM parsed p LEFT JOIN outcome o ON p.page_id = o.doc_id GROUP BY host),
-  named AS (SELECT *, string_split(host, '.') AS labels FROM counted),
-  cut AS (SELECT host, n, bad, labels, CASE WHEN len(labels) >= 3 AND length(labels[-1]) = 2 AND list_contains(['ac', 'co', 'com', 'edu', 'gov', 'net', 'org'], labels[-2]) THEN 2 ELSE 1 END AS k FROM named),
-  hosts AS (SELECT host, n, bad, array_to_string(labels[greatest(1, len(labels) - k + 1):], '.') AS suffix, array_to_string(labels[greatest(1, len(labels) - k):], '.') AS domain FROM cut),"""
+  named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM counted),
+  cut AS (SELECT host, name, n, bad, labels, regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') AS address, CASE WHEN len(labels) >= 3 AND length(labels[-1]) = 2 AND list_contains(['ac', 'co', 'com', 'edu', 'gov', 'net', 'org'], labels[-2]) THEN 2 ELSE 1 END AS k FROM named),
+  hosts AS (SELECT host, n, bad, CASE WHEN address THEN 'address' ELSE array_to_string(labels[greatest(1, len(labels) - k + 1):], '.') END AS suffix,
+    CASE WHEN address THEN name ELSE array_to_string(labels[greatest(1, len(labels) - k):], '.') END AS domain FROM cut),"""
     + ",".join(
         [
             _REPUTATION_LEVEL.format(key="suffix", columns="suffix", prior="(SELECT (SUM(bad) + 0.5) / (SUM(n) + 1) FROM hosts)", join=""),

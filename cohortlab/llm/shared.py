@@ -60,19 +60,20 @@ def sized_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
 
 @dataclass(frozen=True)
 class Bloom:
-    """A blocked Bloom filter over long keys: a table (__block, __bits) of at most 64 MB, and its number of blocks."""
+    """A blocked Bloom filter over long keys: a table (__block, __bits) of 4 KB a block, and its number of blocks."""
 
     table: DataFrame
     blocks: int
 
 
-def build_bloom(keys: DataFrame, key: str, most_bits: int = 1 << 29) -> Bloom:
-    """The filter's size has a fixed bound, most_bits / 8 bytes, whatever the number of keys.
+#: Filters up to so many blocks, 64 MB, are broadcast.
+BROADCAST_BLOCKS = 1 << 14
 
-    Beyond about most_bits / 16 keys it only lets more rows through, which costs time but no row.
-    """
+
+def build_bloom(keys: DataFrame, key: str) -> Bloom:
+    """16 to 32 bits a key, however many keys there are, so the share of rows that pass by chance stays the same."""
     n, blocks = keys.count(), 1
-    while blocks * BLOCK_BITS < min(most_bits, 16 * n):
+    while blocks * BLOCK_BITS < 16 * n:
         blocks *= 2
     bits = keys.select(_block(F.col(key), blocks).alias("__block"), F.explode(F.array(*_probes(F.col(key)))).alias("__bit"))
     return Bloom(materialize(bits.groupBy("__block").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "bloom"), blocks)
@@ -87,8 +88,12 @@ def _probes(key: Column) -> list[Column]:
 
 
 def probe_bloom(rows: DataFrame, key: str, bloom: Bloom, flag: str) -> DataFrame:
-    """Add the boolean column `flag`: false means that the key is surely not among those of the filter."""
-    joined = rows.withColumn("__block", _block(F.col(key), bloom.blocks)).join(F.broadcast(bloom.table), "__block", "left")
+    """Add the boolean column `flag`: false means that the key is surely not among those of the filter.
+
+    A filter of at most BROADCAST_BLOCKS blocks (64 MB) is broadcast, so no row is shuffled. A larger one, of more than about 30 million keys, is joined by block.
+    """
+    table = F.broadcast(bloom.table) if bloom.blocks <= BROADCAST_BLOCKS else bloom.table
+    joined = rows.withColumn("__block", _block(F.col(key), bloom.blocks)).join(table, "__block", "left")
     byte = lambda bit: F.conv(F.hex(F.substring(F.col("__bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     first, second, third = (F.floor(byte(bit) / F.pow(F.lit(2.0), bit % 8)) % 2 == 1 for bit in _probes(F.col(key)))
     return joined.withColumn(flag, F.coalesce(first & second & third, F.lit(False))).drop("__block", "__bits")

@@ -50,13 +50,19 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
 
 
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """Suffix (the last label, or two under a country code) and registered domain (one label more) of a host."""
+    """Suffix (the last label, or two under a country code) and registered domain (one label more) of a host.
+
+    A port is left out. An address of four numbers is a domain of its own, under the suffix `address`.
+    """
+    host = F.regexp_replace(host, ":[0-9]*$", "")
+    address = host.rlike(r"^[0-9]+(\.[0-9]+){3}$")
     labels = F.split(host, r"\.")
     n = F.size(labels)
     label = lambda k: F.when(n >= k, F.element_at(labels, -k)).otherwise(F.lit(""))
     two = (n >= 3) & (F.length(label(1)) == 2) & label(2).isin(SECOND)
     last = lambda k: F.substring_index(host, ".", -k)
-    return F.when(two, last(2)).otherwise(last(1)), F.when(two, last(3)).otherwise(last(2))
+    suffix, domain = F.when(two, last(2)).otherwise(last(1)), F.when(two, last(3)).otherwise(last(2))
+    return F.when(address, F.lit("address")).otherwise(suffix), F.when(address, host).otherwise(domain)
 
 
 def _strength(groups: DataFrame, prior: str) -> float:
@@ -93,6 +99,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule] = RULES, i
     labels: (doc_id, quality, toxic); a page's outcome is that of the document with its id, bad if the quality is 0 or it is toxic, and
     unknown where there is none or both are null. Of several labels for an id any bad one counts.
     A rule's verdict comes first; without one, a page is blocked if the lower bound for its host is above block_above.
+    Null, empty and malformed urls have an empty host and path, and that host a reputation like any other. Repeated page ids are judged row by row, each with the
+    outcome of its id; a null id has none. An empty table gives an empty result. Other columns of either table are not read. Urls are read whole.
     """
     outcome = F.coalesce((F.col("quality") == 0) | (F.col("toxic") > 0), F.col("quality") == 0, F.col("toxic") > 0)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__page")).agg(F.max(outcome.cast("int")).alias("bad"))

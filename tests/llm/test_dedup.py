@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.llm import embedding_dedup, exact_dedup, near_dedup
+from cohortlab.llm import embedding_dedup, exact_dedup, near_dedup, shared
 from cohortlab.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, kept string"
@@ -52,6 +52,11 @@ def test_exact_empty_and_all_equal(spark):
     assert got.count() == 5000 and got.where("keep_id = 4999 and group_size = 5000").count() == 5000 and got.where("kept").count() == 1
 
 
+def test_exact_with_a_filter_too_large_to_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BLOCKS", 0)
+    test_exact_on_documents(spark, sf)
+
+
 def test_exact_on_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = df.select("doc_id", "text").collect()

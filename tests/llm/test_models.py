@@ -36,6 +36,8 @@ def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.train(docs, none)
     assert quality.score(docs, model).count() == 4
+    many = spark.createDataFrame([(7, f"text {i}", 0.5) for i in range(50)], "doc_id long, text string, score double")  # one id, many rows
+    assert quality.score(many, quality.train(many, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"))).count() == 50
     one = spark.createDataFrame([(1, 1, None), (2, None, 0), (3, 1, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(docs, quality.train(docs, one)).where("score > 0.5").count() == 4
     assert quality.score(docs.limit(0), model).count() == 0
@@ -302,6 +304,13 @@ def test_reputation_shrinks_to_its_parents(spark):
     assert all(r["low"] < r["mean"] for r in got.values())
 
 
+def test_addresses_and_ports(spark):
+    hosts = ["1.2.3.4:80", "1.2.3.4", "9.9.9.9", "a.b.co.uk:8080", "x.com", "com", "", "a.1.2.3.4"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in df.select(*url_filter.suffix_and_domain(df["host"])).collect()]
+    assert got == [("address", "1.2.3.4"), ("address", "1.2.3.4"), ("address", "9.9.9.9"), ("co.uk", "b.co.uk"), ("com", "x.com"), ("com", "com"), ("", ""), ("4", "3.4")]
+
+
 def test_known_table_handles_nothing():
     known = language_model.Known(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 6, 8)
     assert known.find(np.array([1, language_model.END], np.uint64))[2].tolist() == [6, 0]
