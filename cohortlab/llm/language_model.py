@@ -120,13 +120,13 @@ class LogBilinear:
 
     def log_p(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """Natural logarithm of each symbol's probability in its context."""
-        out = np.empty(len(w))
-        for a in range(0, len(w), 1 << 15):
-            x, u, v = (i[a : a + (1 << 15)] for i in (w, w1, w2))
-            out[a : a + len(x)] = np.einsum("ij,ij->i", self.r[u] * self.c1 + self.r[v] * self.c2, self.q[x]) + self.b[x] - norm[u, v]
+        out, one, two = np.empty(len(w)), self.r * self.c1, self.r * self.c2
+        for a in range(0, len(w), 1 << 14):
+            x, u, v = (i[a : a + (1 << 14)] for i in (w, w1, w2))
+            out[a : a + len(x)] = np.einsum("ij,ij->i", one[u] + two[v], self.q[x]) + self.b[x] - norm[u, v]
         return out
 
-    def train(self, ids: np.ndarray, rows: np.ndarray, noise: np.ndarray, squares: LogBilinear, rng: np.random.Generator, rate: float = 0.1, batch: int = 1024, k: int = 256) -> None:
+    def train(self, ids: np.ndarray, rows: np.ndarray, noise: np.ndarray, squares: LogBilinear, rng: np.random.Generator, rate: float = 0.1, batch: int = 1024, k: int = 128) -> None:
         """One pass of AdaGrad on the noise-contrastive loss over rows of tokens; k noise tokens are shared by a batch."""
         w1, w2 = contexts(ids, rows, self.size_end)
         cumulative, log_kq = np.cumsum(noise), np.log(k * noise).astype(np.float32)
@@ -135,11 +135,10 @@ class LogBilinear:
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(k)), len(noise) - 1)
             ru, rv, qw, qn = self.r[u], self.r[v], self.q[w], self.q[drawn]
             h = ru * self.c1 + rv * self.c2
-            sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            up = 1 - sigmoid((h * qw).sum(1) + self.b[w] - log_kq[w])
-            down = sigmoid(h @ qn.T + self.b[drawn] - log_kq[drawn])
+            up = 1 - _sigmoid(np.einsum("ij,ij->i", h, qw) + (self.b[w] - log_kq[w]))
+            down = _sigmoid(h @ qn.T + (self.b[drawn] - log_kq[drawn]))
             gh = up[:, None] * qw - down @ qn
-            self._step("q", squares, [w, drawn], [up[:, None] * h, -down.T @ h], rate)
+            self._step("q", squares, [w, drawn], [up[:, None] * h, -(down.T @ h)], rate)
             self._step("r", squares, [u, v], [gh * self.c1, gh * self.c2], rate)
             self._step("b", squares, [w, drawn], [up, -down.sum(0)], rate)
             for name, g in (("c1", (gh * ru).sum(0)), ("c2", (gh * rv).sum(0))):
@@ -157,7 +156,16 @@ class LogBilinear:
             n, d = value.shape
             total = np.bincount((at[:, None] * d + np.arange(d)).ravel(), g.ravel(), n * d).reshape(n, d).astype(np.float32)
         square += total**2
-        value += rate * total / np.sqrt(square)
+        total *= rate
+        value += np.divide(total, np.sqrt(square), out=total)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place, of float32."""
+    np.negative(np.clip(x, -30, 30, out=x), out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def contexts(ids: np.ndarray, rows: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
