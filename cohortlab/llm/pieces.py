@@ -45,7 +45,7 @@ class _Growing:
 class Pieces:
     """Vocabulary with log-probabilities, and the lattices of the units seen. Merge-rank scores of BPE models give a rank law: log p falls with log(rank + 10).
 
-    A lattice has a node before each byte of its unit and one at its end; edges leave the nodes before characters, ordered by falling share. A character without a piece of its own
+    A lattice has a node before each byte of its unit and one at its end; edges leave the nodes before characters, the longest first. A character without a piece of its own
     has an edge that stands for its bytes (number `size` + bytes).
     """
 
@@ -117,71 +117,82 @@ class Pieces:
         starts = np.flatnonzero(cut)
         return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
-    def _edges(self, u: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, piece, log-probability) of all edges of the units u[off[i] : off[i + 1]], by walking the trie from all characters at once."""
+    def _edges(self, u: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(from, to, piece, log-probability) of the edges of the units u[off[i] : off[i + 1]], by walking the trie from all characters at once: longest first, each part in order of `from`."""
         stop = np.repeat(off[1:], np.diff(off))
         begin = np.flatnonzero(u & 0xC0 != 0x80)
-        wide = np.zeros(len(u), np.int64)
-        wide[begin] = np.minimum(np.append(begin[1:], len(u)), stop[begin]) - begin
-        at, node, depth, found = begin, np.zeros(len(begin), np.int64), 0, []
+        wide = np.minimum(np.append(begin[1:], len(u)), stop[begin]) - begin
+        at, limit, node, depth, found = begin, stop[begin], np.zeros(len(begin), self.trie.dtype), 0, []
+        own = np.zeros(len(u), bool)
+        wide_at = np.zeros(len(u), np.int64)
+        wide_at[begin] = wide
         while len(at):
-            node = self.trie[node, u[at + depth]].astype(np.int64)
+            node = self.trie[node, u[at + depth]]
             depth += 1
-            on = node > 0
-            at, node = at[on], node[on]
-            piece = self.ends[node]
-            hit = piece >= 0
-            found.append((at[hit], at[hit] + depth, piece[hit]))
-            on = at + depth < stop[at]
-            at, node = at[on], node[on]
-        start, to, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        own = np.zeros(len(u), bool)
-        own[start[to - start == wide[start]]] = True
+            piece = self.ends[node]  # -1 for the root, too
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                start, ids = at[hit], piece[hit]
+                found.append((start, start + depth, ids, self.log_p[ids]))
+                own[start[wide_at[start] == depth]] = True
+            on = np.flatnonzero((node > 0) & (at + depth < limit))
+            at, limit, node = at[on], limit[on], node[on]
         bare = begin[~own[begin]]  # no piece for the character: its bytes
-        lp = np.concatenate((self.log_p[piece.astype(np.int64)], self.byte_log * wide[bare]))
-        return np.concatenate((start, bare)), np.concatenate((to, bare + wide[bare])), np.concatenate((piece, self.size + wide[bare])), lp
+        return [*reversed(found), (bare, bare + wide_at[bare], (self.size + wide_at[bare]).astype(np.int32), self.byte_log * wide_at[bare])]
 
     def _add(self, u: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Build the lattices of units; the first node of each."""
-        m = len(off) - 1
+        """Build the lattices of units; the first node of each. All sums run within a node, in one order, so a unit's lattice doesn't depend on the others."""
+        m, nodes = len(off) - 1, len(u) + len(off) - 1
         unit = np.repeat(np.arange(m), np.diff(off))
-        start, to, piece, lp = self._edges(u, off)
-        own = unit[start]
-        a, b, nodes = start + own, to + own, len(u) + m
-        far = off[1:][own] - start  # bytes to the unit's end
-        order = np.lexsort((a, far))
-        a, b, to, piece, lp, own, far = (x[order] for x in (a, b, to, piece, lp, own, far))
-        back = np.zeros(nodes)  # log-mass of all ways from a node to the end, the nodes nearest to it first
-        bounds = np.append(np.flatnonzero(np.diff(far, prepend=-1)), len(far))
-        heads = np.flatnonzero(np.diff(a, prepend=-1))
-        for i, j, x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), *(np.searchsorted(heads, z).tolist() for z in (bounds[:-1], bounds[1:]))):
-            value, head = lp[i:j] + back[b[i:j]], heads[x:y] - i
-            if y - x == j - i:
-                back[a[i:j]] = value
+        parts = self._edges(u, off)
+        degree = np.zeros(nodes, np.int64)
+        for start, *_ in parts:
+            degree[start + unit[start]] += 1
+        first = np.cumsum(degree) - degree
+        total, fill = int(degree.sum()), first.copy()
+        to, piece, lp, end = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total), np.empty(total, np.int64)
+        for start, stop, ids, log_p in parts:
+            own = unit[start]
+            node = start + own
+            e = fill[node]
+            fill[node] += 1
+            to[e], piece[e], lp[e], end[e] = stop - off[own], ids, log_p, stop + own
+        # log-mass of all ways from a node to the end, the nodes nearest to it first
+        held = np.flatnonzero(degree)
+        far = off[1:][unit[held - np.searchsorted(off[1:] + np.arange(m), held, "right")]] - (held - np.searchsorted(off[1:] + np.arange(m), held, "right"))
+        order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
+        near = held[order]
+        bounds = np.append(np.flatnonzero(np.diff(far[order], prepend=-1)), len(near))
+        back = np.zeros(nodes)
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            node = near[i:j]
+            n = degree[node]
+            if n.max() == 1:
+                e = first[node]
+                back[node] = lp[e] + back[end[e]]
                 continue
+            e = _ranges(first[node], n)
+            value, head = lp[e] + back[end[e]], np.cumsum(n) - n
             top = np.maximum.reduceat(value, head)
-            back[a[heads[x:y]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(head, j - i)))), head))
-        share = lp + back[b] - back[a]
-        order = np.lexsort((-share, a))
-        a, to, piece, share, own = a[order], to[order], piece[order], share[order], own[order]
-        degree = np.bincount(a, minlength=nodes)
-        first = np.cumsum(degree) - degree
-        p, upto, rest = np.exp(share), np.zeros(len(a)), np.zeros(len(a))
-        before, after = np.zeros(nodes), np.zeros(nodes)
-        for d in range(int(degree.max(initial=0))):
-            at = np.flatnonzero(degree > d)
+            back[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
+        share = lp + back[end] - np.repeat(back, degree)
+        p = np.exp(share)
+        upto, at, sums, d = np.empty(total), held, np.zeros(len(held)), 0
+        while len(at):
             e = first[at] + d
-            rest[e] += before[at]
-            before[at] += p[e]
-            upto[e] = before[at]
-            e = first[at] + degree[at] - 1 - d
-            rest[e] += after[at]
-            after[at] += p[e]
-        held = np.flatnonzero(degree)
-        upto[first[held] + degree[held] - 1] = 1.0
+            sums = sums + p[e]
+            upto[e] = sums
+            d += 1
+            on = np.flatnonzero(degree[at] > d)
+            upto[np.delete(e, on)] = 1.0  # the last edge of a node
+            at, sums = at[on], sums[on]
+        # what the other edges of a node have: exactly where one edge has nearly all
+        rest, large = 1.0 - p, p > 0.5
+        others = np.add.reduceat(np.where(large, 0.0, p), first[held]) if total else np.empty(0)
+        rest = np.where(large, np.repeat(others, degree[held]), rest)
         node, edge = self.first.n, self.to.n
         self.first.add(first + edge), self.degree.add(degree)
-        self.to.add(to - off[:-1][own]), self.piece.add(piece), self.share.add(share), self.upto.add(upto)
+        self.to.add(to), self.piece.add(piece), self.share.add(share), self.upto.add(upto)
         with np.errstate(divide="ignore"):
             self.rest.add(np.log(rest))
         return node + off[:-1] + np.arange(m)
@@ -227,7 +238,7 @@ class Pieces:
 
 def _below(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Gumbel variables of log-mass `mass`, below `bound`."""
-    return mass - np.logaddexp(mass - bound, np.log(-np.log(u)))
+    return mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) - np.log(u))
 
 
 def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -283,7 +294,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
                 edge[later] += 1
                 later = later[upto[edge[later]] < u[later]]
             drawn.append((which, p, edge))
-            count[which] += 1
+            count[which] = len(drawn)
             p = to[edge].astype(np.int64)
             on = p < size[w]
             which, w, p = which[on], w[on], p[on]
@@ -295,17 +306,19 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
             out_w[at], out_p[at], out_e[at] = unit[which], p, edge
         return count, out_w, out_p, out_e
 
-    def open_values(path: _Path, fresh: np.ndarray | slice, seed: np.ndarray, value: np.ndarray) -> None:
-        """Values of the nodes beside the fresh steps."""
+    def open_values(path: _Path, fresh: np.ndarray | None, seed: np.ndarray, value: np.ndarray) -> None:
+        """Values of the nodes beside the fresh steps (all, if None)."""
         path.lp = share[path.edge]
         run = np.concatenate(([0.0], np.cumsum(path.lp)))
         path.before = run[:-1] - np.repeat(run[path.start[:-1]], np.diff(path.start))
         path.worth = np.full(len(path.edge), -np.inf)
-        at = np.flatnonzero(fresh)
-        at = at[degree[base[path.unit[at]] + path.place[at]] > 1]
+        at = np.arange(len(path.edge)) if fresh is None else fresh
+        other = rest[path.edge[at]]
+        some = np.flatnonzero(other > -np.inf)  # nodes with more than one edge
+        at, other = at[some], other[some]
         w = path.unit[at]
-        u = uniform(seed[row_of[w]], in_row[w] + path.place[at], 2)
-        path.worth[at] = _below(path.before[at] + rest[path.edge[at]], u, value[row_of[w]])
+        row = row_of[w]
+        path.worth[at] = _below(path.before[at] + other, uniform(seed[row], in_row[w] + path.place[at], 2), value[row])
 
     def result(path: _Path, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, n = piece[path.edge].astype(np.int64), np.diff(path.start)
@@ -331,7 +344,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
     steps = np.bincount(row_of, count, n_rows).astype(np.int64)
     full = np.flatnonzero(steps)
     path = _Path(full, steps[full], w, p, e)
-    open_values(path, np.ones(len(e), bool), seeds(0), value)
+    open_values(path, None, seeds(0), value)
     out = []
     for turn in range(k):
         paths.append(path)
@@ -397,9 +410,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         all_w[dest], all_p[dest], all_e[dest] = w, p, e
         path = _Path(go, n, all_w, all_p, all_e)
         path.split, path.mask = here, taken
-        fresh = np.zeros(len(all_e), bool)
-        fresh[dest] = True
-        open_values(path, fresh, seed, value)
+        open_values(path, dest, seed, value)
         more = left > 0
         path.worth[here[more]] = _below(mass[more] + np.log(left[more]), uniform(seed[go[more]], (in_row[at_w] + at_p)[more], 2), value[go[more]])
     none = np.empty(0, np.int64)
