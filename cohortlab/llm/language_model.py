@@ -84,6 +84,28 @@ class Known:
         return here, np.where(here, self.counts[at], 0), np.where(here, self.ids[at], np.where(w == END, 0, tail_symbol(w, self.tail, self.size)))
 
 
+    def frequent(self) -> Symbols:
+        own = np.flatnonzero(self.ids < self.tail)
+        return Symbols(self.keys[own], self.ids[own], self.tail, self.size)
+
+
+@dataclass
+class Symbols:
+    """The frequent tokens and the end alone, which is all that a token's symbol needs: hashes in ascending order, and symbols."""
+
+    keys: np.ndarray
+    ids: np.ndarray
+    tail: int
+    size: int
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        out = np.where(w == END, 0, tail_symbol(w, self.tail, self.size))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, w), len(self.keys) - 1)
+            out = np.where(self.keys[at] == w, self.ids[at], out)
+        return out
+
+
 @dataclass
 class LogBilinear:
     r: np.ndarray
@@ -126,7 +148,7 @@ class LogBilinear:
             out[a : a + len(x)] = np.einsum("ij,ij->i", one[u] + two[v], self.q[x]) + self.b[x] - norm[u, v]
         return out
 
-    def train(self, ids: np.ndarray, rows: np.ndarray, noise: np.ndarray, squares: LogBilinear, rng: np.random.Generator, rate: float = 0.1, batch: int = 1024, k: int = 128) -> None:
+    def train(self, ids: np.ndarray, rows: np.ndarray, noise: np.ndarray, squares: LogBilinear, rng: np.random.Generator, rate: float = 0.1, batch: int = 2048, k: int = 128) -> None:
         """One pass of AdaGrad on the noise-contrastive loss over rows of tokens; k noise tokens are shared by a batch."""
         w1, w2 = contexts(ids, rows, self.size_end)
         cumulative, log_kq = np.cumsum(noise), np.log(k * noise).astype(np.float32)
@@ -235,7 +257,7 @@ def _mean(blocks: DataFrame, groups: int = 64) -> np.ndarray:
     return np.concatenate([np.array(r["x"]) / r["n"] for r in sorted(got, key=lambda r: r["block"])]) if got else np.empty(0)
 
 
-def train_model(df: DataFrame, known: Known, mass: np.ndarray, dim: int = 16, rounds: int = 3, rate: float = 0.1, text_col: str = "text") -> LogBilinear:
+def train_model(df: DataFrame, known: Known, mass: np.ndarray, dim: int = 16, rounds: int = 2, rate: float = 0.1, text_col: str = "text") -> LogBilinear:
     """Fit on all of df in synchronised rounds: every task trains over its own texts from the common parameters, which Spark then averages by tokens seen; the rate halves.
 
     More text means more steps a task or more tasks, in every round. The parameters depend on how df is cut into tasks, in the way of local SGD; the scores' base does not.
@@ -245,7 +267,7 @@ def train_model(df: DataFrame, known: Known, mass: np.ndarray, dim: int = 16, ro
     model = LogBilinear.start(noise, dim)
     context = df.sparkSession.sparkContext
     for turn in range(rounds):
-        sent = context.broadcast((known, model.flat(), noise))
+        sent = context.broadcast((known.frequent(), model.flat(), noise))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             table, flat, p = sent.value
@@ -257,7 +279,7 @@ def train_model(df: DataFrame, known: Known, mass: np.ndarray, dim: int = 16, ro
                     rng = np.random.default_rng([turn, task])
                 for _, _, data, offsets in parts(column(batch, text_col)):
                     w, rows = tokens(data, offsets)
-                    own.train(table.find(w)[2], rows, p, squares, rng, rate * 0.5**turn)
+                    own.train(table.of(w), rows, p, squares, rng, rate * 0.5**turn)
                     seen += len(w)
             if seen:
                 x = own.flat().astype(np.float64) * seen
@@ -275,7 +297,7 @@ def train_model(df: DataFrame, known: Known, mass: np.ndarray, dim: int = 16, ro
 _norms: dict[str, np.ndarray] = {}
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_symbols: int = 4096, dim: int = 16, most_known: int = 1 << 19, rounds: int = 3) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_symbols: int = 4096, dim: int = 16, most_known: int = 1 << 19, rounds: int = 2) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
 
     Counts and training cover all rows with crc32(id) mod 5 other than 1 (a null id counts as an empty text there). Null texts count as empty: one end

@@ -107,6 +107,7 @@ def test_lm_shares_of_symbols_sum_to_one(spark):
     for most in (1 << 19, 100, 1):
         known = language_model._known(counts, most, 64)
         mass, (here, found, ids) = language_model.symbol_masses(counts, known), known.find(w)
+        assert (known.frequent().of(w) == ids).all()
         assert len(known.keys) <= most and ids[-1] == 0 and (found[here] == c[here]).all() and (ids < 64).all()
         share = np.where(ids >= known.tail, (c + 0.5) / mass[ids], 1.0)
         total = np.bincount(ids, share, known.size)
