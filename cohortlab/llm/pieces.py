@@ -12,7 +12,7 @@ unit, for all new units of a batch together, and all rows of a batch are searche
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ class Pieces:
     has an edge that stands for its bytes (number `size` + bytes).
     """
 
-    def __init__(self, path: str, most_units: int = 200_000, most_edges: int = 4_000_000):
+    def __init__(self, path: str, most_units: int = 400_000, most_edges: int = 8_000_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -102,9 +102,11 @@ class Pieces:
     def clear(self) -> None:
         self.keys, self.base, self.text_at, self.text_n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.text = _Growing(np.uint8)
+        self.mask = np.uint64((1 << int(np.ceil(np.log2(4 * self.most_units)))) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
         self.first, self.degree = _Growing(np.int32), _Growing(np.uint8)  # by node: its first edge and how many there are
         self.to, self.piece = _Growing(np.int32), _Growing(np.int32)  # by edge: the byte of the unit it leads to, its piece
-        self.share, self.upto, self.rest = (_Growing(np.float64) for _ in range(3))  # logarithm of its share, sum of the shares up to it, logarithm of the others' sum
+        self.share, self.upto, self.rest = _Growing(np.float64), _Growing(np.float32), _Growing(np.float32)  # logarithm of its share, sum of the shares up to it, logarithm of the others' sum
 
     def normalize(self, texts: list[str]) -> pa.Array:
         return pa.array([self.sp.normalize(x) if x else "" for x in texts], pa.large_string())
@@ -197,27 +199,47 @@ class Pieces:
             self.rest.add(np.log(rest))
         return node + off[:-1] + np.arange(m)
 
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        """Number of the unit with each hash, or -1: the slots from that of its low bits on are looked at, up to a free one."""
+        out, todo, step = np.full(len(h), -1), np.arange(len(h)), 0
+        while len(todo):
+            unit = self.slots[(h[todo] + np.uint64(step)) & self.mask]
+            hit = unit >= 0
+            todo, unit = todo[hit], unit[hit]
+            right = self.keys[unit] == h[todo]
+            out[todo[right]] = unit[right]
+            todo, step = todo[~right], step + 1
+        return out
+
+    def _enter(self, h: np.ndarray, unit: np.ndarray) -> None:
+        """Give new units the first free slot from that of their hash on."""
+        step = 0
+        while len(h):
+            at = (h + np.uint64(step)) & self.mask
+            free = self.slots[at] < 0
+            self.slots[at[free]] = unit[free]  # of several units for one slot the last one gets it
+            left = self.slots[at] != unit
+            h, unit, step = h[left], unit[left], step + 1
+
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """First node of the lattice of each unit. Bytes are compared at every hit; units whose hash another one holds get lattices of their own."""
         if len(self.keys) > self.most_units or self.to.n > self.most_edges:
             self.clear()
-        size = ends - starts
-        keys, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
-        if not known.all():
-            new = np.flatnonzero(~known)
-            begin, n = starts[one[new]], size[one[new]]
+        size, h = ends - starts, span_hashes(data, starts, ends)
+        which = self._slot(h)
+        if (missing := np.flatnonzero(which < 0)).size:
+            keys, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            one = missing[one]
+            begin, n = starts[one], size[one]
             u = gather(data, begin, n)
             text_at = self.text.n + np.cumsum(n) - n
             self.text.add(u)
-            into, base = place[new], self._add(u, np.concatenate(([0], np.cumsum(n))))
-            for name, x in (("keys", keys[new]), ("base", base), ("text_at", text_at), ("text_n", n)):
-                setattr(self, name, np.insert(getattr(self, name), into, x))
-            place = np.searchsorted(self.keys, keys)
-        which = place[back]
+            unit = len(self.keys) + np.arange(len(keys))
+            base = self._add(u, np.concatenate(([0], np.cumsum(n))))
+            for name, x in (("keys", keys), ("base", base), ("text_at", text_at), ("text_n", n)):
+                setattr(self, name, np.concatenate((getattr(self, name), x)))
+            self._enter(keys, unit)
+            which[missing] = unit[back]
         out, same = self.base[which], size == self.text_n[which]
         same[same] = same_bytes(data, starts[same], self.text.all, self.text_at[which[same]], size[same])
         if not same.all():
@@ -247,19 +269,59 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+#: No Gumbel variable of a 53-bit uniform number is above its location by more than this.
+MOST_ABOVE = 38.0
+
+
 class _Path:
-    """One sample of some rows: the steps (unit, place in it, edge) of all of them, row after row, and the values of the nodes left open beside them."""
+    """One sample of some rows: the steps (unit, place in it, edge) of all of them, row after row, and the values of the nodes left open beside them.
+
+    The mass beside a step falls along the path, so only values of the steps within `WINDOW` of the first are computed; `floor` is what the others can't exceed.
+    """
 
-    def __init__(self, rows: np.ndarray, n: np.ndarray, unit: np.ndarray, place: np.ndarray, edge: np.ndarray):
+    WINDOW = 60.0
+
+    def __init__(self, rows: np.ndarray, n: np.ndarray, unit: np.ndarray, place: np.ndarray, edge: np.ndarray, lp: np.ndarray):
         self.rows, self.start = rows, np.concatenate(([0], np.cumsum(n)))
         self.unit, self.place, self.edge = unit, place, edge
-        self.split, self.mask = np.full(len(rows), -1), np.zeros(len(rows), np.int64)  # the step that left another path, and the edges taken there
-
-    def best(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each row its largest open value, and the step it stands at."""
-        top = np.maximum.reduceat(self.worth, self.start[:-1])
-        at = np.flatnonzero(self.worth == np.repeat(top, np.diff(self.start)))
-        return top, at[np.searchsorted(at, self.start[:-1])]
+        self.run = np.concatenate(([0.0], np.cumsum(lp)))  # never rises
+        self.total = np.add.reduceat(lp, self.start[:-1]) if len(n) else np.empty(0)
+        self.split, self.mask, self.split_value = np.full(len(rows), -1), np.zeros(len(rows), np.int64), np.full(len(rows), -np.inf)  # the step that left another path, the edges taken there, the others' value
+        self.fresh, self.window = self.start[:-1], np.full(len(rows), self.WINDOW)
+        self.taken: list[np.ndarray] = []  # steps whose open nodes were taken
+
+    def mass(self, at: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Log-probability of the steps before `at`, in the row at place `where`."""
+        return self.run[at] - self.run[self.start[where]]
+
+    def open(self, value: Callable[[_Path, np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Compute the open values within each row's window."""
+        end = self.start[1:]
+        stop = np.minimum(end, np.maximum(self.fresh, np.searchsorted(-self.run, self.window - self.run[self.fresh], "right")))
+        self.floor = np.where(stop < end, self.run[stop] - self.run[self.start[:-1]] + MOST_ABOVE, -np.inf)
+        n = stop - self.fresh
+        at, where = _ranges(self.fresh, n), np.repeat(np.arange(len(n)), n)
+        worth = value(self, at, where)
+        first = np.flatnonzero(self.split >= 0)
+        at, where, worth = np.concatenate((self.split[first], at)), np.concatenate((first, where)), np.concatenate((self.split_value[first], worth))
+        some = np.flatnonzero(worth > -np.inf)
+        some = some[np.argsort(at[some], kind="stable")]
+        self.at, self.where, self.worth = at[some], where[some], worth[some]
+        for x in self.taken:
+            self.worth[np.searchsorted(self.at, x[np.isin(x, self.at)])] = -np.inf
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows (places) with open nodes, the largest value of each, and the step it stands at."""
+        heads = np.flatnonzero(np.diff(self.where, prepend=-1))
+        if not len(heads):
+            return heads, np.empty(0), heads
+        top = np.maximum.reduceat(self.worth, heads)
+        equal = np.flatnonzero(self.worth == np.repeat(top, np.diff(np.append(heads, len(self.where)))))
+        return self.where[heads], top, self.at[equal[np.searchsorted(equal, heads)]]
+
+    def take(self, at: np.ndarray) -> None:
+        self.taken.append(at)
+        self.worth[np.searchsorted(self.at, at)] = -np.inf
 
 
 def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -277,51 +339,76 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
     def seeds(turn: int) -> np.ndarray:
         return mix(keys ^ np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
 
-    def uniform(seed: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
-        h = mix(seed + (place.astype(np.uint64) * np.uint64(4) + np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    PLACE, SALT = np.uint64(4 * 0xC2B2AE3D27D4EB4F % (1 << 64)), 0xC2B2AE3D27D4EB4F
+    row_place = in_row.astype(np.uint64) * PLACE
+
+    def salted(seed: np.ndarray, salt: int) -> np.ndarray:
+        """The start of the hashes of each unit's places, by the seeds of the rows."""
+        out = seed.take(row_of)
+        out += row_place
+        out += np.uint64(salt * SALT % (1 << 64))
+        return out
+
+    def uniform(start: np.ndarray, unit: np.ndarray, place: np.ndarray) -> np.ndarray:
+        h = place.astype(np.uint64)
+        h *= PLACE
+        h += start.take(unit)
+        t = np.empty_like(h)
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            np.right_shift(h, np.uint64(33), out=t)
+            h ^= t
+            h *= np.uint64(factor)
+        np.right_shift(h, np.uint64(33), out=t)
+        h ^= t
+        h >>= np.uint64(11)
+        out = h.astype(np.float64)
+        out += 0.5
+        out *= 2.0**-53
+        return out
 
     def walk(unit: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Draw edges from each place to the end of its unit: (steps of each, unit, place, edge), in order."""
-        count, drawn = np.zeros(len(unit), np.int64), []
-        which = np.flatnonzero(place < size[unit])
+        count, drawn, start = np.zeros(len(unit), np.int64), [], salted(seed, 1)
+        which = np.flatnonzero(place < size.take(unit))
         w, p = unit[which], place[which]
         while len(w):
-            edge = first[base[w] + p].astype(np.int64)
-            u = uniform(seed[row_of[w]], in_row[w] + p, 1)
-            later = np.flatnonzero(upto[edge] < u)
+            edge = first.take(base.take(w) + p).astype(np.int64)
+            u = uniform(start, w, p)
+            later = np.flatnonzero(upto.take(edge) < u)
             while len(later):
                 edge[later] += 1
-                later = later[upto[edge[later]] < u[later]]
-            drawn.append((which, p, edge))
+                later = later[upto.take(edge[later]) < u[later]]
+            drawn.append((which, edge))
             count[which] = len(drawn)
-            p = to[edge].astype(np.int64)
-            on = p < size[w]
-            which, w, p = which[on], w[on], p[on]
+            p = to.take(edge).astype(np.int64)
+            on = np.flatnonzero(p < size.take(w))
+            which, w, p = which.take(on), w.take(on), p.take(on)
         off = np.cumsum(count) - count
-        total = int(count.sum())
-        out_w, out_p, out_e = (np.empty(total, np.int64) for _ in range(3))
-        for j, (which, p, edge) in enumerate(drawn):
-            at = off[which] + j
-            out_w[at], out_p[at], out_e[at] = unit[which], p, edge
-        return count, out_w, out_p, out_e
-
-    def open_values(path: _Path, fresh: np.ndarray | None, seed: np.ndarray, value: np.ndarray) -> None:
-        """Values of the nodes beside the fresh steps (all, if None)."""
-        path.lp = share[path.edge]
-        run = np.concatenate(([0.0], np.cumsum(path.lp)))
-        path.before = run[:-1] - np.repeat(run[path.start[:-1]], np.diff(path.start))
-        path.worth = np.full(len(path.edge), -np.inf)
-        at = np.arange(len(path.edge)) if fresh is None else fresh
-        other = rest[path.edge[at]]
-        some = np.flatnonzero(other > -np.inf)  # nodes with more than one edge
-        at, other = at[some], other[some]
-        w = path.unit[at]
-        row = row_of[w]
-        path.worth[at] = _below(path.before[at] + other, uniform(seed[row], in_row[w] + path.place[at], 2), value[row])
+        out_e = np.empty(int(count.sum()), np.int64)
+        for j, (which, edge) in enumerate(drawn):
+            out_e[off.take(which) + j] = edge
+        out_p = np.empty(len(out_e), np.int64)
+        out_p[1:] = to.take(out_e[:-1])
+        some = np.flatnonzero(count)
+        out_p[off[some]] = place[some]
+        return count, np.repeat(unit, count), out_p, out_e
+
+    def values(seed: np.ndarray, value: np.ndarray) -> Callable[[_Path, np.ndarray, np.ndarray], np.ndarray]:
+        """Of the nodes beside steps, below the values of the path's rows."""
+        start = salted(seed, 2)
+
+        def of(path: _Path, at: np.ndarray, where: np.ndarray) -> np.ndarray:
+            other = rest[path.edge[at]].astype(np.float64)
+            out, some = np.full(len(at), -np.inf), np.flatnonzero(other > -np.inf)  # nodes with more than one edge
+            at, where = at[some], where[some]
+            row = path.rows[where]
+            out[some] = _below(path.mass(at, where) + other[some], uniform(start, path.unit[at], path.place[at]), value[row])
+            return out
+
+        return of
 
     def result(path: _Path, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ids, n = piece[path.edge].astype(np.int64), np.diff(path.start)
+        ids, n = piece.take(path.edge).astype(np.int64), np.diff(path.start)
         off = path.start
         if (many := ids >= model.size).any():  # bytes in place of a piece
             each = np.where(many, ids - model.size, 1)
@@ -329,8 +416,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
             wide, off = np.repeat(many, each), np.concatenate(([0], np.cumsum(each)))[path.start]
             ids = np.repeat(ids, each)
             ids[wide] = model.byte_ids[raw]
-        total = np.add.reduceat(path.lp, path.start[:-1]) if len(n) else np.empty(0)
-        rows, out_off, out_p = path.rows, off, total
+        total, rows, out_off, out_p = path.total, path.rows, off, path.total
         if len(paths) == 1 and (bare := np.flatnonzero(np.diff(first_unit) == 0)).size:  # texts without bytes
             rows = np.arange(n_rows)
             length, lp = np.zeros(n_rows, np.int64), np.zeros(n_rows)
@@ -338,25 +424,34 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
             out_off, out_p = np.concatenate(([0], np.cumsum(length))), lp
         return rows, ids.astype(np.int32), out_off, out_p, value[rows]
 
-    value = -np.log(-np.log(uniform(seeds(0), np.zeros(n_rows, np.int64), 3)))  # of the whole lattice, whose log-mass is 0
+    own = mix(seeds(0) + np.uint64(3))
+    value = -np.log(-np.log(((own >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53))  # of the whole lattice, whose log-mass is 0
     paths: list[_Path] = []
     count, w, p, e = walk(np.arange(len(base)), np.zeros(len(base), np.int64), seeds(0))
     steps = np.bincount(row_of, count, n_rows).astype(np.int64)
     full = np.flatnonzero(steps)
-    path = _Path(full, steps[full], w, p, e)
-    open_values(path, None, seeds(0), value)
+    path = _Path(full, steps[full], w, p, e, share.take(e))
+    path.values = values(seeds(0), value)
+    path.open(path.values)
     out = []
     for turn in range(k):
         paths.append(path)
         out.append(result(path, value))
         # the open node of the largest value, over all paths of a row
-        best, best_path, best_at = np.full(n_rows, -np.inf), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
-        for s, own in enumerate(paths):
-            if len(own.rows):
-                top, at = own.best()
-                better = top > best[own.rows]
-                r = own.rows[better]
-                best[r], best_path[r], best_at[r] = top[better], s, at[better]
+        while True:
+            best, best_path, best_at, floor = np.full(n_rows, -np.inf), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.full(n_rows, -np.inf)
+            for s, own in enumerate(paths):
+                where, top, at = own.best()
+                r = own.rows[where]
+                better = top > best[r]
+                best[r[better]], best_path[r[better]], best_at[r[better]] = top[better], s, at[better]
+                floor[own.rows] = np.maximum(floor[own.rows], own.floor)
+            if not (short := floor >= best)[floor > -np.inf].any():
+                break
+            for own in paths:  # a value that was not computed could be larger
+                if (more := short[own.rows] & (own.floor > -np.inf)).any():
+                    own.window[more] = np.inf
+                    own.open(own.values)
         value, go = best, np.flatnonzero(np.isfinite(best))
         if turn == k - 1 or not len(go):
             break
@@ -367,8 +462,8 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
             if not mine.any():
                 continue
             at, where = best_at[go[mine]], np.searchsorted(own.rows, go[mine])
-            own.worth[at] = -np.inf
-            at_w[mine], at_p[mine], mass[mine], kept[mine] = own.unit[at], own.place[at], own.before[at], at - own.start[where]
+            own.take(np.sort(at))
+            at_w[mine], at_p[mine], mass[mine], kept[mine] = own.unit[at], own.place[at], own.mass(at, where), at - own.start[where]
             taken[mine] = np.where(own.split[where] == at, own.mask[where], np.left_shift(np.int64(1), own.edge[at] - first[base[own.unit[at]] + own.place[at]]))
         node, seed = base[at_w] + at_p, seeds(turn + 1)
         deg, begin = degree[node].astype(np.int64), first[node].astype(np.int64)
@@ -376,7 +471,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         for d in range(int(deg.max())):
             ok = (d < deg) & (taken >> d & 1 == 0)
             free[ok] += np.exp(share[begin[ok] + d])
-        u, done = uniform(seed[go], in_row[at_w] + at_p, 0) * free, np.zeros(len(go))
+        u, done = uniform(salted(seed, 0), at_w, at_p) * free, np.zeros(len(go))
         for d in range(int(deg.max())):  # an edge other than those taken, by its share
             ok = (d < deg) & (taken >> d & 1 == 0)
             take = ok & ((edge < 0) | (done < u))
@@ -408,11 +503,12 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         all_w[here], all_p[here], all_e[here] = at_w, at_p, edge
         dest = _ranges(here + 1, fresh_n)
         all_w[dest], all_p[dest], all_e[dest] = w, p, e
-        path = _Path(go, n, all_w, all_p, all_e)
-        path.split, path.mask = here, taken
-        open_values(path, dest, seed, value)
+        path = _Path(go, n, all_w, all_p, all_e, share.take(all_e))
+        path.split, path.mask, path.fresh = here, taken, here + 1
         more = left > 0
-        path.worth[here[more]] = _below(mass[more] + np.log(left[more]), uniform(seed[go[more]], (in_row[at_w] + at_p)[more], 2), value[go[more]])
+        path.split_value[more] = _below(mass[more] + np.log(left[more]), uniform(salted(seed, 2), at_w[more], at_p[more]), value[go[more]])
+        path.values = values(seed, value)
+        path.open(path.values)
     none = np.empty(0, np.int64)
     out.append((np.arange(n_rows), none, none, none, value))
     return out

@@ -217,6 +217,16 @@ def test_few_segmentations_run_out(model):
     assert np.isneginf(bound).all()
 
 
+@pytest.mark.parametrize("window", [0.0, 3.0, 1e9])
+def test_windows_do_not_matter(model, monkeypatch, window):
+    """Values of far steps are computed where they could count, so every window draws alike."""
+    texts, keys = ["▁the▁cat▁sat▁on▁the▁mat" * 30, "▁ab", "12▁x", "▁the▁1▁2"], pieces.mix(np.arange(4, dtype=np.uint64))
+    want, bound = draw(model, texts, keys, 12)
+    monkeypatch.setattr(pieces._Path, "WINDOW", window)
+    got, other = draw(model, texts, keys, 12)
+    assert got == want and np.array_equal(bound, other)
+
+
 def test_units_of_one_hash(model, monkeypatch):
     want, _ = draw(model, ["▁the▁cat▁sat", "▁on▁the▁mat"], np.array([8, 9], np.uint64), 3)
     monkeypatch.setattr(pieces, "span_hashes", lambda data, starts, ends: ((ends - starts) % 2).astype(np.uint64))
