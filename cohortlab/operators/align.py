@@ -5,10 +5,12 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import entropy, first_max, minus, norm2
+from .distance import Types, combined_squared, pair_distances, scaled
 from .panel import consecutive_pairs
 
 
@@ -33,13 +35,30 @@ def profile_costs(prof: DataFrame, group: list[str], period: str, columns: list[
     return now.join(then, [*group, period]).select(*group, period, "a", "b", cost.alias("cost"))
 
 
+def medoid_costs(medoids: DataFrame, group: list[str], period: str, cluster: str, types: Types, weights: list[float], constants: DataFrame) -> DataFrame:
+    """(group, period, a, b, cost): weighted squared distance of each cluster's medoid at `period` to each one's at the next period. constants: one row."""
+    then = medoids.withColumn(period, F.col(period) - 1)
+    d = scaled(pair_distances(medoids, then, [*group, period], cluster, types, ordered=False), constants)
+    return d.select(*group, period, F.col("i").alias("a"), F.col("j").alias("b"), combined_squared(weights).alias("cost"))
+
+
 def optimal_assignment(costs: DataFrame, group: list[str], k: int, digits: int = 9) -> DataFrame:
     """(group, a, b): the permutation of least total cost, the first in lexicographic order on ties (totals rounded to `digits`).
 
-    All k! permutations (k up to 7) are a small table joined with the costs; k above that needs `hungarian`.
+    For k up to 6 all k! permutations are a small table joined with the costs; for more the Hungarian method runs in one task a group, on its k * k costs (any optimum on ties).
     """
-    if k > 7:
-        raise ValueError("use hungarian() for more than 7 clusters")
+    if k > 6:
+
+        def match(table: pa.Table) -> pa.Table:
+            cost = np.full((k, k), np.nan)
+            cost[table.column("a").to_numpy() - 1, table.column("b").to_numpy() - 1] = table.column("cost").to_numpy()
+            if np.isnan(cost).any():  # a cluster is missing
+                return pa.Table.from_arrays([*[table.column(c).slice(0, 0) for c in group], pa.array([], pa.int32()), pa.array([], pa.int32())], [*group, "a", "b"])
+            n = pa.array(np.zeros(k, np.int64))
+            return pa.Table.from_arrays([*[table.column(c).take(n) for c in group], pa.array(np.arange(1, k + 1), pa.int32()), pa.array(np.array(hungarian(cost)) + 1, pa.int32())], [*group, "a", "b"])
+
+        kinds = dict(costs.dtypes)
+        return costs.select(*group, "a", "b", "cost").groupBy(*group).applyInArrow(match, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", a int, b int")
     spark = costs.sparkSession
     table = [(number, a + 1, b + 1) for number, p in enumerate(permutations(range(k))) for a, b in enumerate(p)]
     perms = spark.createDataFrame(table, "perm int, a int, b int")
@@ -80,18 +99,34 @@ def hungarian(cost: np.ndarray) -> list[int]:
 def propagate_labels(steps: DataFrame, group: list[str], period: str, first: int, last: int, k: int) -> DataFrame:
     """(group, period, cluster, label): labels of the first period carried on by the assignments (a -> b from a period to the next).
 
-    Where a group lacks an assignment, labels start anew. One narrow join for each period; there are as many as periods.
+    Where a group lacks an assignment, labels start anew. One row a group holds its assignments, k numbers a period, and the labels are composed along them in one expression.
     """
-    cells = steps.select(*group).distinct()
-    label = cells.withColumn("cluster", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("label", F.col("cluster")).withColumn(period, F.lit(first))
-    out = label
-    for t in range(first, last):
-        map_ = steps.where(F.col(period) == t).select(*group, F.col("a").alias("cluster"), "b")
-        fresh = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("own", F.col("b"))
-        carried = label.join(map_, [*group, "cluster"]).select(*group, "b", "label")
-        label = fresh.join(carried, [*group, "b"], "left").select(*group, F.col("b").alias("cluster"), F.coalesce("label", "own").alias("label"), F.lit(t + 1).alias(period))
-        out = out.unionByName(label)
-    return out
+    order = F.sort_array(F.collect_list(F.struct("b", "a")))  # k entries a period
+    maps = steps.groupBy(*group, period).agg(F.transform(order, lambda x: x["a"].cast("int")).alias("__from"))  # by cluster of the next period: the one it comes from
+    held = maps.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(period).cast("int"), "__from"))).alias("__maps"))
+    fresh = F.sequence(F.lit(1), F.lit(k))
+
+    def step(acc: Column, t: Column) -> Column:
+        now = F.element_at(acc, -1)
+        came = F.try_element_at(F.col("__maps"), t)
+        then = F.when(came.isNull(), fresh).otherwise(F.transform(came, lambda a: F.element_at(now, a)))
+        return F.array_append(acc, then)
+
+    every = F.aggregate(F.sequence(F.lit(first), F.lit(last - 1)), F.array(fresh), step) if last > first else F.array(fresh)
+    rows = held.select(*group, F.posexplode(every).alias("__at", "__labels")).select(*group, (F.col("__at") + first).cast(steps.schema[period].dataType).alias(period), F.posexplode("__labels").alias("__c", "label"))
+    return rows.select(*group, period, (F.col("__c") + 1).alias("cluster"), "label")
+
+
+def identity_matches(costs: DataFrame, group: list[str], k: int) -> DataFrame:
+    """(group, consistent): is the optimal match of labels at a period with those at the next the identity?"""
+    return optimal_assignment(costs, group, k).groupBy(*group).agg(F.min((F.col("a") == F.col("b")).cast("int")).cast("boolean").alias("consistent"))
+
+
+def medoid_agreement(medoids: DataFrame, group: list[str], label: str, attribute: str) -> DataFrame:
+    """(group, agreement): mean over labels of the share of periods in which a label's medoid has its modal attribute."""
+    counted = medoids.groupBy(*group, label, attribute).agg(F.count(F.lit(1)).alias("n"))
+    modal = counted.groupBy(*group, label).agg((F.max("n") / F.sum("n")).alias("share"))
+    return modal.groupBy(*group).agg(F.avg("share").alias("agreement")) if group else modal.agg(F.avg("share").alias("agreement"))
 
 
 def match_ambiguity(costs: DataFrame, chosen: DataFrame, group: list[str], limit: float = 1.10) -> DataFrame:
@@ -113,11 +148,11 @@ def relabel(members: DataFrame, labels: DataFrame, cell: list[str], u: str, k: i
     return out.withColumn("hard", first_max(F.col(u)))
 
 
-def transitions(members: DataFrame, entity: str, period: str, u: str, k: int) -> DataFrame:
-    """One row for each consecutive pair: membership changes, their norm over the k clusters, the cluster that moved most, entropies, hard labels."""
+def transitions(members: DataFrame, entity: str | list[str], period: str, u: str, k: int | None = None) -> DataFrame:
+    """One row for each consecutive pair: membership changes, their norm over the k clusters (all but the last membership, if None), the cluster that moved most, entropies, hard labels."""
     pairs = consecutive_pairs(members, entity, period, [u, "hard"])
     delta = minus(F.col(f"{u}_t1"), F.col(f"{u}_t"))
-    own = F.slice(delta, 1, k)
+    own = F.slice(delta, F.lit(1), F.size(delta) - 1 if k is None else F.lit(k))
     h0, h1 = entropy(F.col(f"{u}_t")), entropy(F.col(f"{u}_t1"))
     return pairs.withColumns({"delta": delta, "transition_norm": norm2(own), "dominant": first_max(F.transform(own, F.abs)), "entropy_t": h0, "entropy_t1": h1, "delta_entropy": h1 - h0})
 
@@ -154,5 +189,13 @@ def anchor(prof: DataFrame, fixed: DataFrame, group: list[str], columns: list[st
     return optimal_assignment(costs, group, k)
 
 
+def anchor_by(prof: DataFrame, fixed: DataFrame, group: list[str], cell: list[str], columns: list[str], k: int) -> DataFrame:
+    """(group, a, b): assignment of each group's clusters to those of the fixed solution of its own cell."""
+    other = fixed.select(*cell, F.col("cluster").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    cost = sum([F.abs(F.col(c) - F.col(f"b_{c}")) for c in columns], F.lit(0.0))
+    costs = prof.join(other, cell).select(*group, F.col("cluster").alias("a"), "b", cost.alias("cost"))  # k rows a cell
+    return optimal_assignment(costs, group, k)
+
+
 def array_columns(u: Column, k: int, prefix: str) -> list[Column]:
     return [F.element_at(u, j + 1).alias(f"{prefix}{j + 1}") for j in range(k)]

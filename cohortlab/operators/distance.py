@@ -79,8 +79,10 @@ def jaccard_matrix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return np.where(united > 0, 1 - shared / np.where(united > 0, united, 1), 0.0)
 
 
-def cell_matrices(x: dict[str, np.ndarray], types: Types, constants: tuple[float, float, float]) -> list[np.ndarray]:
-    """The three scaled distance matrices of one cell."""
+def cell_matrices(x: dict[str, np.ndarray], types: Types, constants: tuple[float, float, float], at: np.ndarray | None = None) -> list[np.ndarray]:
+    """The three scaled distance matrices of one cell: from all rows, or those `at` some places, to all."""
     block = lambda cols: np.stack([x[c] for c in cols], 1).astype(float)
-    raw = [l1_matrix(block(types.performance)), l1_matrix(block(types.rates)), jaccard_matrix(block(types.labels))]
+    some = lambda b: b if at is None else b[at]
+    blocks = [block(c) for c in (types.performance, types.rates, types.labels)]
+    raw = [l1_matrix(some(blocks[0]), blocks[0]), l1_matrix(some(blocks[1]), blocks[1]), jaccard_matrix(some(blocks[2]), blocks[2])]
     return [m / c if c else m for m, c in zip(raw, constants)]

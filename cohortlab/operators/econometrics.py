@@ -6,9 +6,11 @@ the cross products well conditioned.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +68,16 @@ class Regression:
         """Two-sided normal p-values."""
         return [normal_two_sided(b / s) if s > 0 else float("nan") for b, s in zip(self.coef, self.se)]
 
-    def wald(self, block: list[str], f_form: bool = True) -> float:
-        """p-value that the block's coefficients are all 0: the F law with groups - 1 denominator degrees, or chi-squared."""
+    def wald_statistic(self, block: list[str]) -> tuple[float, int, int]:
+        """(F statistic, its degrees of freedom, those of the denominator) of a block."""
         at = [self.names.index(c) for c in block]
         b, v = self.coef[at], self.cov[np.ix_(at, at)]
-        stat = float(b @ np.linalg.pinv(v) @ b)
-        return f_tail(stat / len(at), len(at), self.groups - 1) if f_form else chi2_tail(stat, len(at))
+        return float(b @ np.linalg.pinv(v) @ b) / len(at), len(at), self.groups - 1
+
+    def wald(self, block: list[str], f_form: bool = True) -> float:
+        """p-value that the block's coefficients are all 0: the F law with groups - 1 denominator degrees, or chi-squared."""
+        f, df, den = self.wald_statistic(block)
+        return f_tail(f, df, den) if f_form else chi2_tail(f * df, df)
 
 
 def ols_clustered(df: DataFrame, y: str, x: list[str], cluster: str, constant: bool = True, extra_df: int = 0) -> Regression:
@@ -122,14 +128,14 @@ def fold_of(entity: Column, rep: Column | int, folds: int, seed: int = 0) -> Col
     return F.pmod(F.xxhash64(entity.cast("string"), r, F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def grouped_cv(df: DataFrame, y: str, models: dict[str, list[str]], entity: str, reps: int = 30, folds: int = 5, seed: int = 0) -> dict[str, list[float]]:
+def grouped_cv(df: DataFrame, y: str, models: dict[str, list[str]], entity: str, reps: int = 30, folds: int = 5, seed: int = 0, fold: Callable[[Column, Column, int], Column] | None = None) -> dict[str, list[float]]:
     """Out-of-sample R2 of each model in each repetition, all models on the same folds; the total sum of squares is about the training mean.
 
-    One pass gives the cross products of each (repetition, fold); a training set's are the total less its fold's. reps * folds rows reach the driver.
+    fold: of (entity, repetition, folds), by default a hash. One pass gives the cross products of each (repetition, fold); a training set's are the total less its fold's. reps * folds rows reach the driver.
     """
     columns = list(dict.fromkeys([c for x in models.values() for c in x]))
     data, _ = centred(df.select(entity, *dict.fromkeys([y, *columns])).na.drop(), list(dict.fromkeys([y, *columns])))
-    spread = data.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("fold", fold_of(F.col(entity), F.col("rep"), folds, seed))
+    spread = data.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("fold", fold_of(F.col(entity), F.col("rep"), folds, seed) if fold is None else fold(F.col(entity), F.col("rep"), folds))
     names = ["one", *columns, y]
     parts: dict[int, dict[int, tuple]] = {}
     for row in gram(spread.withColumn("one", F.lit(1.0)), names, ["rep", "fold"]).collect():
@@ -232,3 +238,236 @@ def reference_cluster(df: DataFrame, columns: list[str]) -> str:
     """The membership column of the largest mean, the first on ties. One row reaches the driver."""
     row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     return max(columns, key=lambda c: (row[c], -columns.index(c)))
+
+
+# -- many regressions at once --------------------------------------------------------------------------------------------------------
+
+
+def _arrays(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """A column of ones, and the columns."""
+    at = {n: i for i, n in enumerate(batch.schema.names)}
+    return np.column_stack([np.ones(len(batch)), *[batch.column(at[c]).to_numpy(zero_copy_only=False).astype(float) for c in columns]])
+
+
+def _row(schema: pa.Schema, values: list, g: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array([v], f.type) for v, f in zip(values, schema)], pa.array([g], pa.list_(pa.float64()))], schema=schema)
+
+
+def add_up(parts: DataFrame, keys: list[str], groups: int = 64) -> DataFrame:
+    """(keys, task, g): arrays g of the tasks' sums added up by key, first within groups of tasks."""
+    schema = parts.select(*keys, "task", "g").schema
+
+    def add(table: pa.Table) -> pa.Table:
+        g = table.column("g").combine_chunks()
+        total = g.flatten().to_numpy().reshape(len(g), -1).sum(0)
+        return pa.Table.from_arrays([*[table.column(k).slice(0, 1) for k in (*keys, "task")], pa.array([total], pa.list_(pa.float64()))], [*keys, "task", "g"])
+
+    once = parts.select(*keys, F.pmod("task", F.lit(groups)).alias("task"), "g").groupBy(*keys, "task").applyInArrow(add, schema)
+    return once.groupBy(*keys).applyInArrow(add, schema)
+
+
+def fold_grams(df: DataFrame, key: str, columns: list[str], entity: str, reps: int, folds: int, seed: int = 0) -> DataFrame:
+    """(key, rep, fold, g): cross products of the constant and the columns in each fold of each repetition, added up in every task first. reps: at least 1; no fold splits an entity."""
+    fold = F.array(*[fold_of(F.col(entity), r, folds, seed) for r in range(reps)])
+    data = df.select(F.col(key).cast("string").alias("key"), *columns, fold.alias("__folds"), F.spark_partition_id().alias("__task"))
+    schema = pa.schema([("key", pa.string()), ("rep", pa.int32()), ("fold", pa.int32()), ("task", pa.int32()), ("g", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        task = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, at = _arrays(batch, columns), {n: i for i, n in enumerate(batch.schema.names)}
+            task = batch.column(at["__task"])[0].as_py()
+            code = batch.column(at["key"]).dictionary_encode()
+            own, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            dealt = batch.column(at["__folds"]).flatten().to_numpy().reshape(len(batch), reps)
+            for r in range(reps):
+                place = own.astype(np.int64) * folds + dealt[:, r]
+                order = np.argsort(place, kind="stable")
+                bounds = np.flatnonzero(np.diff(place[order], prepend=-1))
+                for i, j in zip(bounds, np.append(bounds[1:], len(order))):
+                    rows = x[order[i:j]]
+                    k, f = divmod(int(place[order[i]]), folds)
+                    g = rows.T @ rows
+                    sums[names[k], r, f] = sums[names[k], r, f] + g if (names[k], r, f) in sums else g
+        for (k, r, f), g in sums.items():
+            yield _row(schema, [k, r, f, task], g.ravel())
+
+    return add_up(data.mapInArrow(run, "key string, rep int, fold int, task int, g array<double>"), ["key", "rep", "fold"]).drop("task")
+
+
+def from_gram(g: np.ndarray, at: list[int]) -> dict:
+    """OLS of the last column on the columns `at` (0 is the constant) from cross products: coefficients, cross products, sums of squares, R2."""
+    xx, xy = g[np.ix_(at, at)], g[at, -1]
+    beta, n = solve(xx, xy), g[0, 0]
+    sst = g[-1, -1] - g[0, -1] ** 2 / n if n else 0.0
+    sse = max(0.0, g[-1, -1] - 2 * beta @ xy + beta @ xx @ beta)
+    r2 = 1 - sse / sst if sst > 0 else float("nan")
+    return {"at": at, "beta": beta, "xx": xx, "n": float(n), "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / max(1.0, n - len(at))}
+
+
+def varying(g: np.ndarray, at: list[int], least: float = 1e-10) -> list[int]:
+    """Those columns, in order and once each, whose standard deviation is above `least`."""
+    n = g[0, 0]
+    spread = lambda i: np.sqrt(max(0.0, g[i, i] - g[0, i] ** 2 / n) / max(1.0, n - 1)) if n else 0.0
+    return [i for i in dict.fromkeys(at) if spread(i) > least]
+
+
+def out_of_sample(grams: dict[tuple[int, int], np.ndarray], models: list[list[int]]) -> list[list[float]]:
+    """Out-of-sample R2 of each model (columns with the constant) in each repetition, from the cross products of its folds."""
+    out: list[list[float]] = [[] for _ in models]
+    for rep in sorted({r for r, _ in grams}):
+        own = [g for (r, _), g in grams.items() if r == rep]
+        total, sst, sse = sum(own), 0.0, [0.0] * len(models)
+        for test in own:
+            train = total - test
+            if train[0, 0] <= 0.5:
+                continue
+            mean = train[0, -1] / train[0, 0]
+            sst += test[-1, -1] - 2 * mean * test[0, -1] + mean**2 * test[0, 0]
+            for m, at in enumerate(models):
+                b = solve(train[np.ix_(at, at)], train[at, -1])
+                sse[m] += test[-1, -1] - 2 * b @ test[at, -1] + b @ test[np.ix_(at, at)] @ b
+        for m in range(len(models)):
+            out[m].append(1 - sse[m] / sst if sst > 0 else float("nan"))
+    return out
+
+
+def cluster_meats(df: DataFrame, key: str, columns: list[str], entity: str, fits: dict[str, dict[str, tuple[list[int], np.ndarray]]]) -> dict[tuple[str, str], tuple[int, np.ndarray]]:
+    """{(key, model): (clusters, sum over entities of the outer products of their scores)}, for models {key: {model: (columns, coefficients)}}; the outcome is the last column.
+
+    Rows of an entity meet in one task by a shuffle on it, sorted by key, so a task holds the scores of one entity at a time. One row a model and group of tasks is added up further.
+    """
+    data = df.select(F.col(key).cast("string").alias("key"), F.col(entity).alias("__entity"), *columns).repartition(F.col("__entity")).sortWithinPartitions("key", "__entity")
+    data = data.withColumn("__task", F.spark_partition_id())
+    schema = pa.schema([("key", pa.string()), ("model", pa.string()), ("task", pa.int32()), ("g", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        held: tuple | None = None  # key, entity and scores of the entity that the last batch ended with
+        task = 0
+
+        def put(k: str, name: str, scores: np.ndarray) -> None:
+            g = np.append(float(len(scores)), (scores.T @ scores).ravel())
+            sums[k, name] = sums[k, name] + g if (k, name) in sums else g
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, at = _arrays(batch, columns), {n: i for i, n in enumerate(batch.schema.names)}
+            task = batch.column(at["__task"])[0].as_py()
+            code = batch.column(at["key"]).dictionary_encode()
+            own, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            who = batch.column(at["__entity"]).dictionary_encode()
+            who, people = who.indices.to_numpy(), who.dictionary.to_pylist()
+            bounds = np.flatnonzero(np.diff(own, prepend=-1))
+            for i, j in zip(bounds, np.append(bounds[1:], len(own))):
+                k, heads = names[own[i]], np.flatnonzero(np.diff(who[i:j], prepend=-1))
+                scores = {name: np.add.reduceat(x[i:j][:, c] * (x[i:j, -1] - x[i:j][:, c] @ b)[:, None], heads) for name, (c, b) in fits.get(k, {}).items()}
+                if held and (held[0], held[1]) == (k, people[who[i]]):
+                    for name in scores:
+                        scores[name][0] += held[2][name]
+                elif held:
+                    for name, v in held[2].items():
+                        put(held[0], name, v[None])
+                for name, v in scores.items():
+                    if len(v) > 1:
+                        put(k, name, v[:-1])
+                held = k, people[who[j - 1]], {name: v[-1] for name, v in scores.items()}
+        if held:
+            for name, v in held[2].items():
+                put(held[0], name, v[None])
+        for (k, name), g in sums.items():
+            yield _row(schema, [k, name, task], g)
+
+    found = add_up(data.mapInArrow(run, "key string, model string, task int, g array<double>"), ["key", "model"])
+    out = {}
+    for r in found.collect():  # one row a model
+        g = np.array(r["g"])
+        size = int(round((len(g) - 1) ** 0.5))
+        out[r["key"], r["model"]] = (int(round(g[0])), g[1:].reshape(size, size))
+    return out
+
+
+def sandwich(fit: dict, clusters: int, meat: np.ndarray) -> np.ndarray:
+    """Cluster-robust covariance with its small-sample factor G/(G-1) (n-1)/(n-k)."""
+    xx, n, k = fit["xx"], fit["n"], len(fit["at"])
+    scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
+    bread = np.linalg.pinv(xx / np.outer(scale, scale), rcond=1e-12) / np.outer(scale, scale)
+    return bread @ meat @ bread * clusters / max(1, clusters - 1) * (n - 1) / max(1.0, n - k)
+
+
+@dataclass
+class Nested:
+    """Two nested models of one key: what `added` (names of columns) adds to a baseline."""
+
+    key: str
+    model: str
+    n: int
+    entities: int
+    added: list[str]
+    adj_r2_base: float
+    adj_r2_ext: float
+    wald_p: float
+    coef: np.ndarray
+    se: np.ndarray
+    oos_base: float
+    oos_ext: float
+    share_better: float
+
+
+def nested_models(df: DataFrame, key: str, columns: list[str], y: str, entity: str, specs: Callable[[str, np.ndarray, list[str]], dict[str, tuple[list[str], list[str]]]], reps: int = 10, folds: int = 5) -> list[Nested]:
+    """All pairs of nested models of all keys, from two passes over df.
+
+    specs(key, total cross products, names of columns) gives {model: (baseline columns, added columns)}; constant columns fall away. The cross products of all folds are solved key by key
+    on the executors; the totals and the clusters' meats, one row a key or model, reach the driver. reps = 0 leaves out cross-validation.
+    """
+    names = list(dict.fromkeys(columns))
+    data, means = centred(df.select(key, entity, *names, y).na.drop(), [*names, y])
+    every = ["const", *names]
+
+    def chosen(k: str, g: np.ndarray) -> dict[str, tuple[list[int], list[int], list[str]]]:
+        shifted = g.copy()  # the means put back, for what specs wants to know
+        shift = np.array([0.0, *[means[c] for c in (*names, y)]])
+        shifted[0, 1:] += shift[1:] * g[0, 0]
+        out = {}
+        for model, (base, added) in specs(k, shifted, every).items():
+            kept = varying(g, [every.index(c) for c in (*base, *added)])
+            first = [0, *[i for i in kept if every[i] in base]]
+            more = [i for i in kept if i not in first]
+            out[model] = (first, [*first, *more], [every[i] for i in more])
+        return out
+
+    def solve_key(table: pa.Table) -> pa.Table:
+        k = table.column("key")[0].as_py()
+        size = len(every) + 1
+        grams = {(r, f): np.array(g).reshape(size, size) for r, f, g in zip(table.column("rep").to_pylist(), table.column("fold").to_pylist(), table.column("g").to_pylist())}
+        total = sum(g for (r, _), g in grams.items() if r == 0)
+        models, values = chosen(k, total), {}
+        if reps:
+            flat = [at for first, both, _ in models.values() for at in (first, both)]
+            values = dict(zip(((m, s) for m in models for s in (0, 1)), out_of_sample(grams, flat)))
+        rows = [(k, m, values.get((m, 0), [float("nan")]), values.get((m, 1), [float("nan")])) for m in models]
+        return pa.Table.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.list_(pa.float64())), pa.array([x[3] for x in rows], pa.list_(pa.float64())), pa.array([total.ravel()] * len(rows), pa.list_(pa.float64()))], ["key", "model", "base", "ext", "g"])
+
+    grams = fold_grams(data, key, [*names, y], entity, max(1, reps), folds)
+    solved = grams.groupBy("key").applyInArrow(solve_key, "key string, model string, base array<double>, ext array<double>, g array<double>").collect()
+    size, fits, facts = len(every) + 1, {}, []
+    for r in solved:
+        total = np.array(r["g"]).reshape(size, size)
+        first, both, added = chosen(r["key"], total)[r["model"]]
+        small, large = from_gram(total, first), from_gram(total, both)
+        fits.setdefault(r["key"], {})[r["model"]] = (both, large["beta"])
+        facts.append((r, small, large, added))
+    meats = cluster_meats(data, key, [*names, y], entity, fits) if fits else {}
+    out = []
+    for r, small, large, added in sorted(facts, key=lambda x: (x[0]["key"], x[0]["model"])):
+        clusters, meat = meats[r["key"], r["model"]]
+        cov, q = sandwich(large, clusters, meat), len(added)
+        b, v = large["beta"][len(large["at"]) - q :], cov[len(large["at"]) - q :, len(large["at"]) - q :]
+        p = f_tail(float(b @ np.linalg.pinv(v) @ b) / q, q, clusters - 1) if q and clusters > 1 else float("nan")
+        base, ext = np.array(r["base"]), np.array(r["ext"])
+        out.append(Nested(r["key"], r["model"], int(round(large["n"])), clusters, added, small["adj_r2"], large["adj_r2"], p, b, np.sqrt(np.maximum(np.diag(v), 0)), float(base.mean()), float(ext.mean()), float((ext > base).mean())))
+    return out

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .distance import Types, cell_matrices
 
@@ -75,54 +76,109 @@ class Fit:
         return self.u.argmax(1)
 
 
-def soft_assignment(d2: np.ndarray, noise: float, m: float) -> np.ndarray:
-    logit = -np.log(np.maximum(np.column_stack([d2, np.full(len(d2), noise)]), LEAST)) / (m - 1)
-    p = np.exp(logit - logit.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
-
-
-def seed_medoids(squares: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+class Distances:
+    """Squared scaled distances between the rows of a cell, by type: matrices up to `most_kept` rows, else computed from the columns, in blocks, as they are needed."""
+
+    def __init__(self, n: int, kept: list[np.ndarray] | None = None, rows: Callable[[np.ndarray], list[np.ndarray]] | None = None, block: int = 256):
+        self.n, self.kept, self._rows, self.block = n, kept, rows, block
+        self.types = len(kept) if kept is not None else 3
+        self._whole: tuple[bytes, np.ndarray] | None = None
+
+    @staticmethod
+    def of(x: dict[str, np.ndarray], types: Types, constants: tuple[float, float, float], most_kept: int = 1500) -> Distances:
+        n = len(next(iter(x.values())))
+        if n <= most_kept:
+            return Distances(n, [d**2 for d in cell_matrices(x, types, constants)])
+        block = max(1, (32 << 20) // (8 * n * max(len(types.performance), len(types.rates), 1)))
+        return Distances(n, None, lambda at: [d**2 for d in cell_matrices(x, types, constants, at)], block)
+
+    def columns(self, at: np.ndarray) -> list[np.ndarray]:
+        """(n, len(at)) of each type: from all rows to those."""
+        if self.kept is not None:
+            return [s[:, at] for s in self.kept]
+        parts = [self._rows(at[i : i + self.block]) for i in range(0, len(at), self.block)]
+        return [np.concatenate(x).T for x in zip(*parts)]
+
+    def cost(self, um: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Combined squared distances times um (n, c)."""
+        if self.kept is not None:
+            if self._whole is None or self._whole[0] != weights.tobytes():
+                self._whole = weights.tobytes(), sum(w * w * s for w, s in zip(weights, self.kept))
+            return self._whole[1] @ um
+        out = np.empty_like(um)
+        for i in range(0, self.n, self.block):
+            at = np.arange(i, min(i + self.block, self.n))
+            out[at] = sum(w * w * s for w, s in zip(weights, self._rows(at))) @ um
+        return out
+
+
+def _near(columns: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Combined squared distances (n, starts, k), from (n, starts * k) of each type and weights (starts, types)."""
+    starts = len(weights)
+    return sum(weights[:, t][None, :, None] ** 2 * c.reshape(len(c), starts, -1) for t, c in enumerate(columns))
+
+
+def seed_medoids(distances: Distances, weights: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
     """The first at random, each other in proportion to the squared distance to the nearest chosen; never one twice."""
-    chosen = [int(rng.integers(len(squares)))]
+    to = lambda i: sum(w * w * s[:, 0] for w, s in zip(weights, distances.columns(np.array([i]))))
+    chosen = [int(rng.integers(distances.n))]
+    least = to(chosen[0])
     while len(chosen) < k:
-        mass = squares[:, chosen].min(1)
+        mass = least.copy()
         mass[chosen] = 0.0
         if mass.sum() <= 0:  # only copies of the chosen are left
-            mass = np.ones(len(squares))
+            mass = np.ones(distances.n)
             mass[chosen] = 0.0
-        chosen.append(int(rng.choice(len(squares), p=mass / mass.sum())))
+        chosen.append(int(rng.choice(distances.n, p=mass / mass.sum())))
+        least = np.minimum(least, to(chosen[-1]))
     return chosen
 
 
-def fit_once(squares: list[np.ndarray], config: FitConfig, seed: int) -> Fit:
-    """Alternate memberships, type weights, noise distance and medoids until the list of medoids stays."""
-    k, m, n, types = config.k, config.m, len(squares[0]), len(squares)
-    rng = np.random.default_rng(seed)
-    weights = np.full(types, 1 / types) if config.weights is None else np.asarray(config.weights) / np.sum(config.weights)
-    combine = lambda: sum(w * w * s for w, s in zip(weights, squares))
-    whole = combine()
-    medoids = seed_medoids(whole, k, rng)
-    noise, rounds, converged = config.rho * whole[:, medoids].mean(), 0, False
-    while rounds < config.most_rounds and not converged:
-        rounds += 1
-        um = soft_assignment(whole[:, medoids], noise, m)[:, :k] ** m
-        if config.weights is None:
-            inverse = 1 / np.array([(um * s[:, medoids]).sum() + LEAST for s in squares])
-            weights = config.weight_floor + (1 - types * config.weight_floor) * inverse / inverse.sum()
-            whole = combine()
-        near = whole[:, medoids]
-        noise = config.rho * ((um * near).sum() / (n * k) if config.noise_rule == "weighted" else near.mean())
-        cost, new = whole @ um, []
+def _assign(near: np.ndarray, noise: np.ndarray, m: float) -> np.ndarray:
+    """Memberships (n, starts, k + 1) from squared distances (n, starts, k) and noise distances (starts)."""
+    every = np.concatenate((near, np.broadcast_to(noise[None, :, None], (*near.shape[:2], 1))), axis=2)
+    logit = -np.log(np.maximum(every, LEAST)) / (m - 1)
+    p = np.exp(logit - logit.max(2, keepdims=True))
+    return p / p.sum(2, keepdims=True)
+
+
+def fit_starts(distances: Distances, config: FitConfig, seeds: list[int]) -> list[Fit]:
+    """A fit from each seed, all side by side: alternate memberships, type weights, noise distance and medoids until the list of medoids stays."""
+    k, m, n, types, count = config.k, config.m, distances.n, distances.types, len(seeds)
+    fixed = config.weights is not None
+    weights = np.tile(np.asarray(config.weights) / np.sum(config.weights) if fixed else np.full(types, 1 / types), (count, 1))
+    medoids = np.array([seed_medoids(distances, weights[i], k, np.random.default_rng(s)) for i, s in enumerate(seeds)])
+    noise = config.rho * _near(distances.columns(medoids.ravel()), weights).mean((0, 2))
+    rounds, live = np.zeros(count, int), np.arange(count)
+    while len(live) and rounds.max() < config.most_rounds:
+        rounds[live] += 1
+        columns = distances.columns(medoids[live].ravel())
+        near = _near(columns, weights[live])
+        um = _assign(near, noise[live], m)[:, :, :k] ** m
+        if not fixed:
+            inverse = 1 / np.stack([(um * c.reshape(n, len(live), k)).sum((0, 2)) + LEAST for c in columns], 1)
+            weights[live] = config.weight_floor + (1 - types * config.weight_floor) * inverse / inverse.sum(1, keepdims=True)
+            near = _near(columns, weights[live])
+        noise[live] = config.rho * ((um * near).sum((0, 2)) / (n * k) if config.noise_rule == "weighted" else near.mean((0, 2)))
+        flat = um.reshape(n, -1)
+        cost = distances.cost(flat, weights[0]) if fixed else np.concatenate([distances.cost(um[:, i], weights[s]) for i, s in enumerate(live)], 1)
+        cost, new, which = cost.reshape(n, len(live), k), np.empty((len(live), k), int), np.arange(len(live))
         for c in range(k):  # one after the other, since a medoid serves one cluster only
-            cost[new, c] = np.inf
-            new.append(int(cost[:, c].argmin()))
-        converged, medoids = new == medoids, new
-    near = whole[:, medoids]
-    u = soft_assignment(near, noise, m)
-    inner = float((u[:, :k] ** m * near).sum())
-    between = whole[np.ix_(medoids, medoids)][~np.eye(k, dtype=bool)]
-    least = between.min() if k > 1 else 0.0
-    return Fit(u, medoids, weights, noise, rounds, converged, inner + float((u[:, k] ** m).sum() * noise), inner / (n * least) if least > 0 else float("inf"))
+            for d in range(c):
+                cost[new[:, d], which, c] = np.inf
+            new[:, c] = cost[:, :, c].argmin(0)
+        same = (new == medoids[live]).all(1)
+        medoids[live] = new
+        live = live[~same]
+    near = _near(distances.columns(medoids.ravel()), weights)
+    u = _assign(near, noise, m)
+    inner, out = (u[:, :, :k] ** m * near).sum((0, 2)), []
+    for i in range(count):
+        between = near[medoids[i], i][~np.eye(k, dtype=bool)]
+        least = between.min() if k > 1 else 0.0
+        objective = float(inner[i]) + float((u[:, i, k] ** m).sum() * noise[i])
+        out.append(Fit(u[:, i], medoids[i].tolist(), weights[i], float(noise[i]), int(rounds[i]), i not in live, objective, float(inner[i]) / (n * least) if least > 0 else float("inf")))
+    return out
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
@@ -135,10 +191,9 @@ def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 if most == expected else float((both - expected) / (most - expected))
 
 
-def fit_best(distances: list[np.ndarray], config: FitConfig) -> Fit:
+def fit_best(distances: Distances, config: FitConfig) -> Fit:
     """The start of the least objective, the first on ties, with its mean adjusted Rand index to the other starts."""
-    squares = [d**2 for d in distances]
-    runs = [fit_once(squares, config, config.seed + i) for i in range(config.starts)]
+    runs = fit_starts(distances, config, [config.seed + i for i in range(config.starts)])
     best = min(range(len(runs)), key=lambda i: runs[i].objective)
     rest = [adjusted_rand(runs[best].labels, r.labels) for i, r in enumerate(runs) if i != best]
     runs[best].stability = float(np.mean(rest)) if rest else float("nan")
@@ -150,36 +205,40 @@ def degenerate(fit: Fit) -> bool:
     return bool(fit.weights.max() > 0.8 or fit.xie_beni < 1e-6 or (fit.labels == fit.u.shape[1] - 1).mean() > 0.5)
 
 
-def fit_cells(df: DataFrame, cell: list[str], ident: str, types: Types, configs: dict[str, FitConfig], constants: tuple[float, float, float], most_rows: int = 6000) -> DataFrame:
+_FACTS = "k int, u array<double>, hard int, medoid_of int, objective double, xie_beni double, stability double, rounds int, converged boolean, degenerate boolean, weights array<double>"
+
+
+def fit_cells(df: DataFrame, cell: list[str], ident: str, types: Types, configs: dict[str, FitConfig], constants: tuple[float, float, float], most_kept: int = 1500) -> DataFrame:
     """One row for each cell, config and member: memberships, hard label, whether it is a medoid, and the facts of the fit.
 
-    A cell is one task, in which the distances are computed once for all configs; a cell of more than most_rows rows fails rather than exhaust memory.
-    Rows are ordered by `ident` first, so results don't depend on the partitioning. Cells with too few rows for K medoids give none.
+    A cell is one task, in which distances serve all configs. Up to most_kept rows they are kept as matrices; a larger cell computes them in blocks from its columns, so memory grows
+    with the cell's rows, not their square. Rows are ordered by `ident` first, so results don't depend on the partitioning. Cells with too few rows for K medoids give none.
     """
+    names = [*cell, ident, "config", *[x.split(" ")[0] for x in _FACTS.split(", ")]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError(f"a cell has {len(pdf)} rows; split it, or raise most_rows")
-        pdf = pdf.sort_values(ident).reset_index(drop=True)
-        matrices = cell_matrices({c: pdf[c].to_numpy() for c in types.columns}, types, constants)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ident)
+        n = len(table)
+        distances = Distances.of({c: table.column(c).to_numpy().astype(float) for c in types.columns}, types, constants, most_kept)
         out = []
         for name, config in configs.items():
-            if len(pdf) <= config.k:
+            if n <= config.k:
                 continue
-            fit = fit_best(matrices, config)
-            medoid_of = {x: c + 1 for c, x in enumerate(fit.medoids)}
-            part = pdf[[*cell, ident]].copy()
-            part["config"], part["u"], part["hard"] = name, list(fit.u), fit.labels + 1
-            part["medoid_of"] = [medoid_of.get(i, 0) for i in range(len(pdf))]
-            for key, value in (("objective", fit.objective), ("xie_beni", fit.xie_beni), ("stability", fit.stability), ("rounds", fit.rounds), ("converged", fit.converged), ("degenerate", degenerate(fit)), ("max_weight", float(fit.weights.max()))):
-                part[key] = value
-            out.append(part)
-        columns = [*cell, ident, "config", "u", "hard", "medoid_of", "objective", "xie_beni", "stability", "rounds", "converged", "degenerate", "max_weight"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+            fit, medoid_of = fit_best(distances, config), np.zeros(n, np.int32)
+            medoid_of[fit.medoids] = np.arange(1, config.k + 1)
+            same = lambda x, t, n=n: pa.array(np.full(n, x), t)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            facts = [
+                same(config.k, pa.int32()), lists(fit.u), pa.array(fit.labels + 1, pa.int32()), pa.array(medoid_of), same(fit.objective, pa.float64()), same(fit.xie_beni, pa.float64()), same(fit.stability, pa.float64()),
+                same(fit.rounds, pa.int32()), same(fit.converged, pa.bool_()), same(degenerate(fit), pa.bool_()), lists(np.tile(fit.weights, (n, 1))),
+            ]
+            out.append(pa.Table.from_arrays([*(table.column(c) for c in (*cell, ident)), pa.array([name] * n), *facts], names))
+        return pa.concat_tables(out) if out else empty
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*cell, ident]) + ", config string, u array<double>, hard int, medoid_of int, objective double, xie_beni double, stability double, rounds int, converged boolean, degenerate boolean, max_weight double"
-    return df.select(*cell, ident, *types.columns).groupBy(*cell).applyInPandas(run, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*cell, ident]) + ", config string, " + _FACTS
+    empty = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema).empty_table()
+    return df.select(*cell, ident, *types.columns).groupBy(*cell).applyInArrow(run, schema)
 
 
 def fit_diagnostics(members: DataFrame, cell: list[str]) -> DataFrame:

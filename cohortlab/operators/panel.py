@@ -53,7 +53,7 @@ def merge_sources(df: DataFrame, key: list[str], counts: list[str], source: str,
     the number of sources, the united label set, and the exposure-weighted mean of what is an average already."""
     main = F.min_by(F.col(source), F.struct((-F.coalesce(F.col(exposure), F.lit(0.0))).alias("a"), F.col(source).alias("b")))
     return df.groupBy(*key).agg(
-        *[F.sum(c).alias(c) for c in counts], main.alias(f"{source}_main"), F.countDistinct(source).cast("long").alias(f"n_{source}s"),
+        *[F.sum(c).alias(c) for c in counts], main.alias(f"{source}_main"), F.size(F.collect_set(source)).cast("long").alias(f"n_{source}s"),
         unite_labels(F.col(labels)).alias(labels), weighted_mean(F.col(mean), F.coalesce(F.col(exposure), F.lit(0.0))).alias(mean),
     )
 
@@ -95,11 +95,12 @@ def gap_aware_lead(df: DataFrame, entity: str, index: str, columns: list[str], s
     return df.withColumns({f"{c}{suffix}": F.when(follows, F.lead(c).over(w)) for c in columns} | {"has_next": F.coalesce(follows, F.lit(False))})
 
 
-def consecutive_pairs(df: DataFrame, entity: str, index: str, columns: list[str], left: str = "_t", right: str = "_t1") -> DataFrame:
+def consecutive_pairs(df: DataFrame, entity: str | list[str], index: str, columns: list[str], left: str = "_t", right: str = "_t1") -> DataFrame:
     """Self join of each row with the entity's row of the next index."""
-    a = df.select(F.col(entity), F.col(index), *[F.col(c).alias(c + left) for c in columns])
-    b = df.select(F.col(entity), (F.col(index) - 1).alias(index), *[F.col(c).alias(c + right) for c in columns])
-    return a.join(b, [entity, index])
+    keys = [entity] if isinstance(entity, str) else entity
+    a = df.select(*keys, F.col(index), *[F.col(c).alias(c + left) for c in columns])
+    b = df.select(*keys, (F.col(index) - 1).alias(index), *[F.col(c).alias(c + right) for c in columns])
+    return a.join(b, [*keys, index])
 
 
 def one_hot(df: DataFrame, column: str, levels: list, prefix: str) -> DataFrame:

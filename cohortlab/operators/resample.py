@@ -6,27 +6,36 @@ import hashlib
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_tail, normal_two_sided
 
 
+def number_entities(entities: DataFrame, entity: str, bucket_rows: int = 100_000) -> tuple[DataFrame, int]:
+    """(entity, __number) of distinct entities, 0 .. n - 1, and n. Numbers run within hash buckets, and the buckets' counts before; a count a bucket reaches the driver."""
+    n = entities.count()
+    buckets = max(1, -(-n // bucket_rows))
+    dealt = entities.select(F.col(entity), F.pmod(F.xxhash64(F.col(entity).cast("string")), F.lit(buckets)).cast("int").alias("__bucket"))
+    base, at = [], 0
+    for b, c in sorted(map(tuple, dealt.groupBy("__bucket").count().collect())):
+        base.append((b, at))
+        at += c
+    starts = entities.sparkSession.createDataFrame(base, "__bucket int, __base long")
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(entity))
+    return dealt.join(F.broadcast(starts), "__bucket").select(entity, (F.col("__base") + own - 1).alias("__number")), n
+
+
 def resample_entities(df: DataFrame, entity: str, replicates: range, seed: int = 0) -> DataFrame:
-    """df for each replicate with entities drawn with replacement: (replicate, copy, draw id `entity#copy`).
+    """df for each replicate with as many entities as there are, drawn with replacement: (replicate, copy, draw id `entity#copy`).
 
-    Entities draw Poisson(1) numbers of copies, each from a hash of (entity, replicate), which needs no gathering and keeps n copies on average. An entity
-    with no draw is left out. The number comes from the inverse distribution function, by its first eight steps.
+    Draw j of a replicate takes the entity whose number is a hash of (j, replicate), so draws need no gathering and every replicate has exactly as many as entities.
+    An entity with no draw is left out.
     """
-    u = (F.pmod(F.xxhash64(F.col(entity).cast("string"), F.col("replicate"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    term, total, steps = np.exp(-1.0), 0.0, []
-    for i in range(8):
-        total += term
-        steps.append(total)
-        term /= i + 1
-    entities = df.select(entity).distinct().withColumn("replicate", F.explode(F.array(*[F.lit(i) for i in replicates])))
-    drawn = entities.withColumn("__n", sum([(u > t).cast("int") for t in steps[1:]], (u > steps[0]).cast("int"))).where("__n > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    numbered, n = number_entities(df.select(entity).distinct(), entity)
+    draws = numbered.select("__number").withColumn("replicate", F.explode(F.array(*[F.lit(i) for i in replicates])))
+    taken = draws.select("replicate", F.pmod(F.xxhash64("__number", "replicate", F.lit(seed)), F.lit(max(1, n))).alias("__number")).groupBy("replicate", "__number").agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    copies = taken.join(numbered, "__number").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__number")
     return df.join(copies, entity).withColumn("draw_id", F.concat_ws("#", F.col(entity).cast("string"), "copy"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,18 +13,34 @@ from pyspark.sql import functions as F
 
 from ..sources.io import staged
 
-#: Environments kept word for word, and patterns of protected items (fixed values).
+#: Environments kept word for word, environments that hold no sentences, patterns of protected items, and terms that state how strongly something is claimed (fixed values).
 ENVIRONMENTS = ["table*", "table", "figure*", "figure", "equation*", "equation", "align*", "align", "quote"]
+NO_SENTENCES = ["table", "table*", "figure", "figure*", "equation", "equation*", "align", "align*"]
 PATTERNS = {
     "numbers": r"\d[\d,]*\.?\d*%?|\.\d+",
     "references": r"\\(?:cite|citeA|ref|eqref|label|input|includegraphics)(?:\[[^\]]*\])?\{[^}]*\}",
     "math": r"\$[^$]*\$",
-    "environments": r"\\begin\{[^}]*\}",
+    "environments": r"\\begin\{([^}]*)\}",
     "headings": r"\\(?:chapter|section|subsection|paragraph)\*?\{[^}]*\}",
     "footnotes": r"\\footnote\{[^}]*\}",
     "dashes": r"(?<!-)-{2,3}(?!-)",
     "quotes": "``|''|\"",
 }
+CLAIM_NUMBER = r"\d[\d,]*\.?\d*%?"
+TERMS = [
+    "weak", "weakly", "small", "specification-dependent", "robust", "significan", "associat", "conditional", "exploratory", "pre-specified",
+    "fragile", "absent", "largely", "mostly", "partly", "only", "at most", "at least", "no ", "not ", "never", "cannot", "may ", "might", "could",
+    "suggest", "indicat", "consistent with", "appears", "seems", "likely", "possible", "tentative", "about", "approximately", "roughly",
+    "clearly", "strongly", "substantial", "considerable", "important", "demonstrat", "prove", "show", "find", "found", "evidence",
+    "favourable", "typical", "noisy", "noise", "attenuat", "caveat", "limitation", "unreliable", "stable", "volatile", "persist",
+]
+#: White space, in a form that both Java and RE2 read: ASCII controls, and the spaces and line ends of Unicode.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once."""
+    return F.transform(F.array(x), body)[0]
 
 
 def strip_comments(text: Column) -> Column:
@@ -32,37 +48,75 @@ def strip_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<!\\)%[^\n]*", "")
 
 
-def strip_environments(text: Column, names: list[str]) -> Column:
+def strip_environments(text: Column, names: list[str] = NO_SENTENCES) -> Column:
+    """Text with a space in place of each of the environments, up to the first end of the same name."""
     body = "|".join(n.replace("*", r"\*") for n in names)
     return F.regexp_replace(text, rf"(?s)\\begin\{{({body})\}}.*?\\end\{{\1\}}", " ")
 
 
-def sentences(text: Column, shortest: int = 25) -> Column:
-    """Sentences of at least `shortest` characters, with single spaces."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= shortest)
+def clean(text: Column) -> Column:
+    """Text without comments and without environments that hold no sentences."""
+    return strip_environments(strip_comments(text))
+
+
+def single_spaces(text: Column) -> Column:
+    return F.regexp_replace(text, f"{SPACE}+", " ")
+
+
+def sentences(text: Column, shortest: int = 26) -> Column:
+    """Sentences of a cleaned text of at least `shortest` characters, with single spaces.
+
+    A sentence ends at `.`, `!` or `?` before white space that a capital A to Z, a backslash or a dollar sign follows. A null text has none (null).
+    """
+    parts = F.split(single_spaces(clean(text)), r"(?<=[.!?]) (?=[A-Z\\$])")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= shortest)
+
+
+def occurrences(low: Column, term: Column) -> Column:
+    """Number of non-overlapping occurrences of a literal in a text of lower case."""
+    return ((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("long")
+
+
+def term_counts(docs: DataFrame, ident: str, text: str, lexicon: list[str] = TERMS) -> DataFrame:
+    """(ident, term, n) of every term in the sentences of every text, whatever the case, zeros left out. The lexicon is a literal, so nothing is joined and only counts leave a row."""
+    terms = F.array(*[F.lit(t) for t in dict.fromkeys(lexicon)])
+    said = F.lower(F.array_join(sentences(F.col(text)), " "))
+    found = _let(said, lambda low: F.filter(F.transform(terms, lambda t: F.struct(t.alias("term"), occurrences(low, t).alias("n"))), lambda x: x["n"] > 0))
+    return docs.select(ident, F.explode(found).alias("x")).select(ident, "x.term", "x.n")
 
 
-def term_count(text: Column, term: Column) -> Column:
-    """Number of non-overlapping occurrences of a literal, whatever the case."""
-    low, t = F.lower(text), F.lower(term)
-    return ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("long")
+def count_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, before, after) where the counts `n` of a key differ; a missing key counts 0."""
+    a, b = before.withColumnRenamed("n", "before"), after.withColumnRenamed("n", "after")
+    return a.join(b, key, "full").na.fill(0, ["before", "after"]).where("before <> after")
 
 
-def term_counts(docs: DataFrame, ident: str, text: str, lexicon: list[str]) -> DataFrame:
-    """(ident, term, n) of every term in every text, zeros left out. The lexicon is a literal, so nothing is joined."""
-    return docs.select(ident, text, F.explode(F.array(*[F.lit(t) for t in lexicon])).alias("term")).select(ident, "term", term_count(F.col(text), F.col("term")).alias("n")).where("n > 0")
+def claim_changes(pairs: DataFrame, before: str = "before", after: str = "after", lexicon: list[str] = TERMS) -> DataFrame:
+    """The rows of `changed_sentences` to read: deleted and added sentences, and changed ones in which a term or a number appears or disappears."""
+    terms = F.array(*[F.lit(t) for t in dict.fromkeys(lexicon)])
+    counts = lambda c: _let(F.lower(c), lambda low: F.transform(terms, lambda t: occurrences(low, t)))
+    numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(CLAIM_NUMBER), F.lit(0)))
+    a, b = F.col(before), F.col(after)
+    return pairs.where(a.isNull() | b.isNull() | (counts(a) != counts(b)) | (numbers(a) != numbers(b)))
 
 
 def extract_items(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, category, item) of all protected items, repeats included; spaces within an item are single."""
-    clean = strip_comments(F.coalesce(F.col(text), F.lit("")))
-    plain = F.regexp_replace(clean, r"\\[a-zA-Z]+\*?(\[[^\]]*\])?\{[^}]*\}", " ")
-    body = "|".join(n.replace("*", r"\*") for n in ENVIRONMENTS)
-    blocks = F.concat(F.regexp_extract_all(clean, F.lit(rf"(?s)(\\begin\{{({body})\}}.*?\\end\{{\2\}})"), F.lit(1)), F.regexp_extract_all(clean, F.lit(r"(?s)(\\\[.*?\\\])"), F.lit(1)))
-    found = {"blocks": blocks} | {k: F.regexp_extract_all(plain if k == "numbers" else clean, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
-    each = F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])
-    return docs.select(ident, F.explode(each).alias("category", "items")).select(ident, "category", F.explode("items").alias("item")).withColumn("item", F.trim(F.regexp_replace("item", r"\s+", " ")))
+    """(ident, category, item) of all protected items, repeats included; spaces within an item are single. Blocks of one environment may lie within those of another."""
+    stripped = strip_comments(F.coalesce(F.col(text), F.lit("")))
+    plain = lambda t: F.regexp_replace(t, r"\\[a-zA-Z]+\*?(\[[^\]]*\])?\{[^}]*\}", " ")
+    every = lambda t, p, group=0: F.regexp_extract_all(t, F.lit(p), F.lit(group))
+
+    def found(t: Column) -> Column:
+        environments = [n.replace("*", r"\*") for n in ENVIRONMENTS]
+        none = F.array().cast("array<string>")
+        blocks = F.when(t.contains("\\begin{"), F.concat(*[every(t, rf"(?s)\\begin\{{{n}\}}.*?\\end\{{{n}\}}") for n in environments])).otherwise(none)
+        blocks = F.concat(blocks, every(t, r"(?s)\\\[.*?\\\]"))
+        parts = {"blocks": blocks} | {k: every(plain(t) if k == "numbers" else t, p, int(k == "environments")) for k, p in PATTERNS.items()}
+        named = lambda k: lambda x: F.struct(F.lit(k).alias("category"), x.alias("item"))
+        return F.concat(*[F.transform(v, named(k)) for k, v in parts.items()])
+
+    rows = docs.select(ident, F.explode(_let(stripped, found)).alias("x"))
+    return rows.select(ident, "x.category", F.trim(single_spaces(F.col("x.item"))).alias("item"))
 
 
 def multiset_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators.distance import Types
-from ..sources.io import table
+from ..sources.io import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,13 +81,14 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.add_scaled(sample(spark, sf_dir), SCALED)
+    """The sample is staged: the pooled scales and the scaled rows both read it."""
+    return P.add_scaled(staged(sample(spark, sf_dir), "sample"), SCALED)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scaled sample with the customer's nation; (nation, season) are the cells that are clustered."""
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("nation"))
-    return scaled_sample(spark, sf_dir).join(nation, "uid")
+    return staged(scaled_sample(spark, sf_dir).join(nation, "uid"), "cells")
 
 
 RAW = """raw AS (

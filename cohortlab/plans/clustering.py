@@ -5,6 +5,8 @@ Single steps are checked against SQL at the K least entities of each cell as med
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +16,9 @@ from ..functions.vectors import first_max
 from ..operators import align as A
 from ..operators import distance as D
 from ..operators import fcm
-from ..sources.io import staged
-from .base import SCALED, TYPES, K, Registry, cells, r, rounded, with_base
+from ..operators import panel as P
+from ..sources.io import staged, table
+from .base import SCALED, TYPES, K, Registry, cells, r, rounded, sample, with_base
 
 registry = Registry()
 add = registry.add
@@ -212,22 +215,41 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 # -- whole fits --------------------------------------------------------------------------------------------------------------------
 
+#: Rates as they are, and shrunk to the pooled ones.
+RATES = {"raw": TYPES, "shrunk": D.Types(TYPES.performance, ("s_sot_rate_shr", "s_g_sh_shr"), TYPES.labels)}
 
-def _constants(spark: Spark, sf: str) -> tuple[float, float, float]:
-    row = D.scaling_constants(_pairs(spark, sf)).first()
+
+def both_rates(spark: Spark, sf: str) -> DataFrame:
+    """The cells with raw and with shrunk rates, scaled."""
+    base = staged(P.shrink(P.shrink(sample(spark, sf), "sot", "shots", "sot_rate_shr"), "npg", "shots", "g_sh_shr"), "sample")
+    nation = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("nation"))
+    return staged(P.add_scaled(base, [*SCALED, "sot_rate_shr", "g_sh_shr"]).join(nation, "uid"), "cells")
+
+
+def constants_of(base: DataFrame, rates: str, rule: str = "sd") -> tuple[float, float, float]:
+    row = D.scaling_constants(D.pair_distances(base, base, CELL, "uid", RATES[rates]), rule).first()
     return row["c1"], row["c2"], row["c3"]
 
 
+def fit_configs(base: DataFrame, configs: dict[str, tuple[str, fcm.FitConfig]], rule: str = "sd") -> DataFrame:
+    """Fits of every (rates, settings) in each cell, with a column `rates`."""
+    parts = []
+    for rates in dict.fromkeys(r for r, _ in configs.values()):
+        own = {n: c for n, (r, c) in configs.items() if r == rates}
+        parts.append(fcm.fit_cells(base, CELL, "uid", RATES[rates], own, constants_of(base, rates, rule)).withColumn("rates", F.lit(rates)))
+    return staged(reduce(DataFrame.unionByName, parts), "fits")
+
+
 def fits(spark: Spark, sf: str, configs: dict[str, fcm.FitConfig]) -> DataFrame:
-    return fcm.fit_cells(cells(spark, sf), CELL, "uid", TYPES, configs, _constants(spark, sf))
+    return fit_configs(both_rates(spark, sf), {n: ("raw", c) for n, c in configs.items()})
 
 
-MAIN = fcm.FitConfig(k=K, m=M, rho=RHO, starts=3, weights=tuple(W))
+MAIN = fcm.FitConfig(k=4, m=M, rho=RHO, starts=10, weights=tuple(W))
 
 
 @add("cl13_fit")
 def _(spark: Spark, sf: str) -> DataFrame:
-    one = fcm.FitConfig(k=K, m=M, rho=RHO, starts=1, weights=tuple(W))
+    one = replace(MAIN, k=K, starts=1)
     return fits(spark, sf, {"one start": one}).select(*CELL, "uid", *A.array_columns(F.col("u"), K + 1, "u"), "hard", "medoid_of", "objective")
 
 
@@ -238,24 +260,59 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("cl19_parameter_grid")
 def _(spark: Spark, sf: str) -> DataFrame:
-    configs = {f"k{k}_m{m}": fcm.FitConfig(k=k, m=m, rho=RHO, starts=2, weights=tuple(W)) for k in (2, 3) for m in (1.2, 1.3)}
+    """All K and m of the grid, with whether a fit is degenerate in any cell."""
+    configs = {f"k{k}_m{m}": replace(MAIN, k=k, m=m) for k in (2, 3, 4, 5, 6) for m in (1.2, 1.3, 1.4, 1.5)}
     return fcm.fit_diagnostics(fits(spark, sf, configs), CELL)
 
 
+def _single_period(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """One period's rows, and their fits over rates, rho and K; distances are scaled over all periods."""
+    base = both_rates(spark, sf)
+    one, configs = staged(base.where("season = 1998"), "period"), {}
+    for rates in ("raw", "shrunk"):
+        configs |= {f"{rates}_rho{rho}_k{k}": (rates, replace(MAIN, k=k, rho=rho)) for rho in (0.5, 1.0) for k in range(2, 8)}
+    parts = [fcm.fit_cells(one, CELL, "uid", RATES[r], {n: c for n, (x, c) in configs.items() if x == r}, constants_of(base, r)) for r in ("raw", "shrunk")]
+    return one, staged(parts[0].unionByName(parts[1]), "fits")
+
+
 @add("cl21_single_period")
 def _(spark: Spark, sf: str) -> DataFrame:
-    configs = {f"rho{x}": fcm.FitConfig(k=K, m=M, rho=x, starts=2, weights=tuple(W)) for x in (0.5, 1.0)}
-    one = cells(spark, sf).where("season = 1998")
-    found = fcm.fit_cells(one, CELL, "uid", TYPES, configs, _constants(spark, sf))
+    """The five rows of most noise of each setting."""
+    _, found = _single_period(spark, sf)
     noise = found.withColumn("u_noise", F.element_at("u", -1))
     top = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("u_noise"), "nation", "uid"))
     return noise.withColumn("place", top).where("place <= 5").select("config", "place", "nation", "uid", rounded("u_noise").alias("u_noise"))
 
 
+@add("cl21_grid")
+def _(spark: Spark, sf: str) -> DataFrame:
+    return fcm.fit_diagnostics(_single_period(spark, sf)[1], CELL)
+
+
+@add("cl21_profiles")
+def _(spark: Spark, sf: str) -> DataFrame:
+    """Hard sizes and membership-weighted means of each cluster of each setting, noise (K + 1) included, for shrunk rates and K of 3 to 5."""
+    one, found = _single_period(spark, sf)
+    some = found.where("config like 'shrunk_rho1.0_k%' and k between 3 and 5").select(*CELL, "uid", "config", "u", "hard")
+    plain = ["npg_p90", "sot_p90", "tackles_p90", "sot_rate", "g_sh", "pos_F", "pos_O", "pos_P"]
+    long = some.join(one.select(*CELL, "uid", *plain), [*CELL, "uid"]).select("config", "hard", *plain, F.posexplode("u").alias("c", "w"))
+    mean = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in plain]
+    return long.groupBy("config", (F.col("c") + 1).alias("cluster")).agg(F.sum((F.col("hard") == F.col("c") + 1).cast("long")).alias("size"), *mean)
+
+
 @add("cl22_estimated_weights")
 def _(spark: Spark, sf: str) -> DataFrame:
-    configs = {f"floor{x}": fcm.FitConfig(k=K, m=M, rho=RHO, starts=1, weight_floor=x) for x in (0.0, 0.1)}
-    return fits(spark, sf, configs).select(*CELL, "config", "max_weight", "xie_beni", "degenerate").distinct()
+    """Estimated type weights of one period, by scaling rule, rates and K, with whether they degenerate."""
+    base, parts = both_rates(spark, sf), []
+    one = base.where("season = 2000")
+    for rule in ("max", "mean"):
+        for rates, types in RATES.items():
+            configs = {f"{rule}_{rates}_k{k}": replace(MAIN, k=k, rho=0.5, weights=None) for k in (3, 4, 5)}
+            parts.append(fcm.fit_cells(one, CELL, "uid", types, configs, constants_of(base, rates, rule)))
+    found = reduce(DataFrame.unionByName, parts)
+    noise = F.avg((F.col("hard") == F.col("k") + 1).cast("double"))
+    out = found.groupBy(*CELL, "config", "k").agg(F.first("weights").alias("w"), F.first("xie_beni").alias("xie_beni"), F.first("degenerate").alias("degenerate"), noise.alias("noise_share"))
+    return out.select(*CELL, "config", *[F.element_at("w", i + 1).alias(f"w_{n}") for i, n in enumerate(("performance", "rates", "position"))], "noise_share", "xie_beni", "degenerate")
 
 
 # -- alignment ---------------------------------------------------------------------------------------------------------------------
@@ -322,6 +379,14 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return _costs(spark, sf).select(*CELL, "a", "b", rounded("cost", 5).alias("cost"))
 
 
+@add("al3_medoid_costs", with_base(PAIRS, CONST, NEAR) + f"SELECT a.nation, a.season, a.rn AS a, b.rn AS b, {r(_SQ(f'({_D1})', f'({_D2})', f'({_D3})'), 5)} AS cost FROM med a JOIN med b ON a.nation = b.nation AND b.season = a.season + 1, const")
+def _(spark: Spark, sf: str) -> DataFrame:
+    c = cells(spark, sf)
+    const = D.scaling_constants(D.pair_distances(c, c, CELL, "uid", TYPES))
+    out = A.medoid_costs(_medoids(c), ["nation"], "season", "c", TYPES, W, const)
+    return out.select(*CELL, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), rounded("cost", 5).alias("cost"))
+
+
 @add("al4_assignment", with_base(*ALL) + "SELECT nation, season, a, b FROM chosen")
 def _(spark: Spark, sf: str) -> DataFrame:
     return _chosen(spark, sf)
@@ -365,6 +430,26 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return t.groupBy(*CELL).agg(F.count(F.lit(1)).alias("pairs"), rounded(F.avg((F.col("hard_t") == F.col("hard_t1")).cast("double"))).alias("persistence"))
 
 
+_ALIGNED_PROF = [
+    f"prof_al AS (SELECT nation, season, c AS cluster, {', '.join(f'SUM(w * {z}) / SUM(w) AS {z}' for z in Z)} FROM zed JOIN (SELECT nation, season, uid, unnest([1, 2, 3]) AS c, unnest([v1, v2, v3]) AS w FROM al) USING (nation, season, uid) GROUP BY nation, season, c)",
+    COST.replace("cost AS (", "cost_al AS (", 1).replace("prof a", "prof_al a").replace("prof b", "prof_al b"),
+]
+
+
+@add("al10_identity", with_base(*ALL, LABELS, ALIGNED, *_ALIGNED_PROF) + f"SELECT nation, season, arg_min(perm, (total, perm)) = 0 AS consistent FROM (SELECT nation, season, perm, ROUND(SUM(cost), 9) AS total FROM cost_al JOIN perms USING (a, b) GROUP BY nation, season, perm HAVING COUNT(*) = {K}) GROUP BY nation, season")
+def _(spark: Spark, sf: str) -> DataFrame:
+    """Is each label, after alignment, still nearest to itself at the next period under the best match of profiles?"""
+    z = A.z_scores(cells(spark, sf).select(*CELL, "uid", *FEATURES), FEATURES)
+    prof = staged(A.profiles(z.join(_aligned(spark, sf).select(*CELL, "uid", "u"), [*CELL, "uid"]), CELL, "u", K, Z), "profiles")
+    return A.identity_matches(A.profile_costs(prof, ["nation"], "season", Z), CELL, K)
+
+
+@add("al10_medoid_agreement", with_base(*ALL, LABELS) + f"SELECT nation, {r('AVG(share)')} AS agreement FROM (SELECT nation, label, MAX(n) / SUM(n) AS share FROM (SELECT m.nation, l.label, m.pos, COUNT(*) AS n FROM med m JOIN labels l ON m.nation = l.nation AND m.season = l.season AND m.rn = l.cluster GROUP BY ALL) GROUP BY nation, label) GROUP BY nation")
+def _(spark: Spark, sf: str) -> DataFrame:
+    med = _medoids(cells(spark, sf)).select(*CELL, F.col("c").alias("cluster"), "pos").join(_labels(spark, sf), [*CELL, "cluster"])
+    return A.medoid_agreement(med, ["nation"], "label", "pos").select("nation", rounded("agreement").alias("agreement"))
+
+
 @add("al11_names", with_base(*ALL, LABELS, ALIGNED, "pp AS (SELECT label, SUM(w * s_npg_p90) / SUM(w) AS f1, SUM(w * s_tackles_p90) / SUM(w) AS f2 FROM cells JOIN (SELECT nation, season, uid, unnest([1, 2, 3]) AS label, unnest([v1, v2, v3]) AS w FROM al) USING (nation, season, uid) GROUP BY label)", "n1 AS (SELECT label FROM pp ORDER BY f1 DESC, label LIMIT 1)", "n2 AS (SELECT label FROM pp WHERE label NOT IN (SELECT label FROM n1) ORDER BY f2 DESC, label LIMIT 1)") + "SELECT label, CASE WHEN label IN (SELECT label FROM n1) THEN 'scorers' WHEN label IN (SELECT label FROM n2) THEN 'tacklers' ELSE 'others' END AS name FROM pp")
 def _(spark: Spark, sf: str) -> DataFrame:
     x = cells(spark, sf).select(*CELL, "uid", "s_npg_p90", "s_tackles_p90").join(_aligned(spark, sf), [*CELL, "uid"]).withColumn("all", F.lit(1))

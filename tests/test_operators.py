@@ -1,6 +1,8 @@
 import datetime
 import difflib
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -130,23 +132,84 @@ def toy(n=60, seed=0):
     return distance.l1_matrix(x) / 12
 
 
+def whole(*matrices):
+    return fcm.Distances(len(matrices[0]), [d**2 for d in matrices])
+
+
 def test_fits():
     d = toy()
     assert np.allclose(distance.jaccard_matrix(np.array([[0, 0], [1, 0], [1, 1]])), [[0, 1, 1], [1, 0, 0.5], [1, 0.5, 0]])
-    fit = fcm.fit_best([d], fcm.FitConfig(k=3, starts=6, weights=(1.0,)))
+    fit = fcm.fit_best(whole(d), fcm.FitConfig(k=3, starts=6, weights=(1.0,)))
     assert np.allclose(fit.u.sum(1), 1) and fit.converged and len(set(fit.medoids)) == 3
     truth = np.repeat([0, 1, 2], 20)
     assert fcm.adjusted_rand(fit.labels, truth) > 0.9 and fcm.adjusted_rand(truth, truth) == 1
-    runs = [fcm.fit_once([d**2], fcm.FitConfig(k=3, weights=(1.0,)), s).objective for s in range(6)]
-    assert fit.objective == min(runs)
-    noise = [(fcm.fit_best([d], fcm.FitConfig(k=3, rho=rho, starts=6, weights=(1.0,))).u[:, 3]).sum() for rho in (0.2, 1.0)]
+    runs = [fcm.fit_starts(whole(d), fcm.FitConfig(k=3, weights=(1.0,)), [s])[0] for s in range(6)]
+    together = fcm.fit_starts(whole(d), fcm.FitConfig(k=3, weights=(1.0,)), list(range(6)))
+    assert fit.objective == pytest.approx(min(r.objective for r in runs))
+    assert all(a.medoids == b.medoids and a.rounds == b.rounds and np.allclose(a.u, b.u) and a.objective == pytest.approx(b.objective) for a, b in zip(runs, together))
+    noise = [(fcm.fit_best(whole(d), fcm.FitConfig(k=3, rho=rho, starts=6, weights=(1.0,))).u[:, 3]).sum() for rho in (0.2, 1.0)]
     assert noise[0] >= noise[1]
     same = np.zeros((6, 6))
-    assert fcm.fit_once([same], fcm.FitConfig(k=2, weights=(1.0,)), 0).xie_beni == float("inf")
-    free = fcm.fit_best([d, d], fcm.FitConfig(k=3, starts=2, weight_floor=0.2))
+    assert fcm.fit_starts(whole(same), fcm.FitConfig(k=2, weights=(1.0,)), [0])[0].xie_beni == float("inf")
+    free = fcm.fit_best(whole(d, d), fcm.FitConfig(k=3, starts=2, weight_floor=0.2))
     assert math.isclose(free.weights.sum(), 1) and free.weights.min() >= 0.2
 
 
+def brute_fit(squares, config, seed):
+    """One fit, written step by step from the definition."""
+    k, m, n = config.k, config.m, len(squares[0])
+    w = np.full(len(squares), 1 / len(squares)) if config.weights is None else np.array(config.weights) / sum(config.weights)
+    medoids = fcm.seed_medoids(fcm.Distances(n, squares), w, k, np.random.default_rng(seed))
+    d2 = lambda i, j: sum(x * x * s[i, j] for x, s in zip(w, squares))
+    delta = config.rho * np.mean([d2(i, c) for i in range(n) for c in medoids])
+
+    def law(i):
+        v = [max(x, 1e-12) ** (-1 / (m - 1)) for x in [*(d2(i, c) for c in medoids), delta]]
+        return [x / sum(v) for x in v]
+
+    for _ in range(config.most_rounds):
+        um = [[x**m for x in law(i)[:k]] for i in range(n)]
+        if config.weights is None:
+            inverse = np.array([1 / (sum(um[i][c] * s[i, medoids[c]] for i in range(n) for c in range(k)) + 1e-12) for s in squares])
+            w = inverse / inverse.sum()
+        delta = config.rho * np.mean([d2(i, c) for i in range(n) for c in medoids])
+        new = []
+        for c in range(k):
+            new.append(min((h for h in range(n) if h not in new), key=lambda h: sum(um[i][c] * d2(h, i) for i in range(n))))
+        if new == medoids:
+            break
+        medoids = new
+    return medoids, np.array([law(i) for i in range(n)])
+
+
+def test_fits_against_brute_force():
+    rng = np.random.default_rng(3)
+    for weights in ((0.6, 0.4), None):
+        config = fcm.FitConfig(k=3, m=1.4, rho=1.0, weights=weights)
+        squares = [distance.l1_matrix(rng.normal(size=(25, 2))) ** 2 / 9 for _ in range(2)]
+        for seed in range(4):
+            medoids, u = brute_fit(squares, config, seed)
+            fit = fcm.fit_starts(fcm.Distances(25, squares), config, [seed])[0]
+            assert fit.medoids == medoids and np.allclose(fit.u, u)
+
+
+def test_large_cells_are_fitted_in_blocks():
+    rng = np.random.default_rng(4)
+    types = distance.Types(("a", "b"), ("c",), ("p", "q"))
+    x = {c: rng.normal(size=400) for c in "abc"} | {c: rng.integers(0, 2, 400).astype(float) for c in "pq"}
+    for weights in ((0.4, 0.3, 0.3), None):
+        config = fcm.FitConfig(k=3, starts=3, weights=weights)
+        kept, blocks = (fcm.fit_best(fcm.Distances.of(x, types, (2.0, 1.0, 1.0), most), config) for most in (1000, 10))
+        assert kept.medoids == blocks.medoids and np.allclose(kept.u, blocks.u) and math.isclose(kept.objective, blocks.objective)
+    import tracemalloc
+
+    big = {c: rng.normal(size=20_000) for c in "abc"} | {c: rng.integers(0, 2, 20_000).astype(float) for c in "pq"}
+    tracemalloc.start()
+    fit = fcm.fit_best(fcm.Distances.of(big, types, (2.0, 1.0, 1.0)), fcm.FitConfig(k=2, starts=1, weights=(0.4, 0.3, 0.3), most_rounds=1))
+    assert len(fit.u) == 20_000 and tracemalloc.get_traced_memory()[1] < 500 << 20  # one matrix would take 3200 MB
+    tracemalloc.stop()
+
+
 def test_assignment():
     rng = np.random.default_rng(0)
     from itertools import permutations
@@ -191,6 +254,28 @@ def test_ols_against_numpy(regression):
     assert np.allclose(twin.coef[1] + twin.coef[3], beta[1])
 
 
+def test_many_regressions_at_once(spark, regression):
+    """The models of all keys, from two passes, are those of one regression after the other."""
+    g, x, y, df = regression
+    rng = np.random.default_rng(1)
+    more = df.withColumn("still", F.lit(3.0)).withColumn("d", F.col("a") * F.col("b")).repartition(5)
+    both = more.withColumn("key", F.lit("p")).unionByName(more.where("g % 3 > 0").withColumn("key", F.lit("q")))
+    specs = lambda k, total, names: {"m": (["a", "still"], ["b", "d"]), "n": (["a"], ["b"])}
+    got = {(r.key, r.model): r for r in econometrics.nested_models(both, "key", ["a", "b", "d", "still"], "y", "g", specs, reps=4)}
+    assert len(got) == 4 and rng is not None
+    for k, part in (("p", more), ("q", more.where("g % 3 > 0"))):
+        for m, base, added in (("m", ["a"], ["b", "d"]), ("n", ["a"], ["b"])):
+            one, r = econometrics.compare(part, "y", base, added, "g"), got[k, m]
+            assert (r.n, r.added) == (one["n"], added) and r.entities == (60 if k == "p" else 40)
+            assert r.adj_r2_base == pytest.approx(one["adjR2_base"]) and r.adj_r2_ext == pytest.approx(one["adjR2_ext"]) and r.wald_p == pytest.approx(one["wald_p"], rel=1e-6)
+            fit = econometrics.ols_clustered(part, "y", [*base, *added], "g")
+            at = [fit.names.index(c) for c in added]
+            assert np.allclose(r.coef, fit.coef[at]) and np.allclose(r.se, fit.se[at])
+            cv = econometrics.grouped_cv(part, "y", {"base": base, "ext": [*base, *added]}, "g", reps=4)
+            assert r.oos_base == pytest.approx(np.mean(cv["base"])) and r.oos_ext == pytest.approx(np.mean(cv["ext"]))
+    assert econometrics.nested_models(both.limit(0), "key", ["a"], "y", "g", specs) == []
+
+
 def test_cv_and_panel_models(regression):
     g, x, y, df = regression
     got = econometrics.grouped_cv(df, "y", {"mean": [], "full": ["a", "b"]}, "g", reps=3)
@@ -211,7 +296,7 @@ def test_resampling(spark):
     df = spark.range(3000).select(F.col("id").alias("e"), F.lit(1).alias("x"))
     got = resample.resample_entities(df, "e", range(2))
     n = {r["replicate"]: r["count"] for r in got.groupBy("replicate").count().collect()}
-    assert all(abs(v - 3000) < 250 for v in n.values()) and got.groupBy("replicate", "draw_id").count().where("count > 1").isEmpty()
+    assert n == {0: 3000, 1: 3000} and got.groupBy("replicate", "draw_id").count().where("count > 1").isEmpty()
     assert got.where("copy > 0").count() > 0 and len(resample.grid({"a": [1, 2], "b": [3]})) == 2
     assert resample.fingerprint({"a": 1}) != resample.fingerprint({"a": 2})
     draws = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 3.5)], "a double, b double")
@@ -233,6 +318,52 @@ def test_text_audit(spark):
     assert "changed" in kinds and len(kinds) >= 2
 
 
+def python_sentences(t):
+    """The rule of the audit in plain Python."""
+    t = re.sub(r"(?<!\\)%.*", "", t)
+    t = re.sub(r"\\begin\{(table\*?|figure\*?|equation\*?|align\*?)\}.*?\\end\{\1\}", " ", t, flags=re.S)
+    parts = re.split(r"(?<=[.!?])\s+(?=[A-Z\\$])", re.sub(r"\s+", " ", t))
+    return [p.strip() for p in parts if len(p.strip()) > 25]
+
+
+HARD_TEXTS = [
+    "A sentence of some length ends here. and this goes on in lower case! Now a new one begins, it is long. $x$ is a formula that starts one. \\cite{a} starts another one here.",
+    "Exactly twenty-five chars. Twenty-six characters long", "no end", "", "  A text \u00a0 with\u2003odd\x1cspaces.\u3000Next sentence of the odd text is here.\n\nÜber is not A to Z, so no split before it here.",
+    "Before it.\n\\begin{table}\nA row in a table that is long enough. Another row that is long.\n\\end{table}\nAfter the table there is a sentence.", "50\\% stays here as it is. % but this comment goes away. It does.\nThe next line is kept whole here.",
+    "\\begin{table}a\\begin{figure}b\\end{table} Text that comes after the first end.\\end{figure}", "\\begin{align*}x\\end{align} y \\end{align*} What is left is this sentence here.", None,
+]
+
+
+def test_sentences_follow_the_rule(spark):
+    df = spark.createDataFrame(list(enumerate(HARD_TEXTS)), "id int, text string")
+    got = {r["id"]: r["s"] for r in df.select("id", textdiff.sentences(F.col("text")).alias("s")).collect()}
+    for i, t in enumerate(HARD_TEXTS):
+        assert got[i] == (None if t is None else python_sentences(t)), repr(t)
+
+
+def test_items_of_all_categories(spark):
+    text = (
+        "\\chapter{One  two} See \\ref{a}, \\cite[p.~3]{b c} and 1,200.5\\% of .25; -- and --- but ---- not. ``Said'' \"so\" $a\n b$ \\footnote{A note.}\n"
+        "\\begin{table*}x \\begin{equation}1+1\\end{equation} y\\end{table*} \\[ z \\] \\begin{quote}q\\end{quote} % \\cite{gone}"
+    )
+    got = Counter((r["category"], r["item"]) for r in textdiff.extract_items(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), "id", "text").collect())
+    assert got == Counter({
+        ("blocks", "\\begin{table*}x \\begin{equation}1+1\\end{equation} y\\end{table*}"): 1, ("blocks", "\\begin{equation}1+1\\end{equation}"): 1, ("blocks", "\\begin{quote}q\\end{quote}"): 1, ("blocks", "\\[ z \\]"): 1,
+        ("numbers", "1,200.5"): 1, ("numbers", ".25"): 1, ("numbers", "1"): 2, ("references", "\\ref{a}"): 1, ("references", "\\cite[p.~3]{b c}"): 1, ("math", "$a b$"): 1,
+        ("environments", "table*"): 1, ("environments", "equation"): 1, ("environments", "quote"): 1, ("headings", "\\chapter{One two}"): 1, ("footnotes", "\\footnote{A note.}"): 1,
+        ("dashes", "--"): 1, ("dashes", "---"): 1, ("quotes", "``"): 1, ("quotes", "''"): 1, ("quotes", '"'): 2,
+    })
+
+
+def test_claims(spark):
+    rows = [(1, "It may be weak, and weakly so.", "It may be weak, and weakly so!", "changed"), (1, "It may be weak here.", "It is weak here.", "changed"), (1, "It took 5 days.", "It took 6 days.", "changed"), (1, "gone", None, "deleted"), (1, None, "new", "added")]
+    df = spark.createDataFrame(rows, "id int, before string, after string, kind string")
+    assert sorted(r["before"] or "" for r in textdiff.claim_changes(df).collect()) == ["", "It may be weak here.", "It took 5 days.", "gone"]
+    docs = spark.createDataFrame([(1, "This is not a weak claim; it is WEAK, no doubt about it."), (2, "short")], "id int, text string")
+    got = {(r["id"], r["term"]): r["n"] for r in textdiff.term_counts(docs, "id", "text").collect()}
+    assert got == {(1, "weak"): 2, (1, "not "): 1, (1, "no "): 1, (1, "about"): 1}
+
+
 def test_diagnostics_of_configs_of_several_k(spark):
     rng = np.random.default_rng(3)
     rows = []
