@@ -469,5 +469,5 @@ def nested_models(df: DataFrame, key: str, columns: list[str], y: str, entity: s
         b, v = large["beta"][len(large["at"]) - q :], cov[len(large["at"]) - q :, len(large["at"]) - q :]
         p = f_tail(float(b @ np.linalg.pinv(v) @ b) / q, q, clusters - 1) if q and clusters > 1 else float("nan")
         base, ext = np.array(r["base"]), np.array(r["ext"])
-        out.append(Nested(r["key"], r["model"], int(round(large["n"])), clusters, added, small["adj_r2"], large["adj_r2"], p, b, np.sqrt(np.maximum(np.diag(v), 0)), float(base.mean()), float(ext.mean()), float((ext > base).mean())))
+        out.append(Nested(r["key"], r["model"], int(round(large["n"])), clusters, added, float(small["adj_r2"]), float(large["adj_r2"]), p, b, np.sqrt(np.maximum(np.diag(v), 0)), float(base.mean()), float(ext.mean()), float((ext > base).mean())))
     return out

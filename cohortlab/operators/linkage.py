@@ -16,7 +16,9 @@ def nearest_date(events: DataFrame, targets: DataFrame, key: str, date: str, tar
     """
     gap = F.abs(F.datediff(F.col(date), F.col(target)))
     near = events.where(F.col(date).isNotNull()).join(targets, key).withColumn("gap", gap).where(F.col("gap") <= tolerance_days)
-    return keep_best(near, [key, target], [F.col("gap"), *tie])
+    rest = [c for c in near.columns if c not in (key, target)]
+    best = near.groupBy(key, target).agg(F.min_by(F.struct(*rest), F.struct("gap", *tie)).alias("__best"))
+    return best.select(key, target, "__best.*").select(*near.columns)
 
 
 def match_score(a: Column, b: Column) -> Column:

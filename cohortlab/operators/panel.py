@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def number(text: Column | str) -> Column:
     """Number in a text, null where there is none; NaN counts as null."""
@@ -68,8 +70,9 @@ def scale_table(df: DataFrame, columns: list[str], by: str | None = None) -> Dat
     """(group, variable, median, aad): mean absolute deviation about the median; where that is 0 or null the standard deviation, else 1."""
     group = F.col(by).cast("string") if by else F.lit("ALL")
     long = df.select(group.alias("group"), F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("variable", "x"))
-    med = long.groupBy("group", "variable").agg(F.median("x").alias("median"), F.stddev_samp("x").alias("__sd"))
-    dev = long.join(F.broadcast(med), ["group", "variable"]).groupBy("group", "variable", "median", "__sd").agg(F.avg(F.abs(F.col("x") - F.col("median"))).alias("aad"))
+    half = exact_quantiles(long, ["group", "variable"], "x", [0.5]).select("group", "variable", F.col("q")[0].alias("median"))
+    med = half.join(long.groupBy("group", "variable").agg(F.stddev_samp("x").alias("__sd")), ["group", "variable"])
+    dev = long.join(med, ["group", "variable"]).groupBy("group", "variable", "median", "__sd").agg(F.avg(F.abs(F.col("x") - F.col("median"))).alias("aad"))
     return dev.select("group", "variable", "median", F.coalesce(F.nullif("aad", F.lit(0.0)), F.nullif("__sd", F.lit(0.0)), F.lit(1.0)).alias("aad"))
 
 
@@ -110,7 +113,7 @@ def one_hot(df: DataFrame, column: str, levels: list, prefix: str) -> DataFrame:
 
 def clip_between(df: DataFrame, column: str, low: float, high: float, out: str) -> DataFrame:
     """Winsorise at two exact quantiles (linear interpolation)."""
-    bounds = df.agg(F.percentile(column, low).alias("__low"), F.percentile(column, high).alias("__high"))
+    bounds = exact_quantiles(df, [], column, [low, high]).select(F.col("q")[0].alias("__low"), F.col("q")[1].alias("__high"))
     return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.least(F.greatest(column, F.col("__low")), F.col("__high"))).drop("__low", "__high")
 
 
@@ -120,9 +123,11 @@ def coverage(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, n, mean, sd, min, median, max) in one pass over the rows."""
+    """(variable, n, mean, sd, min, median, max); the median is exact."""
     long = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("variable", "x"))
-    return long.groupBy("variable").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.median("x").alias("median"), F.max("x").alias("max"))
+    half = exact_quantiles(long, ["variable"], "x", [0.5]).select("variable", F.col("q")[0].alias("median"))
+    sums = long.groupBy("variable").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return sums.join(half, "variable", "left").select("variable", "n", "mean", "sd", "min", "median", "max")
 
 
 def near_constant(df: DataFrame, columns: list[str], least: float = 1e-10) -> list[str]:

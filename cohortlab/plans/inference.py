@@ -368,7 +368,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
         checks.append(A.identity_matches(A.profile_costs(prof, ["config", "nation"], "season", z), ["config", "nation", "season"], k))
     ok = reduce(DataFrame.unionByName, checks).groupBy("config").agg(F.min(F.col("consistent").cast("int")).alias("aligned_ok"))
     grid = staged(grid_rows(spark, sf, settings, reps=1).join(ok, "config", "left"), "grid")
-    out = lambda rows, name: rows.groupBy("m").agg(F.lit(name).alias("runs"), F.count(F.lit(1)).alias("n"), *[F.avg((F.col(f"{b}_p") < 0.05).cast("double")).alias(f"{b}_sig") for b in ("core", "full")], *[F.median(f"{b}_dR2").alias(f"{b}_dR2") for b in ("core", "full")])
+    out = lambda rows, name: rows.groupBy("m").agg(F.lit(name).alias("runs"), F.count(F.lit(1)).alias("n"), *[F.avg((F.col(f"{b}_p") < 0.05).cast("double")).alias(f"{b}_sig") for b in ("core", "full")], *[F.median(f"{b}_dR2").alias(f"{b}_dR2") for b in ("core", "full")])  # noqa: E731 (a row a setting)
     return out(grid, "all").unionByName(out(grid.where("aligned_ok = 1"), "consistent"))
 
 
@@ -378,10 +378,13 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return drawn.groupBy("replicate").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("draw_id").alias("draws"), F.countDistinct("uid").alias("entities"))
 
 
-def bootstrap_draws(spark: Spark, sf: str, replicates: int = 500) -> tuple[DataFrame, list[E.Nested]]:
+REPLICATES = 500
+
+
+def bootstrap_draws(spark: Spark, sf: str, replicates: int | None = None) -> tuple[DataFrame, list[E.Nested]]:
     """(draws, estimates of the sample): both stages anew in each replicate: entities are drawn, periods clustered and anchored to the original profiles, both models fitted.
 
-    draws: (replicate, baseline, one column a membership change, gain in adjusted R2). The cell of a fit is (replicate, nation, season), so replicates run side by side.
+    replicates: REPLICATES, if None. draws: (replicate, baseline, one column a membership change, gain in adjusted R2). The cell of a fit is (replicate, nation, season), so replicates run side by side.
     """
     base, cell, key = both_rates(spark, sf), ["nation", "season"], ["replicate", "nation", "season"]
     k, rates = MAIN.k, "shrunk"
@@ -394,7 +397,7 @@ def bootstrap_draws(spark: Spark, sf: str, replicates: int = 500) -> tuple[DataF
     spec = lambda _, total, names: {b: (blocks_of(total, names, k, rates)[b], blocks_of(total, names, k, rates)["du"]) for b in ("core", "full")}
     estimates = E.nested_models(moves, "config", [*_ALL_STATS, *_MOVES], "y", "uid", spec, reps=0)
     reference = int(E.reference_cluster(moves, [f"u_{j}" for j in range(1, k + 1)])[2:]) if estimates else 1
-    drawn = R.resample_entities(base.select("uid", *cell, *RATES[rates].columns), "uid", range(replicates))
+    drawn = R.resample_entities(base.select("uid", *cell, *RATES[rates].columns), "uid", range(REPLICATES if replicates is None else replicates))
     fitted = fcm.fit_cells(drawn, key, "draw_id", RATES[rates], {"main": MAIN}, constants)
     fitted = staged(fitted.select(*key, "draw_id", F.substring_index("draw_id", "#", 1).cast("long").alias("uid"), "u"), "fits")
     prof = A.profiles(fitted.join(zed, [*cell, "uid"]), key, "u", k, z)
@@ -454,17 +457,16 @@ _SAMPLES = ["all", "winsorised", "stayers", "non_zero", "exposed", "without_1997
 def _(spark: Spark, sf: str) -> DataFrame:
     """Eight samples or outcomes, both baselines; a sample of fewer than 200 pairs is left out."""
     data, du = with_changes(spark, sf)
-    limits = data.agg(F.percentile("y", 0.01).alias("a"), F.percentile("y", 0.99).alias("b")).first()
+    clipped = P.clip_between(data, "y", 0.01, 0.99, "y_clipped")
     parts = [
-        data, data.withColumn("y", F.least(F.greatest("y", F.lit(limits["a"])), F.lit(limits["b"]))), data.where("club_change = 0"), data.where("y <> 0"), data.where("minutes_t >= 60 and minutes_t1 >= 60"),
+        data, clipped.withColumn("y", F.col("y_clipped")), data.where("club_change = 0"), data.where("y <> 0"), data.where("minutes_t >= 60 and minutes_t1 >= 60"),
         data.where("season not in (1997, 1998)"), data.where("tenure <= 3"), data.where(f"u_noise <= 0.5 and element_at(u_t1, {K + 1}) <= 0.5"),
     ]
-    out = []
-    for name, part in zip(_SAMPLES, parts):
-        if part.count() < 200:
-            continue
-        tests = [E.compare(part, "y", P.near_constant(part, BLOCKS[b]), P.near_constant(part, du), "uid") for b in ("core", "full")]
-        out.append((name, tests[0]["n"], part.select("uid").distinct().count(), *[v for x in tests for v in (x["wald_p"], x["d_adjR2"])]))
+    columns = list(dict.fromkeys([*BLOCKS["full"], *du]))
+    every = reduce(DataFrame.unionByName, [part.select("uid", *columns, "y").withColumn("variation", F.lit(name)) for name, part in zip(_SAMPLES, parts)])
+    found = E.nested_models(staged(every, "variations"), "variation", columns, "y", "uid", lambda key, total, names: {b: (BLOCKS[b], du) for b in ("core", "full")}, reps=0)
+    by = {(x.key, x.model): x for x in found if x.n >= 200}
+    out = [(n, by[n, "core"].n, by[n, "core"].entities, *[v for b in ("core", "full") for v in (by[n, b].wald_p, by[n, b].adj_r2_ext - by[n, b].adj_r2_base)]) for n in _SAMPLES if (n, "core") in by]
     return spark.createDataFrame(out, "variation string, n long, entities long, core_p double, core_dR2 double, full_p double, full_dR2 double")
 
 

@@ -10,6 +10,7 @@ from ..functions.strings import BASE, MARKED, SPELLED, normalize_name, token_set
 from ..operators import contracts as C
 from ..operators import linkage as L
 from ..operators import panel as P
+from ..operators.quantiles import exact_quantiles
 from ..sources import io
 from .base import COUNTS, SCALED, Registry, panel, r, raw, rounded, sample, scaled_sample, variables, with_base
 
@@ -86,7 +87,9 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return spark.read.schema("rows long, entities long, covered double").json(path)
 
 
-@add("snk3_latex_table")
+@add("snk3_latex_table", with_base("counted AS (SELECT season, COUNT(*) AS n FROM panel GROUP BY season)", "ranked AS (SELECT *, row_number() OVER (ORDER BY season) AS rn FROM counted)") + r"""SELECT CAST(line AS INTEGER) AS line, text FROM (
+  SELECT 0 AS line, '\begin{tabular}{rr}' AS text UNION ALL SELECT 1, '\toprule' UNION ALL SELECT 2, 'season & n \\' UNION ALL SELECT 3, '\midrule' UNION ALL SELECT 3 + rn, season || ' & ' || n || ' \\' FROM ranked
+  UNION ALL SELECT 4 + COUNT(*), '\bottomrule' FROM ranked UNION ALL SELECT 5 + COUNT(*), '\end{tabular}' FROM ranked)""")
 def _(spark: Spark, sf: str) -> DataFrame:
     text = io.latex_table(panel(spark, sf).groupBy("season").agg(F.count(F.lit(1)).alias("n")).orderBy("season"))
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
@@ -447,9 +450,10 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("ag15_quartiles", with_base() + f"SELECT n_clubs, {r('quantile_cont(value, 0.25)', 4)} AS q1, {r('quantile_cont(value, 0.5)', 4)} AS q2, {r('quantile_cont(value, 0.75)', 4)} AS q3, {r('MIN(value)', 4)} AS low, {r('MAX(value)', 4)} AS high, {r('AVG((value < 100000)::INTEGER)')} AS below FROM panel GROUP BY n_clubs")
 def _(spark: Spark, sf: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = panel(spark, sf).groupBy("n_clubs").agg(q.alias("q"), rounded(F.min("value"), 4).alias("low"), rounded(F.max("value"), 4).alias("high"), rounded(F.avg((F.col("value") < 100000).cast("double"))).alias("below"))
-    return out.select("n_clubs", *[rounded(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], "low", "high", "below")
+    p = io.staged(panel(spark, sf).select("n_clubs", "value"), "panel")
+    q = exact_quantiles(p, ["n_clubs"], "value", [0.25, 0.5, 0.75])
+    out = p.groupBy("n_clubs").agg(rounded(F.min("value"), 4).alias("low"), rounded(F.max("value"), 4).alias("high"), rounded(F.avg((F.col("value") < 100000).cast("double"))).alias("below"))
+    return out.join(q, "n_clubs").select("n_clubs", *[rounded(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], "low", "high", "below")
 
 
 @add("ag16_group_summary", with_base() + f"SELECT season, COUNT(*) AS n, {r('MIN(minutes)')} AS least, {r('AVG(minutes)')} AS mean, SUM((n_clubs > 1)::INTEGER)::BIGINT AS multi FROM panel GROUP BY season")
@@ -459,8 +463,10 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("ag17_delta_distribution", with_base(PAIRS) + f"SELECT {r('AVG(d)')} AS mean, {r('stddev_samp(d)')} AS sd, {r('quantile_cont(d, 0.01)')} AS p1, {r('quantile_cont(d, 0.99)')} AS p99, {r('AVG((d = 0)::INTEGER)')} AS zero FROM (SELECT minutes_t1 - minutes_t AS d FROM pairs)")
 def _(spark: Spark, sf: str) -> DataFrame:
-    d = _pairs(spark, sf).select((F.col("minutes_t1") - F.col("minutes_t")).alias("d"))
-    return d.agg(rounded(F.avg("d")).alias("mean"), rounded(F.stddev_samp("d")).alias("sd"), rounded(F.percentile("d", 0.01)).alias("p1"), rounded(F.percentile("d", 0.99)).alias("p99"), rounded(F.avg((F.col("d") == 0).cast("double"))).alias("zero"))
+    d = io.staged(_pairs(spark, sf).select((F.col("minutes_t1") - F.col("minutes_t")).alias("d")), "changes")
+    ends = exact_quantiles(d, [], "d", [0.01, 0.99]).select(rounded(F.col("q")[0]).alias("p1"), rounded(F.col("q")[1]).alias("p99"))
+    sums = d.agg(rounded(F.avg("d")).alias("mean"), rounded(F.stddev_samp("d")).alias("sd"), rounded(F.avg((F.col("d") == 0).cast("double"))).alias("zero"))
+    return sums.crossJoin(ends)  # one row each
 
 
 @add("ag18_string_sets", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS clubs FROM orders GROUP BY o_custkey")

@@ -132,5 +132,7 @@ def histogram(df: DataFrame, x: str, width: float) -> DataFrame:
 
 def boxes(df: DataFrame, by: str, x: str) -> DataFrame:
     """Plot data of box plots: exact quartiles and extremes by group."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(q.alias("q"), F.min(x).alias("low"), F.max(x).alias("high")).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    from ..operators.quantiles import exact_quantiles
+
+    ends = df.groupBy(by).agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    return ends.join(exact_quantiles(df, [by], x, [0.25, 0.5, 0.75]), by, "left").select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")

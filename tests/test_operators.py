@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlab.functions import special, strings, vectors
-from cohortlab.operators import align, contracts, distance, econometrics, fcm, linkage, panel, resample, textdiff
+from cohortlab.operators import align, contracts, distance, econometrics, fcm, linkage, panel, quantiles, resample, textdiff
 from cohortlab.sources import io
 
 
@@ -103,6 +103,20 @@ def test_gaps_and_scale(spark):
 # -- linkage -----------------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_exact_quantiles(spark, most):
+    rng = np.random.default_rng(7)
+    parts = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0], [400, 3]), "c": 10.0 ** rng.uniform(-200, 200, 300), "d": np.array([5.0]), "e": np.concatenate([[-1e300, 1e300], rng.normal(size=99)])}
+    rows = [(k, float(v)) for k, x in parts.items() for v in x] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {r["k"]: r["q"] for r in quantiles.exact_quantiles(df, ["k"], "x", probs, most).collect()}
+    assert set(got) == set(parts) and all(np.allclose(got[k], np.quantile(x, probs), rtol=1e-12) for k, x in parts.items())
+    whole_ = quantiles.exact_quantiles(df.where("k in ('a', 'b')"), [], "x", [0.5], most).collect()
+    assert np.allclose(whole_[0]["q"], np.quantile(np.concatenate([parts["a"], parts["b"]]), [0.5]))
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], "x", [0.5], most).count() == 0
+
+
 def test_nearest_date_edges(spark):
     day = datetime.date(2001, 6, 1)
     shift = lambda n: day + datetime.timedelta(n)

@@ -2,11 +2,16 @@
 
 import pytest
 
-from cohortlab.plans import catalog
+from cohortlab.plans import catalog, inference
 
 from .oracle import connect, difference
 
-SLOW = {"ec16_two_stage_bootstrap", "ec18_specification_grid", "ec19_seed_study", "ec20_sensitivity", "ec15_pca_benchmark", "ec7_nested_models", "ec21_variations"}
+
+@pytest.fixture(autouse=True)
+def fewer_replicates(monkeypatch):
+    """The bootstrap queries run whole, but for the number of replicates."""
+    monkeypatch.setattr(inference, "REPLICATES", 12)
+
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +24,7 @@ def test_against_sql(spark, sf, con, name):
     assert difference(spark, con, catalog.QUERIES[name], catalog.ORACLE_SQL[name], sf) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_rows(spark, sf, name):
     larger = "/root/testdata/sf0.01"  # where the smallest tables hold no match
     assert catalog.QUERIES[name](spark, larger if name.startswith("jn7") else sf).count() > 0
