@@ -106,51 +106,106 @@ def range_search(v: np.ndarray, start: np.ndarray, flat: np.ndarray, medoid: int
     return every[(v[every] @ x >= threshold) & (every != q)]
 
 
-def _centroids(vectors: DataFrame, n: int, shard_rows: int, most_sample: int, most_shards: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means on a sample of at most most_sample vectors, those with the smallest hashes."""
-    k = int(min(most_shards, max(1, -(-n // shard_rows))))
-    sample = vectors.orderBy(F.xxhash64("uid"), "uid").limit(most_sample).select("uid", "vector").toArrow()
-    v = unit(_matrix(sample.column("vector"))[np.argsort(sample.column("uid").to_numpy())])
+def _cluster(v: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """Centroids of spherical k-means on unit vectors."""
     rng = np.random.default_rng(0)
     c = v[rng.choice(len(v), min(k, len(v)), replace=False)]
     for _ in range(rounds if len(c) > 1 else 0):
         own = np.argmax(v @ c.T, 1)
-        c = np.stack([m if np.abs(m := v[own == i].sum(0)).max(initial=0) > 0 else v[rng.integers(len(v))] for i in range(len(c))])
-        c = unit(c)
+        c = unit(np.stack([m if np.abs(m := v[own == i].sum(0)).max(initial=0) > 0 else v[rng.integers(len(v))] for i in range(len(c))]))
     return c
 
 
-def mark_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, overlap: int = 3, shard_rows: int = 1500, most_sample: int = 20_000, most_shards: int = 4096, block_rows: int = 3000) -> DataFrame:
+def _nearest(sims: np.ndarray, n: int) -> np.ndarray:
+    return np.argpartition(-sims, n - 1, axis=1)[:, :n]
+
+
+def _centroids(vectors: DataFrame, k: int, most_sample: int) -> np.ndarray:
+    """k centroids, from a sample of at most most_sample vectors, those with the smallest hashes."""
+    sample = vectors.orderBy(F.xxhash64("uid"), "uid").limit(most_sample).select("uid", "vector").toArrow()
+    return _cluster(unit(_matrix(sample.column("vector"))[np.argsort(sample.column("uid").to_numpy())]), k)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _deal(vectors: DataFrame, n: int, overlap: int, shard_rows: int, most_sample: int, most_centroids: int) -> DataFrame:
+    """(shard, uid, vector, copies, shards): each vector in the shards of its `overlap` nearest centroids, so that a shard has about overlap * shard_rows rows, however many vectors there are.
+
+    Up to most_centroids centroids are broadcast. For more, vectors go to the cells of their nearest coarse centroids first; each cell's own centroids come from a sample
+    of its rows, and meet the rows in groups of about 20,000; a vector keeps its nearest shards of all its cells.
+    """
+    shards = max(1, -(-n // shard_rows))
+    coarse = shards if shards <= most_centroids else min(most_centroids, int(np.ceil(np.sqrt(shards))))
+    centroids = vectors.sparkSession.sparkContext.broadcast(_centroids(vectors, coarse, most_sample))  # at most most_centroids rows
+    wide = min(overlap, len(centroids.value))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = np.sort(_nearest(unit(_matrix(column(batch, "vector"))) @ centroids.value.T, wide), axis=1).astype(np.int64)
+            which = pa.array(np.repeat(np.arange(len(batch)), wide))
+            yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), *(column(batch, k).take(which) for k in ("uid", "vector", "copies")), _lists(top).take(which)], ["shard", "uid", "vector", "copies", "shards"])
+
+    dealt = vectors.select("uid", "vector", "copies").mapInArrow(deal, "shard long, uid long, vector array<double>, copies long, shards array<long>")
+    if coarse == shards:
+        return materialize(dealt, "shards")
+    cells = materialize(dealt.select(F.col("shard").alias("cell"), "uid", "vector"), "cells")
+    sizes = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")), "cell-sizes")  # a row a cell
+    sized = cells.join(F.broadcast(sizes), "cell")
+    drawn = sized.where(F.pmod(F.xxhash64("uid", F.lit(3)), F.col("rows")) < most_sample)  # about most_sample rows a cell
+
+    def centres(table: pa.Table) -> pa.Table:
+        table = table.sort_by("uid")
+        k = max(1, -(-table.column("rows")[0].as_py() // (shard_rows * wide)))
+        c = _cluster(unit(_matrix(table.column("vector"))), k)
+        return pa.table({"cell": pa.array(np.full(len(c), table.column("cell")[0].as_py()), pa.int64()), "sub": np.arange(len(c)), "centre": _lists(c)})
+
+    own = materialize(drawn.groupBy("cell").applyInArrow(centres, "cell long, sub long, centre array<double>"), "centroids")
+    groups = F.ceil(F.col("rows") / F.lit(20_000.0)).cast("int")
+    rows = sized.select("cell", F.pmod(F.xxhash64("uid"), groups).cast("int").alias("group"), "uid", "vector")
+    spread = own.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"), "sub", "centre")
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"uid": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        sims = unit(_matrix(left.column("vector"))) @ _matrix(right.column("centre")).T
+        top = _nearest(sims, min(overlap, sims.shape[1]))
+        name = left.column("cell")[0].as_py() * (1 << 32) + right.column("sub").to_numpy()
+        return pa.table({"uid": np.repeat(left.column("uid").to_numpy(), top.shape[1]), "shard": name[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
+
+    found = rows.groupBy("cell", "group").cogroup(spread.groupBy("cell", "group")).applyInArrow(assign, "uid long, shard long, sim double")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("sim", "shard")), asc=False), 1, overlap)  # overlap * overlap entries a vector
+    chosen = found.groupBy("uid").agg(F.array_sort(F.transform(best, lambda x: x["shard"])).alias("shards"))
+    return materialize(vectors.select("uid", "vector", "copies").join(chosen, "uid").select(F.explode("shards").alias("shard"), "uid", "vector", "copies", "shards"), "shards")
+
+
+def mark_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, overlap: int = 3, shard_rows: int = 1500, most_sample: int = 20_000, most_centroids: int = 4096, block_rows: int = 3000) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of df.
 
-    Equal vectors are handled once, and count as often as they occur. Null or zero vectors, and those that hold null or non-finite components or have
-    another length than most, link with nothing. Centroids come from a sample of at most most_sample vectors; every vector is indexed and searched.
+    Equal vectors are handled once, and count as often as they occur. Null or zero vectors, and those that hold null or non-finite components, link with nothing; vectors of different
+    lengths don't link, and each length is worked off by itself. Centroids come from samples of at most most_sample vectors; every vector is indexed and searched.
     Shards of more than block_rows are worked off in pairs of blocks, so no task holds more than two blocks.
-    component_id is the least id that links lead to, null if all are; rows with that id are kept.
+    component_id is the least id that links lead to, null if all are; rows with that id are kept. An empty df gives an empty result; other columns are not read.
     """
     x = F.col(vector_col)
     fine = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists(x, lambda e: e != 0)
     rows = materialize(df.select(F.col(id_col).cast("long").alias("id"), F.when(fine, x.cast("array<double>")).alias("vector")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    sizes = rows.where("vector is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    lone = lambda part: part.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sizes:
-        return lone(rows)
-    usual = F.coalesce(F.size("vector") == sizes[0]["d"], F.lit(False)) & F.col("vector").isNotNull()
-    vectors = materialize(rows.where(usual).groupBy("vector").agg(F.min("row").alias("uid"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
-    n = vectors.count()
-    centroids = rows.sparkSession.sparkContext.broadcast(_centroids(vectors, n, shard_rows, most_sample, most_shards))  # at most most_shards rows
-    overlap = min(overlap, len(centroids.value))
+    lengths = {r["d"]: r["count"] for r in rows.where("vector is not null").groupBy(F.size("vector").alias("d")).count().collect()}  # a row a length
+    linked = [d for d, n in sorted(lengths.items()) if n > 1]
+    rest = rows.where(F.col("vector").isNull() | ~F.size("vector").isin(linked)) if linked else rows
+    out = rest.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for d in linked:
+        own = rows.where(F.col("vector").isNotNull() & (F.size("vector") == d))
+        out = out.unionByName(_mark(own, id_col, threshold, overlap, shard_rows, most_sample, most_centroids, block_rows))
+    return out
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centroids.value
-        for batch in batches:
-            sims = unit(_matrix(column(batch, "vector"))) @ c.T
-            top = np.sort(np.argpartition(-sims, overlap - 1, axis=1)[:, :overlap], axis=1).astype(np.int32)
-            which = pa.array(np.repeat(np.arange(len(batch)), overlap))
-            own = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, overlap, dtype=np.int32)), pa.array(top.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), *(column(batch, k).take(which) for k in ("uid", "vector", "copies")), own.take(which)], ["shard", "uid", "vector", "copies", "shards"])
 
-    dealt = materialize(vectors.select("uid", "vector", "copies").mapInArrow(deal, "shard int, uid long, vector array<double>, copies long, shards array<int>"), "shards")
+def _mark(rows: DataFrame, id_col: str, threshold: float, overlap: int, shard_rows: int, most_sample: int, most_centroids: int, block_rows: int) -> DataFrame:
+    """The result for vectors of one length."""
+    vectors = materialize(rows.groupBy("vector").agg(F.min("row").alias("uid"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
+    n = vectors.count()
+    dealt = _deal(vectors, n, overlap, shard_rows, most_sample, most_centroids)
     blocks = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"))  # a row a shard
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = dealt.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", other)
@@ -188,7 +243,7 @@ def mark_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "
             y = np.flatnonzero(linked[q])
             # a pair counts in the first of its common shards, and across blocks only where its two blocks meet
             common = (shards[y][:, :, None] == shards[q][None, None, :]).any(2)
-            home = np.where(common, shards[y], np.iinfo(np.int32).max).min(1) == shard if len(y) else np.zeros(0, bool)
+            home = np.where(common, shards[y], np.iinfo(np.int64).max).min(1) == shard if len(y) else np.zeros(0, bool)
             links[q] = copies[y[home & ((block[y] != block[q]) if across else True)]].sum()
             if free[q]:
                 at, free[q] = np.array([q]), False
@@ -207,22 +262,33 @@ def mark_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "
     least = whole.groupBy("class").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("__n"))
     named = sized_join(whole, materialize(least, "components"), ["class"], "__n", n)
     named = materialize(named.select("vector", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
-    usual_rows = sized_join(rows.where(usual), named, ["vector"], "copies", rows.count())
-    out = usual_rows.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return out.unionByName(lone(rows.where(~usual)))
+    out = sized_join(rows, named, ["vector"], "copies", rows.count())
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def audit_recall(df: DataFrame, marked: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, queries: int = 200) -> float:
-    """Share of the links of up to `queries` vectors (smallest hashes of the id) that `marked` has, against brute force over all rows in blocks."""
-    sample = df.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(queries).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).toArrow()
-    ids, q = sample.column("id").to_numpy(), unit(_matrix(sample.column("v")))
+def audit_recall(df: DataFrame, marked: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, queries: int = 200) -> float | None:
+    """Share of the links of up to `queries` vectors (those marked as linked first, then by hashes of the id) that `marked` has, against brute force over all rows in blocks. None without any link."""
+    x = F.col(vector_col)
+    fine = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists(x, lambda e: e != 0)
+    valid = df.where(fine).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("v"))
+    links = marked.groupBy(F.col(id_col).alias("id")).agg(F.max("n_links").alias("n_links"))
+    half = valid.join(links, "id").orderBy(F.pmod(F.xxhash64("id"), F.lit(2)) * F.least("n_links", F.lit(1)), F.xxhash64("id")).limit(queries).select("id", "v", "n_links").toArrow()
+    ids, found, by_length = half.column("id").to_numpy(), half.column("n_links").to_numpy(), {}
+    for i, v in enumerate(half.column("v").to_pylist()):
+        by_length.setdefault(len(v), []).append((i, v))
+    sent = {d: (np.array([i for i, _ in own]), unit(np.array([v for _, v in own]))) for d, own in by_length.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            near = unit(_matrix(column(batch, "v"))) @ q.T >= threshold
-            near &= column(batch, "id").to_numpy()[:, None] != ids[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(0))], ["id", "n"])
-
-    true = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    both = true.join(marked.select(F.col(id_col).alias("id"), "n_links"), "id").agg(F.sum("n").alias("n"), F.sum(F.least("n", "n_links")).alias("got")).first()
-    return 1.0 if not both["n"] else both["got"] / both["n"]
+            size, who = np.diff(column(batch, "v").offsets.to_numpy()), column(batch, "id").to_numpy(zero_copy_only=False)
+            for d, (at, q) in sent.items():
+                here = np.flatnonzero(size == d)
+                if len(here):
+                    near = unit(_matrix(column(batch, "v").take(pa.array(here)))) @ q.T >= threshold
+                    total[at] += (near & (who[here][:, None] != ids[at][None, :])).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(total)], ["i", "n"])
+
+    true = {r["i"]: r["n"] for r in valid.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()} if len(ids) else {}
+    n = np.array([true.get(i, 0) for i in range(len(ids))])
+    return float(np.minimum(n, found).sum() / n.sum()) if n.sum() else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_model, near_dedup, packing, pieces, quality, secrets, tokens, url_filter
+from . import embedding_dedup, exact_dedup, language_model, near_dedup, packing, pieces, quality, secrets, shared, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.mark_near_vectors(_table(spark, sf_dir, "embeddings"))
+    """With `audited_recall`: the share of links found of a sample of vectors, by brute force over all rows (null without links)."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    marked = shared.materialize(embedding_dedup.mark_near_vectors(vectors), "marked-vectors")
+    return marked.withColumn("audited_recall", F.lit(embedding_dedup.audit_recall(vectors, marked)).cast("double"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.llm import embedding_dedup, exact_dedup, near_dedup, shared
+from cohortlab.llm import embedding_dedup, exact_dedup, near_dedup, queries, shared
 from cohortlab.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, kept string"
@@ -191,20 +191,63 @@ def brute_links(ids, vectors):
     return near
 
 
-def test_embeddings_against_brute_force(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = df.orderBy("vec_id").collect()
-    ids = [r["vec_id"] for r in rows]
-    near = brute_links(ids, [r["embedding"] for r in rows])
-    want = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a < b])
-    got = embedding_dedup.mark_near_vectors(df, shard_rows=120)
+def planted_vectors(n=3000, d=32, seed=9):
+    """Unlike vectors, with pairs at cosines of 0.95 to 0.99, chains, a dense cluster and copies planted among them."""
+    rng = np.random.default_rng(seed)
+    v = embedding_dedup.unit(rng.normal(size=(n, d)))
+
+    def beside(x, cosine):
+        y = rng.normal(size=d)
+        y -= (y @ x) * x
+        return cosine * x + np.sqrt(1 - cosine**2) * y / np.sqrt(y @ y)
+
+    extra = [beside(v[i], c) for i, c in enumerate(rng.uniform(0.951, 0.99, 400))]
+    for start in range(500, 520):  # chains whose ends don't link
+        x = v[start]
+        for _ in range(6):
+            x = beside(x, 0.96)
+            extra.append(x)
+    extra += [beside(v[600], 0.985) for _ in range(300)]  # all of these link with most others
+    extra += [v[700]] * 50
+    both = np.concatenate((v, np.array(extra)))
+    return both[rng.permutation(len(both))]
+
+
+@pytest.mark.parametrize("settings", [{}, {"shard_rows": 120}, {"shard_rows": 120, "most_centroids": 6}, {"shard_rows": 2000, "block_rows": 250}])
+def test_embeddings_against_brute_force(spark, settings):
+    v = planted_vectors()
+    near = brute_links(None, v)
+    want = components(range(len(v)), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embedding_dedup.mark_near_vectors(df, **settings)
     by = {r["vec_id"]: r for r in got.collect()}
-    found = sum(by[i]["n_links"] for i in ids)
-    assert found >= 0.9 * near.sum() and all(by[i]["n_links"] <= n for i, n in zip(ids, near.sum(1)))
-    assert np.mean([by[i]["component_id"] == want[i] for i in ids]) >= 0.98
-    assert embedding_dedup.audit_recall(df, got) >= 0.9
-    blocks = embedding_dedup.mark_near_vectors(df, shard_rows=500, block_rows=150)
-    assert sum(r["n_links"] for r in blocks.collect()) >= 0.9 * near.sum()
+    true = near.sum(1)
+    assert len(by) == len(v) and true.sum() > 50_000
+    assert all(by[i]["n_links"] <= n for i, n in enumerate(true))
+    few = np.flatnonzero((true > 0) & (true < 20))  # the pairs and chains, which no dense cluster hides
+    assert sum(by[i]["n_links"] for i in few) >= 0.97 * true[few].sum() and sum(r["n_links"] for r in by.values()) >= 0.97 * true.sum()
+    assert np.mean([by[i]["component_id"] == want[i] for i in range(len(v))]) >= 0.98
+    assert embedding_dedup.audit_recall(df, got) >= 0.97
+
+
+def test_audit_tells_lost_links(spark):
+    v = planted_vectors(800)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    none = df.select("vec_id", F.lit(0).cast("long").alias("n_links"))
+    assert embedding_dedup.audit_recall(df, none) == 0.0
+    apart = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert embedding_dedup.audit_recall(apart, apart.select("vec_id", F.lit(0).cast("long").alias("n_links"))) is None
+
+
+def test_embedding_query(spark):
+    got = queries.op2_embedding_near_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 500 and {r["vec_id"] for r in got if r["kept"]} >= {r["component_id"] for r in got}
+
+
+def test_lengths_link_within_themselves(spark):
+    rows = [(i, [1.0, 0.01 * i]) for i in range(4)] + [(10 + i, [1.0, 0.01 * i, 0.0]) for i in range(3)] + [(20, [1.0, 0.0, 0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.mark_near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (3, 0) for i in range(4)}, **{10 + i: (2, 10) for i in range(3)}, 20: (0, 20)}
 
 
 def test_embedding_edge_cases(spark):
