@@ -96,14 +96,30 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return out
 
 
-def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Ranks:
+    """Numbers the pieces of each length that a task meets, from 0 on."""
+
+    def __init__(self, capacity: int):
+        self.seen = np.zeros(capacity + 1, np.int64)
+
+    def of(self, length: np.ndarray) -> np.ndarray:
+        count = np.bincount(length, minlength=len(self.seen))
+        place = np.empty(len(length), np.int64)
+        place[np.argsort(length, kind="stable")] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count)
+        out = place + self.seen[length]
+        self.seen += count
+        return out
+
+
+def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ranked: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32): each text's ids and an end id, cut into pieces of `capacity` if longer.
 
-    The first piece takes what is over; all others are full. A null text counts as empty, and has a piece with the end id alone.
+    The first piece takes what is over; all others are full. A null text counts as empty, and has a piece with the end id alone. ranked: add what `pack` needs to know, each
+    piece's task and its rank there among those of its length, which saves it a pass through Python.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer, False)
+        encoder, ranks = Encoder.of(tokenizer, False), _Ranks(capacity)
         for batch in batches:
             for i, j, data, offsets in parts(column(batch, text_col)):
                 ids, off = with_end(*encoder.encode(data, offsets), end_id)
@@ -116,9 +132,13 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
                 length = np.where(piece == 0, over[row], capacity)
                 raw, begin = ids.astype("<u4"), off[:-1][row] + start
                 crc = [zlib.crc32(raw[a : a + b]) for a, b in zip(begin.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays([column(batch, id_col).slice(i, j - i).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32"])
+                which = pa.array(row)
+                more = [column(batch, "__shard").slice(i, j - i).take(which), pa.array(ranks.of(length))] if ranked else []
+                yield pa.RecordBatch.from_arrays([column(batch, id_col).slice(i, j - i).take(which), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), *more], names)
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(cut, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
+    names = [id_col, "piece", "start", "length", "ids_crc32", *(["__shard", "__rank"] if ranked else [])]
+    source = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col), *([F.spark_partition_id().alias("__shard")] if ranked else []))
+    return source.mapInArrow(cut, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + (", __shard int, __rank long" if ranked else ""))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -131,17 +151,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*kept).dtypes) + ", __shard int, __rank long"
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(capacity + 1, np.int64)
+        ranks = _Ranks(capacity)
         for batch in batches:
-            length = column(batch, "length").to_numpy()
-            order = np.argsort(length, kind="stable")
-            count = np.bincount(length, minlength=capacity + 1)
-            place = np.empty(len(length), np.int64)
-            place[order] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), column(batch, "__shard"), pa.array(place + seen[length])], [*kept, "__shard", "__rank"])
-            seen += count
-
-    ranked = materialize(pieces.select(*kept).withColumn("__shard", F.spark_partition_id()).mapInArrow(rank, schema), "pieces")
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), column(batch, "__shard"), pa.array(ranks.of(column(batch, "length").to_numpy()))], [*kept, "__shard", "__rank"])
+
+    if "__rank" not in pieces.columns:
+        pieces = pieces.select(*kept).withColumn("__shard", F.spark_partition_id()).mapInArrow(rank, schema)
+    ranked = materialize(pieces, "pieces")
     counts = ranked.groupBy("length", "__shard").agg(F.count(F.lit(1)).alias("__n"))
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
@@ -157,4 +173,4 @@ def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     Rows of equal or null ids are packed each by itself; a null or empty text is one piece of the end id alone. An empty df gives none. Columns other than the id and the text are not read.
     """
-    return pack(token_pieces(df, tokenizer, capacity, end_id, id_col, text_col), capacity)
+    return pack(token_pieces(df, tokenizer, capacity, end_id, id_col, text_col, ranked=True), capacity)

@@ -268,6 +268,8 @@ def test_packing(spark, sf):
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
     assert len(bins) == naive_best_fit([r["length"] for r in got], 2048)
+    own = packing.pack(packing.token_pieces(df, tokens.tokenizer_path("byte_bpe_50k.json")).repartition(3))  # pieces without ranks
+    assert own.count() == len(got) and own.select("sequence_id").distinct().count() == len(bins)
     assert packing.pack_documents(df.limit(0), tokens.tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
