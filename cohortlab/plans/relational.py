@@ -304,6 +304,21 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return L.nearest_date(orders, targets, "uid", "date", "june", 120, [F.col("o_orderkey")]).select("uid", "season", "o_orderkey", "gap")
 
 
+def _scores(pairs: str) -> str:
+    """CTEs up to `scores` (a, b, by_sort, by_set): both ratios of pairs of texts, with longest common subsequences by dynamic programming, a row of the table a step."""
+    sorted_ = lambda x: f"list_sort(list_filter(string_split({x}, ' '), lambda s: s <> ''))"
+    only = lambda x, y: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda s: NOT list_contains({y}, s)))), ' ')"
+    row = "list_transform(range(1, length(y) + 2), lambda j: greatest(row[j], COALESCE(list_max(list_transform(list_filter(range(1, j), lambda k: substr(y, k, 1) = substr(x, i + 1, 1)), lambda k: row[k] + 1)), 0)))"
+    return f"""words AS (SELECT a, b, {sorted_('a')} AS wa, {sorted_('b')} AS wb FROM ({pairs})),
+  split AS (SELECT *, array_to_string(wa, ' ') AS sa, array_to_string(wb, ' ') AS sb, array_to_string(list_sort(list_distinct(list_intersect(wa, wb))), ' ') AS common, {only('wa', 'wb')} AS oa, {only('wb', 'wa')} AS ob FROM words),
+  forms AS (SELECT a, b, wa, wb, sa, sb, common, oa, ob, trim(common || ' ' || oa) AS ja, trim(common || ' ' || ob) AS jb FROM split),
+  todo AS (SELECT sa AS x, sb AS y FROM forms UNION SELECT ja, jb FROM forms UNION SELECT common, ja FROM forms UNION SELECT common, jb FROM forms),
+  dp AS (SELECT x, y, 0 AS i, list_transform(range(1, length(y) + 2), lambda j: CAST(0 AS BIGINT)) AS row FROM todo UNION ALL SELECT x, y, i + 1, {row} FROM dp WHERE i < length(x)),
+  alike AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 100::DOUBLE ELSE 200::DOUBLE * row[length(y) + 1] / (length(x) + length(y)) END AS ratio FROM dp WHERE i = length(x)),
+  scores AS (SELECT f.a, f.b, s.ratio AS by_sort, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 WHEN common <> '' AND (oa = '' OR ob = '') THEN 100 WHEN common <> '' THEN greatest(j.ratio, p.ratio, q.ratio) ELSE j.ratio END AS by_set
+    FROM forms f JOIN alike s ON s.x = sa AND s.y = sb JOIN alike j ON j.x = ja AND j.y = jb JOIN alike p ON p.x = common AND p.y = ja JOIN alike q ON q.x = common AND q.y = jb)"""
+
+
 def _names(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
     part = io.table(spark, sf, "part")
     left = part.where("p_type = 'ECONOMY'").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.nullif("p_size", F.lit(10)).alias("year"))
@@ -311,10 +326,16 @@ def _names(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-@add("jn7_blocked_fuzzy")
+_CANDIDATES = """cand AS (SELECT a.p_brand, a.p_partkey AS id, b.p_partkey AS cand, a.p_name AS name, b.p_name AS cand_name, CASE WHEN NULLIF(a.p_size, 10) IS NULL OR NULLIF(b.p_size, 11) IS NULL THEN 2 ELSE abs(a.p_size - b.p_size) END AS year_gap
+  FROM part a JOIN part b USING (p_brand) WHERE a.p_type = 'ECONOMY' AND b.p_type <> 'ECONOMY' AND (NULLIF(a.p_size, 10) IS NULL OR NULLIF(b.p_size, 11) IS NULL OR abs(a.p_size - b.p_size) <= 1))"""
+
+
+@add("jn7_blocked_fuzzy", f"""WITH RECURSIVE {_CANDIDATES}, {_scores("SELECT DISTINCT name AS a, cand_name AS b FROM cand")}
+SELECT id, cand, {r('score')} AS score, CAST(year_gap AS INTEGER) AS year_gap FROM (SELECT c.*, greatest(by_sort, by_set - 5) AS score FROM cand c JOIN scores s ON s.a = c.name AND s.b = c.cand_name
+  QUALIFY row_number() OVER (PARTITION BY id, p_brand ORDER BY score DESC, year_gap, cand) = 1) WHERE score >= CASE year_gap WHEN 0 THEN 70 WHEN 1 THEN 85 ELSE 92 END""")
 def _(spark: Spark, sf: str) -> DataFrame:
     left, right = _names(spark, sf)
-    return L.match_blocked(left, right, ["p_brand"], "id", "cand", "name", "cand_name", "year", "cand_year").select("id", "cand", "score", "year_gap")
+    return L.match_blocked(left, right, ["p_brand"], "id", "cand", "name", "cand_name", "year", "cand_year").select("id", "cand", rounded("score").alias("score"), "year_gap")
 
 
 _BLOCKED = """blocked AS (SELECT a.p_brand AS brand, a.p_partkey AS id, b.p_partkey AS cand FROM part a JOIN part b USING (p_brand) WHERE a.p_type = 'ECONOMY' AND b.p_type <> 'ECONOMY'
@@ -340,7 +361,13 @@ def _(spark: Spark, sf: str) -> DataFrame:
     return L.weak_matches(matches, reference, ["k"]).select("c_custkey", "score", "n")
 
 
-@add("jn10_identities")
+@add("jn10_identities", f"""WITH RECURSIVE facts AS (SELECT p_brand AS ident, p_name AS key, MIN(p_size) AS year, MAX(p_retailprice) AS score, CAST(COUNT(*) AS DOUBLE) AS weight FROM part GROUP BY 1, 2),
+  shared AS (SELECT * FROM facts QUALIFY COUNT(*) OVER (PARTITION BY ident) > 1),
+  {_scores("SELECT DISTINCT x.key AS a, y.key AS b FROM shared x JOIN shared y USING (ident) WHERE x.key < y.key")},
+  close AS (SELECT x.ident, MIN(by_set) AS alike FROM shared x JOIN shared y ON x.ident = y.ident AND x.key < y.key JOIN scores s ON s.a = x.key AND s.b = y.key GROUP BY x.ident),
+  meet AS (SELECT ident, MAX(n) > 1 AS meets FROM (SELECT p_brand AS ident, p_type, COUNT(DISTINCT p_name) AS n FROM part GROUP BY 1, 2) GROUP BY ident),
+  verdict AS (SELECT ident, NOT meets AND alike >= 90 AND span <= 1 AS same_person FROM close JOIN meet USING (ident) JOIN (SELECT ident, MAX(year) - MIN(year) AS span FROM shared GROUP BY ident) USING (ident))
+SELECT ident, key, same_person, same_person OR row_number() OVER (PARTITION BY ident ORDER BY score DESC, weight DESC, key) = 1 AS keeps_ident FROM shared JOIN verdict USING (ident)""")
 def _(spark: Spark, sf: str) -> DataFrame:
     rows = io.table(spark, sf, "part").select(F.col("p_brand").alias("ident"), F.col("p_name").alias("key"), F.col("p_type").alias("period"), F.col("p_name").alias("name"), F.col("p_size").alias("year"), F.col("p_retailprice").alias("score"), F.lit(1.0).alias("w"))
     return L.resolve_identities(rows, "ident", "key", "period", "name", "year", "score", "w")
@@ -579,12 +606,15 @@ def _name_pairs(spark: Spark, sf: str) -> DataFrame:
     return n.join(n.select(F.col("a").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1)).where("a < b")
 
 
-@add("sc2_token_sort_ratio")
+_NAME_PAIRS = "SELECT x.p_name AS a, y.p_name AS b FROM (SELECT DISTINCT p_name FROM part) x JOIN (SELECT DISTINCT p_name FROM part) y ON substr(x.p_name, 1, 1) = substr(y.p_name, 1, 1) WHERE x.p_name < y.p_name"
+
+
+@add("sc2_token_sort_ratio", f"WITH RECURSIVE {_scores(_NAME_PAIRS)} SELECT a, b, {r('by_sort')} AS score FROM scores")
 def _(spark: Spark, sf: str) -> DataFrame:
     return _name_pairs(spark, sf).withColumn("score", rounded(token_sort_ratio(F.col("a"), F.col("b"))))
 
 
-@add("sc3_token_set_ratio")
+@add("sc3_token_set_ratio", f"WITH RECURSIVE {_scores(_NAME_PAIRS)} SELECT a, b, {r('by_set')} AS score FROM scores")
 def _(spark: Spark, sf: str) -> DataFrame:
     return _name_pairs(spark, sf).withColumn("score", rounded(token_set_ratio(F.col("a"), F.col("b"))))
 
