@@ -278,7 +278,8 @@ def mark_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """df with one row of each class of near-duplicates: the one with the least id, its columns unchanged.
 
-    Rows that no dropped text can equal pass straight through a Bloom filter; the others are joined with the dropped texts.
+    Rows that no dropped text can equal pass straight through a Bloom filter; the others are joined with the dropped texts. Of rows with equal text and id one stays, and a null id
+    counts as the least. Texts without words, null and empty ones included, are near-duplicates of equal ones only. An empty df stays empty. Columns that begin with two underscores are reserved.
     """
     rows, texts = _classes(df, id_col, text_col, threshold)
     verdict = texts.where((F.col("copies") > 1) | (F.col("uid") != F.col("top.top_row"))).select("k1", "k2", "copies", F.col("top.top_row").alias("top_row"))

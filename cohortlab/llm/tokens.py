@@ -207,7 +207,7 @@ def read_token_table(spark: SparkSession, path: str, low: int | None = None, hig
 
 
 def add_crc(df: DataFrame, ids_col: str, out: str = "ids_crc32") -> DataFrame:
-    """df without the column of ids, with the unsigned CRC-32 of its ids as little-endian unsigned 32-bit integers."""
+    """df without the column of ids, with the unsigned CRC-32 of its ids as little-endian unsigned 32-bit integers; a column of df named `out` is replaced. Empty lists have the CRC 0."""
     rest = [c for c in df.columns if c not in (ids_col, out)]
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def add_crc(df: DataFrame, ids_col: str, out: str = "ids_crc32") -> DataFrame:
 
 
 def token_table_digest(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the token table of df to the shared folder, read it back and return (id_col, start, n_tokens, ids_crc32)."""
+    """Write the token table of df to the shared folder, read it back and return (id_col, start, n_tokens, ids_crc32), one row for each row of df; null and empty texts have the end id alone."""
     path = new_path(df.sparkSession, "tokens")
     write_token_table(df, path, tokenizer, end_id, id_col, text_col)
     return add_crc(read_token_table(df.sparkSession, path), "ids").withColumnRenamed("id", id_col)

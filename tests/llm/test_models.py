@@ -43,6 +43,43 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def grams(text):
+    """The indicators of a text, from the definition: byte pairs, and hashed runs of four bytes."""
+    b = text.encode()
+    out = {b[i] << 8 | b[i + 1] for i in range(len(b) - 1)}
+    return out | {(1 << 16) + (int.from_bytes(b[i : i + 4], "big") * 2654435761 % (1 << 32) >> 16) for i in range(len(b) - 3)}
+
+
+def test_quality_by_hand(spark):
+    """Ratios, margins and scores against plain sums over sets of n-grams, and the solution against its optimality conditions."""
+    rng = np.random.default_rng(8)
+    said = ["good words in a row", "bad bad ###", "ünï", "", "x", "ab", "abcd"] + ["".join(rng.choice(list("abc #é"), 30)) for _ in range(60)]
+    y = np.array([int("#" not in t) for t in said])
+    rows = [quality.indicators(np.frombuffer(t.encode(), np.uint8)) for t in said]
+    assert all(set(r.tolist()) == grams(t) for r, t in zip(rows, said))
+    ratios = quality.log_count_ratios(rows, y)
+    good, bad = (Counter(g for t, k in zip(said, y) if k == side for g in grams(t)) for side in (1, 0))
+    share = lambda counts, g: (1 + counts[g]) / (quality.DIM + counts.total())
+    assert all(math.isclose(ratios[g], math.log(share(good, g)) - math.log(share(bad, g)), abs_tol=1e-9) for g in [*good, *bad, 0])
+    w, bias = quality.dual_coordinate_descent(rows, ratios, y, 1.0, 200)
+    x = np.zeros((len(said), quality.DIM))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / math.sqrt(max(1, len(r)))
+    sign = np.where(y > 0, 1.0, -1.0)
+    cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    primal = 0.5 * (w @ w + bias**2) + (cost * np.maximum(0, 1 - sign * (x @ w + bias))).sum()
+    for _ in range(30):  # no nearby point is better: the problem is convex
+        dw, db = rng.normal(size=len(w)) * (np.abs(x).sum(0) > 0) * 1e-2, rng.normal() * 1e-2
+        assert 0.5 * ((w + dw) @ (w + dw) + (bias + db) ** 2) + (cost * np.maximum(0, 1 - sign * (x @ (w + dw) + bias + db))).sum() >= primal - 1e-3
+    model = quality.fit_rows(rows, y)
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(list(enumerate([*said, None])), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate([*said, None]):
+        found = grams(t or "")
+        margin = sum(model.weights[g] for g in found) / math.sqrt(max(1, len(found))) + model.bias
+        score = 1 / (1 + math.exp(-min(30, max(-30, model.slope * margin + model.shift))))
+        assert math.isclose(got[i]["score"], score, abs_tol=1e-9) and got[i]["predicted"] == (score >= 0.3)
+
+
 def test_dual_coordinate_descent_solves_the_dual():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(200, 30, replace=False)) for _ in range(80)]

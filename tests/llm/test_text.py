@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cohortlab.llm import packing, secrets, tokens
@@ -148,6 +149,28 @@ def test_chunks_encode_as_whole_texts(spark, sf):
                 assert ids[off[k - i] : off[k - i + 1]].tolist() == want[k], repr(texts[k])
 
 
+def test_token_file_layout(spark):
+    """Dictionary-encoded ids, delta-encoded integers, bounded pages with an index, and reads that skip what a filter on the id rules out."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the same few words"), F.col("id").cast("string")).alias("text"))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/token-layout"
+    tokens.write_token_table(df, path, tokens.tokenizer_path("word_bpe_49k.json"), 2, row_group_bytes=8 << 10, page_rows=100)
+    files = [f.removeprefix("file:") for f in spark.read.parquet(f"{path}/tokens").inputFiles()]
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f.removeprefix("//")).metadata
+        for g in range(meta.num_row_groups):
+            groups += 1
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                wanted = "RLE_DICTIONARY" if col.path_in_schema.startswith("ids") else "DELTA_BINARY_PACKED"
+                assert wanted in col.encodings and col.has_column_index and col.has_offset_index
+    assert groups > len(files)  # row groups are bounded
+    some = tokens.read_token_table(spark, path, 1000, 1003)
+    assert [r["id"] for r in some.orderBy("id").collect()] == [1000, 1001, 1002, 1003]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,1000)" in plan and "LessThanOrEqual(id,1003)" in plan  # reaches the scan
+
+
 def thue_morse(n):
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
     return word, word.translate(str.maketrans("ab", "ba"))
