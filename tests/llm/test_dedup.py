@@ -126,6 +126,15 @@ def test_near_chains_and_edges(spark):
     assert near_dedup.near_dedup(df.limit(0)).count() == 0 and near_dedup.mark_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_tells_alike_words_apart(spark):
+    """Words that every sum of powers modulo 2^64 takes for each other make different runs."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([w, "one", "two", w, "three", w]) for w in (word, other)] + [" ".join([word, "one", "two", word, "three", word, "!"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.mark_near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_near_mixed_bucket(spark, monkeypatch):
     """A bucket of unlike texts loses no link: one band makes every text meet every other, and the least text links with one of them only."""
     rng = np.random.default_rng(1)

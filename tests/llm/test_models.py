@@ -117,6 +117,16 @@ def test_lm_base_scores(spark, sf, most_known):
     check_scores([tuple(r) for r in df.collect()], language_model.score_texts(df, most_known=most_known, most_symbols=64).collect())
 
 
+def test_lm_tells_alike_words_apart(spark):
+    """Words that every sum of powers modulo 2^64 takes for each other are counted apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(train[0], f"{word} x"), (train[1], f"{word} {word}"), (train[2], f"y {other}"), (held, f"{other} {word}")]
+    check_scores(rows, language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_lm_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     assert language_model.score_texts(df).count() == 4
