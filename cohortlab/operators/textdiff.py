@@ -45,13 +45,13 @@ def _let(x: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip_comments(text: Column) -> Column:
     """Text without `%` comments (an escaped `%` starts none)."""
-    return F.regexp_replace(text, r"(?<!\\)%[^\n]*", "")
+    return F.when(text.contains("%"), F.regexp_replace(text, r"(?<!\\)%[^\n]*", "")).otherwise(text)
 
 
 def strip_environments(text: Column, names: list[str] = NO_SENTENCES) -> Column:
     """Text with a space in place of each of the environments, up to the first end of the same name."""
     body = "|".join(n.replace("*", r"\*") for n in names)
-    return F.regexp_replace(text, rf"(?s)\\begin\{{({body})\}}.*?\\end\{{\1\}}", " ")
+    return F.when(text.contains("\\begin{"), F.regexp_replace(text, rf"(?s)\\begin\{{({body})\}}.*?\\end\{{\1\}}", " ")).otherwise(text)
 
 
 def clean(text: Column) -> Column:
@@ -68,7 +68,7 @@ def sentences(text: Column, shortest: int = 26) -> Column:
 
     A sentence ends at `.`, `!` or `?` before white space that a capital A to Z, a backslash or a dollar sign follows. A null text has none (null).
     """
-    parts = F.split(single_spaces(clean(text)), r"(?<=[.!?]) (?=[A-Z\\$])")
+    parts = F.split(single_spaces(_let(strip_comments(text), lambda t: strip_environments(t))), r"(?<=[.!?]) (?=[A-Z\\$])")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= shortest)
 
 
