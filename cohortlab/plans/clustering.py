@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import first_max
 from ..operators import align as A
 from ..operators import distance as D
-from ..operators import fcm
+from ..operators import fcm, pairsums
 from ..operators import panel as P
 from ..sources.io import staged, table
 from .base import SCALED, TYPES, K, Registry, cells, r, rounded, sample, with_base
@@ -64,7 +64,7 @@ def _near(spark: Spark, sf: str) -> DataFrame:
     """(nation, season, i, c, d1, d2, d3, q): scaled distances of every row to its cell's K medoids, and their combined square."""
     c = cells(spark, sf)
     med = _medoids(c)
-    const = D.scaling_constants(D.pair_distances(c, c, CELL, "uid", TYPES))
+    const = pairsums.constants_from(pairsums.pair_facts(c, CELL, TYPES))
     d = D.scaled(D.pair_distances(c, med, CELL, "uid", TYPES, ordered=False), const)
     return d.join(med.select(*CELL, F.col("uid").alias("j"), "c"), [*CELL, "j"]).withColumn("q", D.combined_squared(W)).drop("j")
 
@@ -104,8 +104,11 @@ def _(spark: Spark, sf: str) -> DataFrame:
 
 @add("cl4_within_period", with_base(PAIRS, CONST) + f"SELECT nation, season, COUNT(*) AS pairs, {r('AVG(d1 / c1)')} AS d1, {r('AVG(d2 / c2)')} AS d2, {r('AVG(d3)')} AS d3 FROM dist, const GROUP BY nation, season")
 def _(spark: Spark, sf: str) -> DataFrame:
-    pairs = _pairs(spark, sf)
-    return D.scaled(pairs, D.scaling_constants(pairs)).groupBy(*CELL).agg(F.count(F.lit(1)).alias("pairs"), *[rounded(F.avg(f"d{k}")).alias(f"d{k}") for k in (1, 2, 3)])
+    """Means over all pairs of each cell, from sorted sums: the pairs are not formed."""
+    facts = staged(pairsums.pair_facts(cells(spark, sf), CELL, TYPES), "facts")
+    mean = lambda k: F.col(f"s{k}") / F.nullif(f"n{k}", F.lit(0)) / F.nullif(f"c{k}", F.lit(0.0))
+    both = facts.where("pairs > 0").crossJoin(F.broadcast(pairsums.constants_from(facts)))
+    return both.select(*CELL, "pairs", *[rounded(mean(k)).alias(f"d{k}") for k in (1, 2, 3)])
 
 
 @add("cl5_cross_period", with_base(PAIRS, CONST, NEAR) + f"SELECT a.nation, a.season, a.rn AS a, b.rn AS b, {r(_D1)} AS d1, {r(_D2)} AS d2, {r(_D3)} AS d3 FROM med a JOIN med b ON a.nation = b.nation AND b.season = a.season + 1")
@@ -165,13 +168,10 @@ _FULL = f"full_q AS (SELECT nation, season, i, j, {_SQ('d1', 'd2', 'd3')} AS q F
 @add("cl12_medoid_update", with_base(PAIRS, CONST, NEAR, U, _FULL) + f"SELECT nation, season, CAST(arg_min(h, (cost, h)) AS BIGINT) AS medoid FROM (SELECT f.nation, f.season, f.i AS h, ROUND(SUM({_UM(1)} * f.q), 9) AS cost FROM full_q f JOIN u ON u.nation = f.nation AND u.season = f.season AND u.i = f.j GROUP BY f.nation, f.season, f.i) GROUP BY nation, season")
 def _(spark: Spark, sf: str) -> DataFrame:
     """The first cluster's new medoid; the others have to differ from it, which the fit does in sequence."""
-    pairs = _pairs(spark, sf)
-    half = D.scaled(pairs, D.scaling_constants(pairs)).select(*CELL, "i", "j", D.combined_squared(W).alias("q"))
-    own = cells(spark, sf).select(*CELL, F.col("uid").alias("i"), F.col("uid").alias("j"), F.lit(0.0).alias("q"))
-    full = half.unionByName(half.select(*CELL, F.col("j").alias("i"), F.col("i").alias("j"), "q")).unionByName(own)
-    um = _memberships(spark, sf).select(*CELL, F.col("i").alias("j"), F.pow(_u(1), M).alias("um"))
-    cost = full.join(um, [*CELL, "j"]).groupBy(*CELL, "i").agg(F.round(F.sum(F.col("um") * F.col("q")), 9).alias("cost"))
-    return cost.groupBy(*CELL).agg(F.min(F.struct("cost", "i"))["i"].alias("medoid"))
+    c = cells(spark, sf)
+    row = pairsums.constants_from(pairsums.pair_facts(c, CELL, TYPES)).first()
+    um = _memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), F.pow(_u(1), M).alias("um"))
+    return pairsums.least_cost(c.join(um, [*CELL, "uid"]), CELL, "uid", TYPES, "um", W, (row["c1"], row["c2"], row["c3"]))
 
 
 _OBJ = " + ".join(f"{_UM(k)} * q{k}" for k in range(1, K + 1))
@@ -227,7 +227,7 @@ def both_rates(spark: Spark, sf: str) -> DataFrame:
 
 
 def constants_of(base: DataFrame, rates: str, rule: str = "sd") -> tuple[float, float, float]:
-    row = D.scaling_constants(D.pair_distances(base, base, CELL, "uid", RATES[rates]), rule).first()
+    row = pairsums.constants_from(pairsums.pair_facts(base, CELL, RATES[rates]), rule).first()
     return row["c1"], row["c2"], row["c3"]
 
 
