@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +28,57 @@ def match_score(a: Column, b: Column) -> Column:
     return F.greatest(token_sort_ratio(a, b), token_set_ratio(a, b) - 5)
 
 
+def _same(a: list[str], b: list[str]) -> Column:
+    """Equal values of the columns, null with null."""
+    return reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)])
+
+
+def near_years(left: DataFrame, right: DataFrame, left_year: str, right_year: str) -> DataFrame:
+    """(__ly, __ry, year_gap): the pairs of distinct years that may match: within one (gap 0 or 1), or one of them lacks (2)."""
+    ly, ry = F.col("__ly"), F.col("__ry")
+    both = left.select(F.col(left_year).alias("__ly")).distinct().crossJoin(F.broadcast(right.select(F.col(right_year).alias("__ry")).distinct()))
+    lacks = ly.isNull() | ry.isNull()
+    return both.where(lacks | (F.abs(ly - ry) <= 1)).withColumn("year_gap", F.when(lacks, 2).otherwise(F.abs(ly - ry)))
+
+
+def _by_year(left: DataFrame, right: DataFrame, block: list[str], left_year: str, right_year: str) -> DataFrame:
+    """left joined with right on the block and the years that may match, all of them equi-joins."""
+    years = near_years(left, right, left_year, right_year)
+    open_ = left.join(F.broadcast(years), _same([left_year], ["__ly"])).drop("__ly")
+    renamed = right.withColumnsRenamed({c: f"__{c}" for c in block})
+    on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__{c}") for c in block])
+    return open_.join(renamed, on & _same(["__ry"], [right_year])).drop("__ry", *[f"__{c}" for c in block])
+
+
 def match_blocked(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, left_name: str, right_name: str, left_year: str, right_year: str, thresholds: tuple[float, float, float] = (70.0, 85.0, 92.0)) -> DataFrame:
     """Best candidate of each left row within its block, where its score passes the threshold for its kind of year match.
 
     Candidates share the block and lie within one year, or have no year; a left row without a year sees all. thresholds: same year, off by one, unknown.
-    Scores are computed only for distinct pairs of names.
+    Rows of one block, name and year have one best candidate, and of those on the right only the first can be it, so pairs are formed of distinct (block, name, year) only.
     """
-    ly, ry = F.col(left_year), F.col(right_year)
-    pairs = left.join(right, block).where(ly.isNull() | ry.isNull() | (F.abs(ly - ry) <= 1))
-    names = pairs.select(left_name, right_name).distinct().withColumn("score", match_score(F.col(left_name), F.col(right_name)))
-    scored = pairs.join(names, [left_name, right_name])
-    gap = F.when(ly.isNull() | ry.isNull(), 2).otherwise(F.abs(ly - ry))
-    best = keep_best(scored.withColumn("year_gap", gap), [left_id, *block], [F.desc("score"), F.col("year_gap"), F.col(right_id)])
+    rest = [c for c in right.columns if c not in (*block, right_name, right_year, right_id)]
+    key = [*block, left_name, left_year]
+    sees = left.where(F.col(left_name).isNotNull()).select(*key).distinct()
+    seen = right.where(F.col(right_name).isNotNull()).groupBy(*block, right_name, right_year).agg(F.min(F.struct(right_id, *rest)).alias("__first"))
+    own = _by_year(sees, seen, block, left_year, right_year).groupBy(*key, right_name).agg(F.min(F.struct("year_gap", "__first", right_year)).alias("__first"))
+    names = own.select(left_name, right_name).distinct().withColumn("score", match_score(F.col(left_name), F.col(right_name)))
+    scored = own.join(names, [left_name, right_name])
+    order = F.struct((-F.col("score")).alias("a"), F.col("__first.year_gap").alias("b"), F.col(f"__first.__first.{right_id}").alias("c"))
+    best = scored.groupBy(*key).agg(F.min_by(F.struct("score", F.col("__first.year_gap").alias("year_gap"), F.col(right_name), F.col(f"__first.{right_year}").alias(right_year), F.col("__first.__first").alias("__first")), order).alias("__best"))
+    renamed = best.withColumnsRenamed({c: f"__{c}" for c in key})
+    rows = left.join(renamed, _same(key, [f"__{c}" for c in key])).select(*left.columns, "__best.*").select(*left.columns, right_name, right_year, "__first.*", "score", "year_gap")
+    found = keep_best(rows, [left_id, *block], [F.desc("score"), F.col("year_gap"), F.col(right_id)])
     limit = F.when(F.col("year_gap") == 0, thresholds[0]).when(F.col("year_gap") == 1, thresholds[1]).otherwise(thresholds[2])
-    return best.where(F.col("score") >= limit)
+    return found.where(F.col("score") >= limit)
+
+
+def count_candidates(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, left_year: str, right_year: str) -> DataFrame:
+    """(left id, candidates, first): how many right rows of its block lie within one year of a left row or lack a year, and the least id. Counted by block and year, so no pair of rows is formed."""
+    sees, seen = left.select(*block, left_year).distinct(), right.groupBy(*block, right_year).agg(F.count(F.lit(1)).alias("__n"), F.min(right_id).alias("__first"))
+    counted = _by_year(sees, seen, block, left_year, right_year).groupBy(*block, left_year).agg(F.sum("__n").alias("__n"), F.min("__first").alias("__first"))
+    key = [*block, left_year]
+    rows = left.join(counted.withColumnsRenamed({c: f"__{c}" for c in key}), _same(key, [f"__{c}" for c in key]))
+    return rows.groupBy(left_id).agg(F.sum("__n").alias("candidates"), F.min("__first").alias("first"))
 
 
 def majority_vote(matches: DataFrame, entity: list[str], vote: str, score: str) -> DataFrame:
