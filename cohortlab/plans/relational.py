@@ -345,8 +345,7 @@ _BLOCKED = """blocked AS (SELECT a.p_brand AS brand, a.p_partkey AS id, b.p_part
 @add("jn7_blocking_step", f"WITH {_BLOCKED} SELECT id, COUNT(*) AS candidates, MIN(cand) AS first FROM blocked GROUP BY id")
 def _(spark: Spark, sf: str) -> DataFrame:
     left, right = _names(spark, sf)
-    near = F.col("year").isNull() | F.col("cand_year").isNull() | (F.abs(F.col("year") - F.col("cand_year")) <= 1)
-    return left.join(right, "p_brand").where(near).groupBy("id").agg(F.count(F.lit(1)).alias("candidates"), F.min("cand").alias("first"))
+    return L.count_candidates(left, right, ["p_brand"], "id", "cand", "year", "cand_year")
 
 
 @add("jn8_majority_vote", "SELECT o_custkey, o_orderpriority, n, best FROM (SELECT o_custkey, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS best FROM orders GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, best DESC, o_orderpriority) = 1")
