@@ -80,6 +80,32 @@ class Regression:
         return f_tail(f, df, den) if f_form else chi2_tail(f * df, df)
 
 
+def _meat(data: DataFrame, names: list[str], cluster: str, beta: np.ndarray, y: str) -> tuple[int, np.ndarray]:
+    """(clusters, sum of the outer products of their scores), by aggregates."""
+    k = len(names)
+    residual = F.col(y) - sum([F.lit(float(b)) * F.col(c) for b, c in zip(beta, names)], F.lit(0.0))
+    scores = data.groupBy(cluster).agg(*[F.sum(F.col(c) * residual).alias(f"s{i}") for i, c in enumerate(names)])
+    row = scores.agg(F.count(F.lit(1)).alias("g"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate(_products([f"s{i}" for i in range(k)]))]).first()
+    groups, meat, at = int(row["g"]), np.zeros((k, k)), 0
+    for i in range(k):
+        for j in range(i, k):
+            meat[i, j] = meat[j, i] = row[f"p{at}"] or 0.0
+            at += 1
+    return groups, meat
+
+
+def _meat_of(data: DataFrame, columns: list[str], cluster: str, at: list[int], beta: np.ndarray, y: str) -> tuple[int, np.ndarray]:
+    """The same of many columns, by matrix products; at: their places after the constant."""
+    last = [c for c in columns if c != y]
+    places = [0 if i == 0 else last.index(columns[i - 1]) + 1 for i in at]
+    found = cluster_meats(data.withColumn("__key", F.lit("all")), "__key", [*last, y], cluster, {"all": {"fit": (places, beta)}})
+    return found.get(("all", "fit"), (0, np.zeros((len(at), len(at)))))
+
+
+#: Up to so many columns cross products are aggregates; of more they are matrix products in Python workers, since the aggregates' number is its square.
+FEW = 8
+
+
 def ols_clustered(df: DataFrame, y: str, x: list[str], cluster: str, constant: bool = True, extra_df: int = 0) -> Regression:
     """OLS of y on x (and a constant) with cluster-robust covariance and its small-sample factor G/(G-1) (n-1)/(n-k).
 
@@ -89,19 +115,19 @@ def ols_clustered(df: DataFrame, y: str, x: list[str], cluster: str, constant: b
     data, means = centred(data, list(dict.fromkeys([y, *x]))) if constant else (data, {c: 0.0 for c in [y, *x]})
     names = ["const", *x] if constant else list(x)
     data = data.withColumn("const", F.lit(1.0)) if constant else data
-    row = gram(data, [*names, y]).first()
-    n, _, full = _unpack(row, len(names) + 1)
-    k = len(names)
+    k, many = len(names), len(names) > FEW
+    if many:
+        own = list(dict.fromkeys([*x, y]))
+        at = [0 if c == "const" and constant else own.index(c) + 1 for c in [*names, y]]
+        data = data.drop("const") if constant else data
+        first = fold_grams(data.withColumn("__key", F.lit("all")), "__key", own, cluster, 1, 1).first()
+        g = np.zeros((len(own) + 1,) * 2) if first is None else np.array(first["g"]).reshape(len(own) + 1, -1)
+        n, full = float(g[0, 0]), g[np.ix_(at, at)]
+    else:
+        n, _, full = _unpack(gram(data, [*names, y]).first(), k + 1)
     xx, xy, yy = full[:k, :k], full[:k, k], full[k, k]
     beta = solve(xx, xy)
-    residual = F.col(y) - sum([F.lit(float(b)) * F.col(c) for b, c in zip(beta, names)], F.lit(0.0))
-    scores = data.groupBy(cluster).agg(*[F.sum(F.col(c) * residual).alias(f"s{i}") for i, c in enumerate(names)])
-    meat_row = scores.agg(F.count(F.lit(1)).alias("g"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate(_products([f"s{i}" for i in range(k)]))]).first()
-    groups, meat, at = int(meat_row["g"]), np.zeros((k, k)), 0
-    for i in range(k):
-        for j in range(i, k):
-            meat[i, j] = meat[j, i] = meat_row[f"p{at}"] or 0.0
-            at += 1
+    groups, meat = _meat_of(data, own, cluster, at[:k], beta, y) if many else _meat(data, names, cluster, beta, y)
     scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
     bread = np.linalg.pinv(xx / np.outer(scale, scale), rcond=1e-12) / np.outer(scale, scale)
     cov = bread @ meat @ bread * groups / max(1, groups - 1) * (n - 1) / max(1.0, n - k - extra_df)
@@ -135,11 +161,10 @@ def grouped_cv(df: DataFrame, y: str, models: dict[str, list[str]], entity: str,
     """
     columns = list(dict.fromkeys([c for x in models.values() for c in x]))
     data, _ = centred(df.select(entity, *dict.fromkeys([y, *columns])).na.drop(), list(dict.fromkeys([y, *columns])))
-    spread = data.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("fold", fold_of(F.col(entity), F.col("rep"), folds, seed) if fold is None else fold(F.col(entity), F.col("rep"), folds))
     names = ["one", *columns, y]
-    parts: dict[int, dict[int, tuple]] = {}
-    for row in gram(spread.withColumn("one", F.lit(1.0)), names, ["rep", "fold"]).collect():
-        parts.setdefault(row["rep"], {})[row["fold"]] = _unpack(row, len(names))[2]
+    parts: dict[int, dict[int, np.ndarray]] = {}
+    for row in fold_grams(data.withColumn("__key", F.lit("all")), "__key", [*columns, y], entity, reps, folds, seed, fold).collect():
+        parts.setdefault(row["rep"], {})[row["fold"]] = np.array(row["g"]).reshape(len(names), len(names))
     out: dict[str, list[float]] = {m: [] for m in models}
     for rep in sorted(parts):
         own, total = parts[rep], sum(parts[rep].values())
@@ -266,9 +291,9 @@ def add_up(parts: DataFrame, keys: list[str], groups: int = 64) -> DataFrame:
     return once.groupBy(*keys).applyInArrow(add, schema)
 
 
-def fold_grams(df: DataFrame, key: str, columns: list[str], entity: str, reps: int, folds: int, seed: int = 0) -> DataFrame:
+def fold_grams(df: DataFrame, key: str, columns: list[str], entity: str, reps: int, folds: int, seed: int = 0, dealt: Callable[[Column, Column, int], Column] | None = None) -> DataFrame:
     """(key, rep, fold, g): cross products of the constant and the columns in each fold of each repetition, added up in every task first. reps: at least 1; no fold splits an entity."""
-    fold = F.array(*[fold_of(F.col(entity), r, folds, seed) for r in range(reps)])
+    fold = F.array(*[fold_of(F.col(entity), r, folds, seed) if dealt is None else dealt(F.col(entity), F.lit(r), folds) for r in range(reps)])
     data = df.select(F.col(key).cast("string").alias("key"), *columns, fold.alias("__folds"), F.spark_partition_id().alias("__task"))
     schema = pa.schema([("key", pa.string()), ("rep", pa.int32()), ("fold", pa.int32()), ("task", pa.int32()), ("g", pa.list_(pa.float64()))])
 

@@ -60,18 +60,18 @@ def _medoids(c: DataFrame) -> DataFrame:
     return c.withColumn("c", rank).where(F.col("c") <= K)
 
 
-def _near(spark: Spark, sf: str) -> DataFrame:
+def _near(spark: Spark, sf: str, c: DataFrame | None = None) -> DataFrame:
     """(nation, season, i, c, d1, d2, d3, q): scaled distances of every row to its cell's K medoids, and their combined square."""
-    c = cells(spark, sf)
+    c = cells(spark, sf) if c is None else c
     med = _medoids(c)
     const = pairsums.constants_from(pairsums.pair_facts(c, CELL, TYPES))
     d = D.scaled(D.pair_distances(c, med, CELL, "uid", TYPES, ordered=False), const)
     return d.join(med.select(*CELL, F.col("uid").alias("j"), "c"), [*CELL, "j"]).withColumn("q", D.combined_squared(W)).drop("j")
 
 
-def _memberships(spark: Spark, sf: str) -> DataFrame:
+def _memberships(spark: Spark, sf: str, c: DataFrame | None = None) -> DataFrame:
     """(nation, season, i, q1.., delta, u array, hard)."""
-    near = staged(_near(spark, sf), "near")
+    near = staged(_near(spark, sf, c), "near")
     wide = near.groupBy(*CELL, "i").agg(*[F.max(F.when(F.col("c") == k, F.col("q"))).alias(f"q{k}") for k in range(1, K + 1)])
     noise = near.groupBy(*CELL).agg(fcm.noise_distance(RHO, F.col("q")).alias("delta"))
     u = fcm.memberships([F.col(f"q{k}") for k in range(1, K + 1)], F.col("delta"), M)
@@ -170,7 +170,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
     """The first cluster's new medoid; the others have to differ from it, which the fit does in sequence."""
     c = cells(spark, sf)
     row = pairsums.constants_from(pairsums.pair_facts(c, CELL, TYPES)).first()
-    um = _memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), F.pow(_u(1), M).alias("um"))
+    um = _memberships(spark, sf, c).select(*CELL, F.col("i").alias("uid"), F.pow(_u(1), M).alias("um"))
     return pairsums.least_cost(c.join(um, [*CELL, "uid"]), CELL, "uid", TYPES, "um", W, (row["c1"], row["c2"], row["c3"]))
 
 
@@ -241,7 +241,9 @@ def fit_configs(base: DataFrame, configs: dict[str, tuple[str, fcm.FitConfig]],
 
 
 def fits(spark: Spark, sf: str, configs: dict[str, fcm.FitConfig]) -> DataFrame:
-    return fit_configs(both_rates(spark, sf), {n: ("raw", c) for n, c in configs.items()})
+    """Fits of settings with raw rates, for one reader (not staged)."""
+    base = both_rates(spark, sf)
+    return fcm.fit_cells(base, CELL, "uid", TYPES, configs, constants_of(base, "raw"))
 
 
 MAIN = fcm.FitConfig(k=4, m=M, rho=RHO, starts=10, weights=tuple(W))
@@ -262,7 +264,7 @@ def _(spark: Spark, sf: str) -> DataFrame:
 def _(spark: Spark, sf: str) -> DataFrame:
     """All K and m of the grid, with whether a fit is degenerate in any cell."""
     configs = {f"k{k}_m{m}": replace(MAIN, k=k, m=m) for k in (2, 3, 4, 5, 6) for m in (1.2, 1.3, 1.4, 1.5)}
-    return fcm.fit_diagnostics(fits(spark, sf, configs), CELL)
+    return fcm.fit_diagnostics(staged(fits(spark, sf, configs), "fits"), CELL)
 
 
 def _single_period(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -333,26 +335,30 @@ LABELS = "lab1995 AS (SELECT nation, 1995 AS season, unnest([1, 2, 3]) AS cluste
 ALL = (PAIRS, CONST, NEAR, U, ZED, PROF, COST, ASSIGN)
 
 
-def _profiles(spark: Spark, sf: str) -> DataFrame:
-    z = A.z_scores(cells(spark, sf).select(*CELL, "uid", *FEATURES), FEATURES)
-    u = _memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), "u")
+def _profiles(spark: Spark, sf: str, c: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+    c = cells(spark, sf) if c is None else c
+    z = A.z_scores(c.select(*CELL, "uid", *FEATURES), FEATURES)
+    u = (_memberships(spark, sf, c) if u is None else u).select(*CELL, F.col("i").alias("uid"), "u")
     return staged(A.profiles(z.join(u, [*CELL, "uid"]), CELL, "u", K, Z), "profiles")
 
 
-def _costs(spark: Spark, sf: str) -> DataFrame:
-    return A.profile_costs(_profiles(spark, sf), ["nation"], "season", Z)
+def _costs(spark: Spark, sf: str, c: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+    return A.profile_costs(_profiles(spark, sf, c, u), ["nation"], "season", Z)
 
 
-def _chosen(spark: Spark, sf: str) -> DataFrame:
-    return staged(A.optimal_assignment(_costs(spark, sf), CELL, K), "assignment")
+def _chosen(spark: Spark, sf: str, c: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+    return staged(A.optimal_assignment(_costs(spark, sf, c, u), CELL, K), "assignment")
 
 
-def _labels(spark: Spark, sf: str) -> DataFrame:
-    return staged(A.propagate_labels(_chosen(spark, sf), ["nation"], "season", 1995, 2001, K), "labels")
+def _labels(spark: Spark, sf: str, c: DataFrame | None = None, u: DataFrame | None = None) -> DataFrame:
+    return staged(A.propagate_labels(_chosen(spark, sf, c, u), ["nation"], "season", 1995, 2001, K), "labels")
 
 
-def _aligned(spark: Spark, sf: str) -> DataFrame:
-    return staged(A.relabel(_memberships(spark, sf).select(*CELL, F.col("i").alias("uid"), "u"), _labels(spark, sf), CELL, "u", K), "aligned")
+def _aligned(spark: Spark, sf: str, c: DataFrame | None = None) -> DataFrame:
+    """The cells (given, or made) and their memberships are read by every step, so they are made once."""
+    c = cells(spark, sf) if c is None else c
+    u = _memberships(spark, sf, c)
+    return staged(A.relabel(u.select(*CELL, F.col("i").alias("uid"), "u"), _labels(spark, sf, c, u), CELL, "u", K), "aligned")
 
 
 ALIGNED = f"""aligned AS (SELECT nation, season, i AS uid, {', '.join(f'MAX(CASE WHEN label = {k} THEN [u1, u2, u3][cluster] END) AS v{k}' for k in range(1, K + 1))}, MAX(u{K + 1}) AS v{K + 1} FROM u JOIN labels USING (nation, season) GROUP BY nation, season, i),
@@ -360,8 +366,8 @@ al AS (SELECT *, CASE {' '.join(f'WHEN v{k} = greatest({", ".join(f"v{x}" for x
 tr AS (SELECT a.uid, a.season, a.nation, {', '.join(f'b.v{k} - a.v{k} AS e{k}' for k in range(1, K + 2))}, {', '.join(f'a.v{k} AS a{k}, b.v{k} AS b{k}' for k in range(1, K + 2))}, a.hard AS hard_t, b.hard AS hard_t1 FROM al a JOIN al b ON a.uid = b.uid AND b.season = a.season + 1)"""
 
 
-def _transitions(spark: Spark, sf: str) -> DataFrame:
-    return A.transitions(_aligned(spark, sf), "uid", "season", "u", K)
+def _transitions(spark: Spark, sf: str, c: DataFrame | None = None) -> DataFrame:
+    return A.transitions(_aligned(spark, sf, c), "uid", "season", "u", K)
 
 
 @add("al1_z_scores", with_base(ZED) + f"SELECT nation, season, uid, {', '.join(f'{r(z)} AS {z}' for z in Z)} FROM zed")

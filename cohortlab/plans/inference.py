@@ -16,7 +16,7 @@ from ..operators import fcm
 from ..operators import panel as P
 from ..operators import resample as R
 from ..sources.io import staged
-from .base import SCALED, TYPES, K, Registry, panel, r, rounded, scaled_sample, with_base
+from .base import SCALED, TYPES, K, Registry, cells, panel, r, rounded, scaled_sample, with_base
 from .clustering import MAIN, RATES, T_ALL, _transitions, both_rates, constants_of, fit_configs
 
 registry = Registry()
@@ -63,12 +63,13 @@ def du_names(k: int, reference: int) -> list[str]:
     return [f"du_{j}" for j in range(1, k + 1) if j != reference] + ["du_noise"]
 
 
-def with_changes(spark: Spark, sf: str) -> tuple[DataFrame, list[str]]:
+def with_changes(spark: Spark, sf: str, scaled: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """The design with membership changes du_1.., du_noise, levels u_1.., u_noise and their summaries; and the names of the changes but that of the reference cluster, which has the largest mean membership."""
-    t = staged(_transitions(spark, sf), "transitions")
+    scaled = staged(scaled_sample(spark, sf), "scaled") if scaled is None else scaled  # read by the clustering and by the design
+    t = staged(_transitions(spark, sf, cells(spark, sf, scaled)), "transitions")
     columns = [F.element_at(v, j).alias(f"{n}_{j}") for n, v in (("du", "delta"), ("u", "u_t")) for j in range(1, K + 1)]
     du = t.select("uid", "season", *columns, F.element_at("delta", K + 1).alias("du_noise"), F.element_at("u_t", K + 1).alias("u_noise"), "u_t1", "transition_norm", "delta_entropy")
-    data = staged(design(spark, sf).join(du, ["uid", "season"]), "design")
+    data = staged(design_of(scaled, _STATS).join(du, ["uid", "season"]), "design")
     reference = int(E.reference_cluster(data, [f"u_{j}" for j in range(1, K + 1)])[2:])
     return data, du_names(K, reference)
 
@@ -237,12 +238,13 @@ def _(spark: Spark, sf: str) -> DataFrame:
 def _(spark: Spark, sf: str) -> DataFrame:
     """Do changes of principal-component scores explain the outcome as membership changes do?"""
     cols = [*TYPES.performance, *TYPES.rates]
-    z = staged(A.z_scores(scaled_sample(spark, sf).select("uid", "season", *cols), cols), "z-scores")
+    scaled = staged(scaled_sample(spark, sf), "scaled")
+    z = staged(A.z_scores(scaled.select("uid", "season", *cols), cols), "z-scores")
     vectors, _, need = E.pca(z, cols)
     scores = z.select("uid", "season", *[sum([F.lit(float(v)) * F.col(f"z_{c}") for v, c in zip(vectors[:, j], cols)], F.lit(0.0)).alias(f"pc{j}") for j in range(len(cols))])
     names = [f"pc{j}" for j in range(len(cols))]
     d = P.consecutive_pairs(scores, "uid", "season", names).select("uid", "season", *[(F.col(f"{n}_t1") - F.col(f"{n}_t")).alias(f"d{n}") for n in names])
-    data, du = with_changes(spark, sf)
+    data, du = with_changes(spark, sf, scaled)
     data = staged(data.join(d, ["uid", "season"]), "design")
     blocks = {"memberships": du, "as many components": [f"dpc{j}" for j in range(min(len(du), len(cols)))], "components for 70%": [f"dpc{j}" for j in range(need)], "all components": [f"dpc{j}" for j in range(len(cols))]}
     out = [(label, E.compare(data, "y", BLOCKS["core"], [c for c in block], "uid")) for label, block in blocks.items()]

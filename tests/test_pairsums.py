@@ -32,3 +32,15 @@ def test_constants_against_pairs(spark, sf):
 def test_within_period_forms_no_pairs(spark, sf):
     plan = clustering.registry.queries["cl4_within_period"](spark, sf)._jdf.queryExecution().toString()
     assert "Join Inner" not in plan and "uid" not in plan
+
+
+def test_medoid_of_equal_rows(spark, sf):
+    c = base.cells(spark, sf).where("nation < 3")
+    c = c.unionByName(c.withColumn("uid", F.col("uid") + 10**9)).withColumn("um", F.col("uid") % 10**9 % 5 + 1.0)
+    const = (2.0, 1.5, 1.0)
+    both = D.pair_distances(c, c, clustering.CELL, "uid", base.TYPES, ordered=False).join(c.select(*clustering.CELL, F.col("uid").alias("j"), "um"), [*clustering.CELL, "j"])
+    q = sum([F.pow(F.lit(w) * F.col(f"d{k + 1}") / F.lit(const[k]), 2.0) for k, w in enumerate(clustering.W)], F.lit(0.0))
+    cost = both.groupBy(*clustering.CELL, "i").agg(F.round(F.sum(F.col("um") * q), 6).alias("cost"))
+    want = cost.groupBy(*clustering.CELL).agg(F.min(F.struct("cost", "i"))["i"].alias("medoid"))
+    found = pairsums.least_cost(c, clustering.CELL, "uid", base.TYPES, "um", clustering.W, const, 6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.where("medoid >= 1000000000").count() == 0
