@@ -221,7 +221,8 @@ RATES = {"raw": TYPES, "shrunk": D.Types(TYPES.performance, ("s_sot_rate_shr", "
 
 def both_rates(spark: Spark, sf: str) -> DataFrame:
     """The cells with raw and with shrunk rates, scaled."""
-    base = staged(P.shrink(P.shrink(sample(spark, sf), "sot", "shots", "sot_rate_shr"), "npg", "shots", "g_sh_shr"), "sample")
+    base = staged(sample(spark, sf), "sample")  # the pooled rates, the scales and the cells all read it
+    base = P.shrink(P.shrink(base, "sot", "shots", "sot_rate_shr"), "npg", "shots", "g_sh_shr")
     nation = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("nation"))
     return staged(P.add_scaled(base, [*SCALED, "sot_rate_shr", "g_sh_shr"]).join(nation, "uid"), "cells")
 
@@ -242,7 +243,7 @@ def fit_configs(base: DataFrame, configs: dict[str, tuple[str, fcm.FitConfig]],
 
 def fits(spark: Spark, sf: str, configs: dict[str, fcm.FitConfig]) -> DataFrame:
     """Fits of settings with raw rates, for one reader (not staged)."""
-    base = both_rates(spark, sf)
+    base = cells(spark, sf, columns=["season", *TYPES.columns])
     return fcm.fit_cells(base, CELL, "uid", TYPES, configs, constants_of(base, "raw"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -33,10 +34,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: what several later steps read is computed once, and plans stay short."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back: what several later steps read is computed once, and plans stay short. The write's shuffle files go when it is done."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
