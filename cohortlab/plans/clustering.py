@@ -78,6 +78,21 @@ def _memberships(spark: Spark, sf: str, c: DataFrame | None = None) -> DataFrame
     return staged(wide.join(noise, CELL).withColumn("u", F.array(*u)).withColumn("hard", first_max(F.col("u"))), "memberships")
 
 
+def _beside_medoids(c: DataFrame, const) -> DataFrame:  # noqa: ANN001
+    """(nation, season, uid, the types' columns, um): the cells with the first medoid's membership to the power m, beside the K medoids in one broadcast row a cell, so no row is written or shuffled."""
+    sides = [F.max(F.when(F.col("c") == k, F.col(x))).alias(f"m{k}_{x}") for k in range(1, K + 1) for x in TYPES.columns]
+    med = _medoids(c.select(*CELL, "uid", *TYPES.columns)).groupBy(*CELL).agg(*sides)
+    both = c.select(*CELL, "uid", *TYPES.columns, *[F.col(x).alias(f"a_{x}") for x in TYPES.columns]).join(F.broadcast(med), CELL)
+    for k in range(1, K + 1):
+        ds = D.manhattan(TYPES.performance, "a_", f"m{k}_"), D.manhattan(TYPES.rates, "a_", f"m{k}_"), D.jaccard(TYPES.labels, "a_", f"m{k}_")
+        both = both.withColumns({f"d{i + 1}": d / F.lit(const[f"c{i + 1}"]) for i, d in enumerate(ds)}).withColumn(f"q{k}", D.combined_squared(W))
+    near = both.select(*CELL, "uid", *TYPES.columns, *[f"q{k}" for k in range(1, K + 1)])
+    every = F.array(*[f"q{k}" for k in range(1, K + 1)])  # a cell of fewer rows has fewer medoids, and nulls here
+    noise = near.select(*CELL, F.explode(every).alias("q")).groupBy(*CELL).agg(fcm.noise_distance(RHO, F.col("q")).alias("delta"))
+    u = fcm.memberships([F.col(f"q{k}") for k in range(1, K + 1)], F.col("delta"), M)
+    return near.join(F.broadcast(noise), CELL).select(*CELL, "uid", *TYPES.columns, F.pow(u[0], M).alias("um"))
+
+
 def _u(k: int):  # noqa: ANN202
     return F.element_at("u", k)
 
@@ -168,10 +183,9 @@ _FULL = f"full_q AS (SELECT nation, season, i, j, {_SQ('d1', 'd2', 'd3')} AS q F
 @add("cl12_medoid_update", with_base(PAIRS, CONST, NEAR, U, _FULL) + f"SELECT nation, season, CAST(arg_min(h, (cost, h)) AS BIGINT) AS medoid FROM (SELECT f.nation, f.season, f.i AS h, ROUND(SUM({_UM(1)} * f.q), 9) AS cost FROM full_q f JOIN u ON u.nation = f.nation AND u.season = f.season AND u.i = f.j GROUP BY f.nation, f.season, f.i) GROUP BY nation, season")
 def _(spark: Spark, sf: str) -> DataFrame:
     """The first cluster's new medoid; the others have to differ from it, which the fit does in sequence."""
-    c = cells(spark, sf)
+    c = cells(spark, sf, columns=["season", *TYPES.columns])
     row = pairsums.constants_from(pairsums.pair_facts(c, CELL, TYPES)).first()
-    um = _memberships(spark, sf, c).select(*CELL, F.col("i").alias("uid"), F.pow(_u(1), M).alias("um"))
-    return pairsums.least_cost(c.join(um, [*CELL, "uid"]), CELL, "uid", TYPES, "um", W, (row["c1"], row["c2"], row["c3"]))
+    return pairsums.least_cost(_beside_medoids(c, row), CELL, "uid", TYPES, "um", W, (row["c1"], row["c2"], row["c3"]))
 
 
 _OBJ = " + ".join(f"{_UM(k)} * q{k}" for k in range(1, K + 1))

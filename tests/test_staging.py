@@ -20,7 +20,7 @@ def written(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["cl13_fit", "cl17_best_of_starts"])
+@pytest.mark.parametrize("name", ["cl13_fit", "cl17_best_of_starts", "cl12_medoid_update"])
 def test_only_what_a_fit_reads_is_written(spark, sf, written, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
     assert [n for n, _ in written] == ["sample", "cells"] and all("value" not in columns and "ppm" not in columns for _, columns in written)
