@@ -35,7 +35,7 @@ def test_results_are_those_of_a_table_of_memberships(spark):
     assert {f["config"]: round(f["persistence"], 9) for f in facts} == {c: round(p, 9) for c, p in same.items()}
 
 
-@pytest.mark.parametrize("query", ["ec18_specification_grid", "ec20_sensitivity", "ec19_seed_study", "ec22_restricted_grid", "ec9_coefficient_table", "ec7_nested_models"])
+@pytest.mark.parametrize("query", ["ec18_specification_grid", "ec20_sensitivity", "ec19_seed_study", "ec22_restricted_grid", "ec9_coefficient_table", "ec7_nested_models", "ec10_minimal_baseline"])
 def test_no_table_of_rows_and_settings_is_written(spark, sf, monkeypatch, query):
     written, whole = [], inference.specification_grid()
     monkeypatch.setattr(inference, "specification_grid", lambda: dict(list(whole.items())[:12]))  # some of the settings, for time
