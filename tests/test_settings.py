@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlab.operators import econometrics as E
 from cohortlab.operators import settings as S
@@ -56,3 +57,13 @@ def test_permutations_are_those_of_the_table_of_costs(spark):
     want = {(r["g"], r["a"]): r["b"] for r in optimal_assignment(spark.createDataFrame(rows, "g int, a int, b int, cost double"), ["g"], 3).collect()}
     found = S.best_permutations(costs)
     assert want == {(g, a + 1): int(found[g, a]) + 1 for g in range(40) for a in range(3)}
+
+
+def test_rows_without_a_cell_and_cells_too_small(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    assert inference.evaluate(spark, sf, {"large": ("raw", replace(inference.MAIN, k=10**6, starts=1))}, reps=0) == ([], [])
+    base = clustering.both_rates(spark, sf)
+    monkeypatch.setattr(inference, "both_rates", lambda spark, sf: base.withColumn("nation", F.when(F.col("uid") % 5 > 0, F.col("nation"))))
+    found, facts = inference.evaluate(spark, sf, {"a": ("raw", replace(inference.MAIN, starts=1))}, reps=0)
+    pairs = inference.design_of(base.where("uid % 5 > 0"), inference._SHRUNK_STATS).count()
+    assert [x.n for x in found] == [pairs, pairs] and 0 < facts[0]["persistence"] < 1
