@@ -76,9 +76,18 @@ def scale_table(df: DataFrame, columns: list[str], by: str | None = None) -> Dat
     return dev.select("group", "variable", "median", F.coalesce(F.nullif("aad", F.lit(0.0)), F.nullif("__sd", F.lit(0.0)), F.lit(1.0)).alias("aad"))
 
 
+def pooled_scales(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The scales of `scale_table` over all rows: medians of all columns together, then deviations and standard deviations in one pass. A row a column reaches the driver."""
+    long = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("variable", "x"))
+    medians = {r["variable"]: r["m"] for r in exact_quantiles(long, ["variable"], "x", [0.5]).select("variable", F.col("q")[0].alias("m")).collect()}
+    row = df.agg(F.count(F.lit(1)), *[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c, m in medians.items() for n, f in (("d", lambda x, m=m: F.avg(F.abs(x - m))), ("s", F.stddev_samp))]).first()
+    return {c: (row[f"d_{c}"] or row[f"s_{c}"] or 1.0) if c in medians else None for c in columns}
+
+
 def add_scaled(df: DataFrame, columns: list[str], table: DataFrame | None = None, prefix: str = "s_") -> DataFrame:
-    """df with each column divided by its pooled scale. The scales are one row, broadcast."""
-    table = scale_table(df, columns) if table is None else table
+    """df with each column divided by its pooled scale: that of a table, of which one row is broadcast, or df's own."""
+    if table is None:
+        return df.withColumns({f"{prefix}{c}": F.col(c) / F.lit(x).cast("double") for c, x in pooled_scales(df, columns).items()})
     wide = table.where("`group` = 'ALL'").agg(*[F.max(F.when(F.col("variable") == c, F.col("aad"))).alias(f"__{c}") for c in columns])
     return df.crossJoin(F.broadcast(wide)).withColumns({f"{prefix}{c}": F.col(c) / F.col(f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
 

@@ -18,7 +18,7 @@ from ..operators import distance as D
 from ..operators import fcm, pairsums
 from ..operators import panel as P
 from ..sources.io import staged, table
-from .base import SCALED, TYPES, K, Registry, cells, r, rounded, sample, with_base
+from .base import SCALED, TYPES, K, Registry, cells, exposed, flagged_panel, r, rounded, with_base
 
 registry = Registry()
 add = registry.add
@@ -234,8 +234,8 @@ RATES = {"raw": TYPES, "shrunk": D.Types(TYPES.performance, ("s_sot_rate_shr", "
 
 
 def both_rates(spark: Spark, sf: str) -> DataFrame:
-    """The cells with raw and with shrunk rates, scaled."""
-    base = staged(sample(spark, sf), "sample")  # the pooled rates, the scales and the cells all read it
+    """The cells with raw and with shrunk rates, scaled, with the labels' flags in place of their set."""
+    base = staged(exposed(flagged_panel(spark, sf)), "sample")  # the pooled rates, the scales and the cells all read it
     base = P.shrink(P.shrink(base, "sot", "shots", "sot_rate_shr"), "npg", "shots", "g_sh_shr")
     nation = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("nation"))
     return staged(P.add_scaled(base, [*SCALED, "sot_rate_shr", "g_sh_shr"]).join(nation, "uid"), "cells")
