@@ -125,20 +125,20 @@ class Pieces:
         begin = np.flatnonzero(u & 0xC0 != 0x80)
         wide = np.minimum(np.append(begin[1:], len(u)), stop[begin]) - begin
         at, limit, node, depth, found = begin, stop[begin], np.zeros(len(begin), self.trie.dtype), 0, []
-        own = np.zeros(len(u), bool)
+        own, trie = np.zeros(len(u), bool), self.trie.ravel()
         wide_at = np.zeros(len(u), np.int64)
         wide_at[begin] = wide
         while len(at):
-            node = self.trie[node, u[at + depth]]
+            node = trie.take((node.astype(np.int64) << 8) + u.take(at + depth))
             depth += 1
-            piece = self.ends[node]  # -1 for the root, too
+            piece = self.ends.take(node)  # -1 for the root, too
             hit = np.flatnonzero(piece >= 0)
             if len(hit):
                 start, ids = at[hit], piece[hit]
                 found.append((start, start + depth, ids, self.log_p[ids]))
                 own[start[wide_at[start] == depth]] = True
             on = np.flatnonzero((node > 0) & (at + depth < limit))
-            at, limit, node = at[on], limit[on], node[on]
+            at, limit, node = at.take(on), limit.take(on), node.take(on)
         bare = begin[~own[begin]]  # no piece for the character: its bytes
         return [*reversed(found), (bare, bare + wide_at[bare], (self.size + wide_at[bare]).astype(np.int32), self.byte_log * wide_at[bare])]
 
@@ -161,33 +161,34 @@ class Pieces:
             to[e], piece[e], lp[e], end[e] = stop - off[own], ids, log_p, stop + own
         # log-mass of all ways from a node to the end, the nodes nearest to it first
         held = np.flatnonzero(degree)
-        far = off[1:][unit[held - np.searchsorted(off[1:] + np.arange(m), held, "right")]] - (held - np.searchsorted(off[1:] + np.arange(m), held, "right"))
+        last = off[1:] + np.arange(m)  # the node at the end of each unit
+        far = np.repeat(last, np.diff(off) + 1).take(held) - held
         order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
         near = held[order]
         bounds = np.append(np.flatnonzero(np.diff(far[order], prepend=-1)), len(near))
         back = np.zeros(nodes)
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             node = near[i:j]
-            n = degree[node]
+            n = degree.take(node)
             if n.max() == 1:
-                e = first[node]
-                back[node] = lp[e] + back[end[e]]
+                e = first.take(node)
+                back[node] = lp.take(e) + back.take(end.take(e))
                 continue
-            e = _ranges(first[node], n)
-            value, head = lp[e] + back[end[e]], np.cumsum(n) - n
+            e = _ranges(first.take(node), n)
+            value, head = lp.take(e) + back.take(end.take(e)), np.cumsum(n) - n
             top = np.maximum.reduceat(value, head)
             back[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
-        share = lp + back[end] - np.repeat(back, degree)
+        share = lp + back.take(end) - np.repeat(back, degree)
         p = np.exp(share)
-        upto, at, sums, d = np.empty(total), held, np.zeros(len(held)), 0
+        upto, at, d = np.ones(total), held[degree.take(held) > 1], 0  # 1 at the last edge of a node
+        sums = np.zeros(len(at))
         while len(at):
-            e = first[at] + d
-            sums = sums + p[e]
+            e = first.take(at) + d
+            sums += p.take(e)
             upto[e] = sums
             d += 1
-            on = np.flatnonzero(degree[at] > d)
-            upto[np.delete(e, on)] = 1.0  # the last edge of a node
-            at, sums = at[on], sums[on]
+            on = np.flatnonzero(degree.take(at) > d + 1)
+            at, sums = at.take(on), sums.take(on)
         # what the other edges of a node have: exactly where one edge has nearly all
         rest, large = 1.0 - p, p > 0.5
         others = np.add.reduceat(np.where(large, 0.0, p), first[held]) if total else np.empty(0)
@@ -249,8 +250,8 @@ class Pieces:
 
     def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ids stand for, one after the other, with the mark for spaces, and how many each has."""
-        n = self.piece_n[ids]
-        return gather(self.piece_flat, self.piece_at[ids], n), n
+        n = self.piece_n.take(ids)
+        return gather(self.piece_flat, self.piece_at.take(ids), n), n
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text, with spaces, less the one put before it."""
@@ -349,10 +350,17 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         out += np.uint64(salt * SALT % (1 << 64))
         return out
 
-    def uniform(start: np.ndarray, unit: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def salted_at(seed: np.ndarray, salt: int, unit: np.ndarray) -> np.ndarray:
+        """The same for some of the units."""
+        out = seed.take(row_of.take(unit))
+        out += row_place.take(unit)
+        out += np.uint64(salt * SALT % (1 << 64))
+        return out
+
+    def uniform(start: np.ndarray, place: np.ndarray) -> np.ndarray:
         h = place.astype(np.uint64)
         h *= PLACE
-        h += start.take(unit)
+        h += start
         t = np.empty_like(h)
         for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
             np.right_shift(h, np.uint64(33), out=t)
@@ -373,7 +381,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         w, p = unit[which], place[which]
         while len(w):
             edge = first.take(base.take(w) + p).astype(np.int64)
-            u = uniform(start, w, p)
+            u = uniform(start.take(w), p)
             later = np.flatnonzero(upto.take(edge) < u)
             while len(later):
                 edge[later] += 1
@@ -395,20 +403,19 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
 
     def values(seed: np.ndarray, value: np.ndarray) -> Callable[[_Path, np.ndarray, np.ndarray], np.ndarray]:
         """Of the nodes beside steps, below the values of the path's rows."""
-        start = salted(seed, 2)
 
         def of(path: _Path, at: np.ndarray, where: np.ndarray) -> np.ndarray:
-            other = rest[path.edge[at]].astype(np.float64)
+            other = rest.take(path.edge.take(at)).astype(np.float64)
             out, some = np.full(len(at), -np.inf), np.flatnonzero(other > -np.inf)  # nodes with more than one edge
             at, where = at[some], where[some]
             row = path.rows[where]
-            out[some] = _below(path.mass(at, where) + other[some], uniform(start, path.unit[at], path.place[at]), value[row])
+            out[some] = _below(path.mass(at, where) + other[some], uniform(salted_at(seed, 2, path.unit.take(at)), path.place.take(at)), value[row])
             return out
 
         return of
 
     def result(path: _Path, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ids, n = piece.take(path.edge).astype(np.int64), np.diff(path.start)
+        ids = piece.take(path.edge)
         off = path.start
         if (many := ids >= model.size).any():  # bytes in place of a piece
             each = np.where(many, ids - model.size, 1)
@@ -422,7 +429,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
             length, lp = np.zeros(n_rows, np.int64), np.zeros(n_rows)
             length[path.rows], lp[path.rows] = np.diff(off), total
             out_off, out_p = np.concatenate(([0], np.cumsum(length))), lp
-        return rows, ids.astype(np.int32), out_off, out_p, value[rows]
+        return rows, ids.astype(np.int32, copy=False), out_off, out_p, value[rows]
 
     own = mix(seeds(0) + np.uint64(3))
     value = -np.log(-np.log(((own >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53))  # of the whole lattice, whose log-mass is 0
@@ -471,7 +478,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         for d in range(int(deg.max())):
             ok = (d < deg) & (taken >> d & 1 == 0)
             free[ok] += np.exp(share[begin[ok] + d])
-        u, done = uniform(salted(seed, 0), at_w, at_p) * free, np.zeros(len(go))
+        u, done = uniform(salted_at(seed, 0, at_w), at_p) * free, np.zeros(len(go))
         for d in range(int(deg.max())):  # an edge other than those taken, by its share
             ok = (d < deg) & (taken >> d & 1 == 0)
             take = ok & ((edge < 0) | (done < u))
@@ -498,7 +505,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
             if mine.any():
                 source = _ranges(own.start[np.searchsorted(own.rows, go[mine])], kept[mine])
                 dest = _ranges(begin_at[mine], kept[mine])
-                all_w[dest], all_p[dest], all_e[dest] = own.unit[source], own.place[source], own.edge[source]
+                all_w[dest], all_p[dest], all_e[dest] = own.unit.take(source), own.place.take(source), own.edge.take(source)
         here = begin_at + kept
         all_w[here], all_p[here], all_e[here] = at_w, at_p, edge
         dest = _ranges(here + 1, fresh_n)
@@ -506,7 +513,7 @@ def sample_segmentations(model: Pieces, data: np.ndarray, offsets: np.ndarray, k
         path = _Path(go, n, all_w, all_p, all_e, share.take(all_e))
         path.split, path.mask, path.fresh = here, taken, here + 1
         more = left > 0
-        path.split_value[more] = _below(mass[more] + np.log(left[more]), uniform(salted(seed, 2), at_w[more], at_p[more]), value[go[more]])
+        path.split_value[more] = _below(mass[more] + np.log(left[more]), uniform(salted_at(seed, 2, at_w[more]), at_p[more]), value[go[more]])
         path.values = values(seed, value)
         path.open(path.values)
     none = np.empty(0, np.int64)
