@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import buffers, column, gather, lists, mix, release, same_bytes, slices, span_hashes
+from .textvec import buffers, column, gather, lists, mix, releasing, same_bytes, slices, span_hashes
 
 MARK = "▁"
 _models: dict[str, Pieces] = {}
@@ -536,26 +536,23 @@ def sample_pieces(df: DataFrame, model_path: str, key_cols: list[str], text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(model_path)
-        for whole in batches:
-            sized = (r for r in slices(buffers(column(whole, "__text"))[1], bytes_a_batch))
-            for a, b in ((i, min(i + rows_a_batch, end)) for start, end in sized for i in range(start, end, rows_a_batch)):
-                batch = whole.slice(a, b - a)
-                data, offsets = buffers(model.normalize(column(batch, "__text").to_pylist()))
-                keys = column(batch, "__key").to_numpy().view(np.uint64)
-                *rounds, (_, _, _, _, bound) = sample_segmentations(model, data, offsets, keys, k)
-                for s, (rows, ids, off, log_p, _) in enumerate(rounds):
-                    said, n = model.bytes_of(ids)
-                    length = np.concatenate(([0], np.cumsum(n)))[off]
-                    fine = np.diff(length) == np.diff(offsets)[rows]
-                    for r in np.flatnonzero(fine).tolist():
-                        fine[r] = np.array_equal(said[length[r] : length[r + 1]], data[offsets[rows[r]] : offsets[rows[r] + 1]])
-                    ahead = np.minimum(log_p - bound[rows], 50.0)
-                    inclusion = -np.expm1(-np.exp(ahead))
-                    log_inclusion = np.where(ahead < -30, ahead, np.log(np.maximum(inclusion, 1e-300)))
-                    raw = ids.astype("<u4")
-                    crc = pa.array([zlib.crc32(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist())], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(column(batch, c).take(pa.array(rows)) for c in key_cols), pa.array(np.full(len(rows), s, np.int32)), pa.array(np.diff(off)), *([lists(ids, off)] if with_ids else []), crc, pa.array(log_p), pa.array(inclusion), pa.array(log_inclusion), pa.array(fine, pa.bool_())], names)
-                release()
+        sized = ((whole, r) for whole in batches for r in slices(buffers(column(whole, "__text"))[1], bytes_a_batch))
+        for batch in releasing(whole.slice(i, min(i + rows_a_batch, end) - i) for whole, (start, end) in sized for i in range(start, end, rows_a_batch)):
+            data, offsets = buffers(model.normalize(column(batch, "__text").to_pylist()))
+            keys = column(batch, "__key").to_numpy().view(np.uint64)
+            *rounds, (_, _, _, _, bound) = sample_segmentations(model, data, offsets, keys, k)
+            for s, (rows, ids, off, log_p, _) in enumerate(rounds):
+                said, n = model.bytes_of(ids)
+                length = np.concatenate(([0], np.cumsum(n)))[off]
+                fine = np.diff(length) == np.diff(offsets)[rows]
+                for r in np.flatnonzero(fine).tolist():
+                    fine[r] = np.array_equal(said[length[r] : length[r + 1]], data[offsets[rows[r]] : offsets[rows[r] + 1]])
+                ahead = np.minimum(log_p - bound[rows], 50.0)
+                inclusion = -np.expm1(-np.exp(ahead))
+                log_inclusion = np.where(ahead < -30, ahead, np.log(np.maximum(inclusion, 1e-300)))
+                raw = ids.astype("<u4")
+                crc = pa.array([zlib.crc32(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(column(batch, c).take(pa.array(rows)) for c in key_cols), pa.array(np.full(len(rows), s, np.int32)), pa.array(np.diff(off)), *([lists(ids, off)] if with_ids else []), crc, pa.array(log_p), pa.array(inclusion), pa.array(log_inclusion), pa.array(fine, pa.bool_())], names)
 
     kinds = dict(df.select(*key_cols).dtypes) | {"sample": "int", "n_pieces": "long", "ids": "array<int>", "ids_crc32": "long", "log_prob": "double", "inclusion": "double", "log_inclusion": "double", "decoded": "boolean"}
     return kept.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))

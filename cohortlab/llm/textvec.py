@@ -61,14 +61,20 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def releasing(items: Iterator, every: int = 8) -> Iterator:
+    """The items. Memory that is free goes back when so many of them are done with, and at the end; after each of them, the page faults that follow cost about a tenth of the work."""
+    for k, item in enumerate(items):
+        yield item
+        if k % every == every - 1:
+            release()
+    release()
+
+
 def parts(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for each slice of a column."""
     data, offsets = buffers(col)
-    for k, (i, j) in enumerate(slices(offsets, limit)):
+    for i, j in releasing(slices(offsets, limit)):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        if k % 8 == 7:
-            release()
-    release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cohortlab.llm import language_model, pieces, quality, queries, tokens, url_filter
+from cohortlab.llm import language_model, pieces, quality, queries, textvec, tokens, url_filter
 from cohortlab.llm.textvec import buffers
 
 # -- quality ----------------------------------------------------------------------------------------------------------------------
@@ -311,6 +311,17 @@ def test_piece_table(spark):
         pieces.sample_pieces(df, path, ["sample"])
 
 
+def test_memory_goes_back_after_several_batches_of_pieces(spark, monkeypatch):
+    df = spark.range(20).selectExpr("id as doc_id", "repeat('a few words ', 9) as text")
+    path, freed = tokens.tokenizer_path("piece_bpe_32k.model"), []
+    want = pieces.sample_pieces(df, path, ["doc_id"]).select("doc_id", "sample", "ids_crc32").collect()
+    monkeypatch.setattr(type(df), "mapInArrow", lambda kept, run, schema: (kept, run))
+    kept, run = pieces.sample_pieces(df, path, ["doc_id"], rows_a_batch=1)
+    monkeypatch.setattr(textvec, "release", lambda: freed.append(1))
+    got = [(r["doc_id"], r["sample"], r["ids_crc32"]) for b in run(iter(kept.toArrow().to_batches())) for r in b.to_pylist()]
+    assert sorted(got) == sorted(map(tuple, want)) and len(freed) == 3  # not 20
+
+
 def test_pieces_read_every_document(spark, sf):
     got = queries.op6_sampled_pieces(spark, sf).where("sample = 0").select("doc_id", "conv_id", "turn", "decoded").collect()
     docs, turns = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ["doc_id"]), ("conversations", ["conv_id", "turn"])))
