@@ -97,7 +97,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in parts(_lower(column(batch, "text")), 512 << 10):
+            for i, j, data, offsets in parts(_lower(column(batch, "text")), 512 << 10, 2500):  # a short text takes as many darts as a long one
                 h, w, off = weighted_shingles(data, offsets)
                 keys = band_keys(dart_signatures(h, w, off, BANDS * ROWS)).view(np.int64)
                 full = np.diff(off) > 0

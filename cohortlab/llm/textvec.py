@@ -70,10 +70,10 @@ def releasing(items: Iterator, every: int = 8) -> Iterator:
     release()
 
 
-def parts(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for each slice of a column."""
+def parts(col: pa.Array, limit: int = 1 << 20, most_rows: int = 1 << 31) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for each slice of a column, of at most so many rows."""
     data, offsets = buffers(col)
-    for i, j in releasing(slices(offsets, limit)):
+    for i, j in releasing((a, min(a + most_rows, end)) for start, end in slices(offsets, limit) for a in range(start, end, most_rows)):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

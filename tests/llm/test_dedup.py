@@ -26,6 +26,17 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_darts_of_many_short_texts_are_not_held_at_once(spark, monkeypatch):
+    df, held, whole = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "concat('w', id) as text"), [], near_dedup.dart_signatures
+    monkeypatch.setattr(type(df), "mapInArrow", lambda rows, run, schema: (rows, run))
+    rows, run = near_dedup._signed(df, "doc_id", "text")
+    monkeypatch.setattr(near_dedup, "dart_signatures", lambda h, w, off, k: held.append(len(off) - 1) or whole(h, w, off, k))
+    got = {r["id"]: r["bands"] for b in run(iter(rows.toArrow().combine_chunks().to_batches())) for r in b.to_pylist()}
+    assert sum(held) == len(got) == 6000 and max(held) <= 2500
+    some = [0, 2499, 2500, 5999]  # as each by itself
+    assert all(got[i] == next(run(iter(rows.where(f"id = {i}").toArrow().to_batches()))).to_pylist()[0]["bands"] for i in some)
+
+
 # -- exact ------------------------------------------------------------------------------------------------------------------------
 
 
