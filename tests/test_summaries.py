@@ -74,3 +74,9 @@ def test_scales_count_rows_once_and_cells_join_customers(spark, tmp_path, monkey
     names = ["uid", "season", *base.TYPES.columns, "nation"]
     for got in (base.cells(spark, SF, columns=["season", *base.TYPES.columns]), clustering.both_rates(spark, SF)):
         _close(sorted(map(tuple, got.select(names).collect())), sorted(map(tuple, want.select(names).collect())))
+
+
+def test_parameter_grid(spark, run):
+    configs = {f"k{k}_m{m}": replace(MAIN, k=k, m=m) for k in (2, 3, 4, 5, 6) for m in (1.2, 1.3, 1.4, 1.5)}
+    want = fcm.fit_diagnostics(clustering.fits(spark, SF, configs).localCheckpoint(), CELL)
+    _close(sorted(map(tuple, run("cl19_parameter_grid"))), sorted(map(tuple, want.collect())))
