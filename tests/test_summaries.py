@@ -80,3 +80,14 @@ def test_parameter_grid(spark, run):
     configs = {f"k{k}_m{m}": replace(MAIN, k=k, m=m) for k in (2, 3, 4, 5, 6) for m in (1.2, 1.3, 1.4, 1.5)}
     want = fcm.fit_diagnostics(clustering.fits(spark, SF, configs).localCheckpoint(), CELL)
     _close(sorted(map(tuple, run("cl19_parameter_grid"))), sorted(map(tuple, want.collect())))
+
+
+def _both(spark):
+    return clustering._single_period(spark, SF, fcm.fit_cells).localCheckpoint()
+
+
+def test_rows_of_most_noise(spark, run):
+    noise = _both(spark).withColumn("u_noise", F.element_at("u", -1))
+    top = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("u_noise"), "nation", "uid"))
+    want = noise.withColumn("place", top).where("place <= 5").select("config", "place", "nation", "uid", "u_noise").collect()
+    _close(sorted(map(tuple, run("cl21_single_period"))), sorted((*x[:4], round(x[4], 6)) for x in want))
