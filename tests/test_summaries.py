@@ -91,3 +91,7 @@ def test_rows_of_most_noise(spark, run):
     top = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("u_noise"), "nation", "uid"))
     want = noise.withColumn("place", top).where("place <= 5").select("config", "place", "nation", "uid", "u_noise").collect()
     _close(sorted(map(tuple, run("cl21_single_period"))), sorted((*x[:4], round(x[4], 6)) for x in want))
+
+
+def test_single_period_grid(spark, run):
+    _close(sorted(map(tuple, run("cl21_grid"))), sorted(map(tuple, fcm.fit_diagnostics(_both(spark), CELL).collect())))
