@@ -95,3 +95,13 @@ def test_rows_of_most_noise(spark, run):
 
 def test_single_period_grid(spark, run):
     _close(sorted(map(tuple, run("cl21_grid"))), sorted(map(tuple, fcm.fit_diagnostics(_both(spark), CELL).collect())))
+
+
+def test_estimated_weights(spark, run):
+    found = clustering.both_rates(spark, SF)
+    configs = {f"max_raw_k{k}": replace(MAIN, k=k, rho=0.5, weights=None) for k in (3, 4, 5)}
+    rows = fcm.fit_cells(found.where("season = 2000"), CELL, "uid", RATES["raw"], configs, clustering.constants_of(found, "raw", "max"))
+    share = F.avg((F.col("hard") == F.col("k") + 1).cast("double"))
+    want = rows.groupBy(*CELL, "config").agg(F.first("weights"), share, F.first("xie_beni"), F.first("degenerate")).collect()
+    got = [x for x in run("cl22_estimated_weights") if x["config"].startswith("max_raw")]
+    _close(sorted(map(tuple, got)), sorted((*x[:3], *x[3], *x[4:]) for x in want))
